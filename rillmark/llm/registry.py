@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, simhash, token_counts
+from . import byte_bpe, decontamination, line_windows, repetition, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op4_simhash": simhash.op4_simhash,
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op8_repetition": repetition.op8_repetition,
+    "op9_line_windows": line_windows.op9_line_windows,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": decontamination.OP7_SQL,
+    "op9_line_windows": line_windows.OP9_SQL,
+}
