@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -80,3 +81,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet into the shared folder and read back: cuts the lineage."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rillmark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, line_windows, repetition, simhash, token_counts, toxicity
+from . import byte_bpe, decontamination, line_windows, pseudonyms, quality, repetition, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_simhash": simhash.op4_simhash,
+    "op5_quality": quality.op5_quality,
+    "op6_pseudonyms": pseudonyms.op6_pseudonyms,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_repetition": repetition.op8_repetition,
     "op9_line_windows": line_windows.op9_line_windows,

@@ -197,7 +197,10 @@ def links(fps: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     fps = fps.select("fp").distinct()
     masks = band_masks()
 
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def grouped(df: DataFrame) -> DataFrame:
+        df = df.repartition(parts, "mask", "bits")  # few bytes, much work: not to be coalesced
         return df.groupBy("mask", "bits").applyInArrow(_forest(["mask", "bits"]), "a long, b long")
 
     def dealt(df: DataFrame, choices) -> DataFrame:
