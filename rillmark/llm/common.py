@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_SHIPPED: set[str] = set()
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark application.
-
-    Needed wherever the repository is not on the executors' path; Spark's own
-    file server delivers the archive.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    import tempfile
-
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="rillmark"), "rillmark_code.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, str(path.relative_to(root.parent)))
-    context.addPyFile(target)
-    _SHIPPED.add(context.applicationId)
+from ..functions.ship import ship_code
 
+__all__ = ["blocks", "checkpoint_dir", "checkpointed", "computed", "documents", "id_and_text", "ship_code", "stored"]
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -88,3 +66,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rillmark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumn`` whose values are computed once for each row, in a Generate node: the optimizer
+    copies a plain projection into the expressions above it, where a lambda would repeat it for
+    each element."""
+    for name, value in columns.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
