@@ -33,8 +33,9 @@ from .common import blocks, documents, id_and_text, ship_code
 
 #: Bound of the training sample, for each class.
 MAX_TRAIN_DOCS = 2_500
-SEGMENT, EPOCHS, BATCH, RATE = 48, 4, 256, 0.3
+SEGMENT, EPOCHS, STEPS, BATCH, RATE = 48, 3, 120, 128, 0.3  # at least so many passes and steps
 STRETCH = 64
+SHRINK = 0.2
 WORDS = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, score double, n_tokens long, n_spans long, spans array<int>"
 
@@ -122,7 +123,7 @@ def fit_field(texts: list[list[str]], toxic: list[int], seed: int = 7) -> dict:
     segments = list(_segments(sequences, labels, rng))
     weights, squares = np.zeros(len(index) + 1), np.full(len(index) + 1, 1e-6)
     other, other_squares = np.array([-2.0, 0.0, 0.0, 0.0, 0.0, -2.0]), np.full(6, 1e-6)  # bias, transitions 00 01 10 11, initial
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS // -(-len(segments) // BATCH)) if segments else 0):
         order = rng.permutation(len(segments))
         for at in range(0, len(order), BATCH):
             part = [segments[i] for i in order[at : at + BATCH]]
@@ -209,10 +210,11 @@ def fit_link(rows, y, weight) -> dict:
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
     beta = np.zeros(z.shape[1])
-    for _ in range(30):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        h = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + 0.1 * np.eye(len(beta))
-        beta += np.linalg.solve(h, z.T @ (weight * (y - p)) - beta)
+        h = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + SHRINK * np.eye(len(beta))
+        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - SHRINK * beta)
+        beta += step * min(1.0, 2.0 / max(float(np.abs(step).max()), 1e-9))  # damped: classes may be separable
     return {"mean": mean.tolist(), "spread": spread.tolist(), "beta": beta.tolist()}
 
 

@@ -1,0 +1,193 @@
+import datetime
+import random
+import re
+
+import numpy as np
+import pytest
+from helpers import rows_of
+from pyspark.sql import functions as F
+
+from rillmark.llm import pseudonyms, quality, repetition, toxicity
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    rows = [(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(100, 130)] + [(4, 1, 0), (4, 1, 0), (None, 1, 1), (5, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, quality long, toxic long")
+
+
+# --- toxicity ---
+
+
+def test_marginals_equal_forward_backward():
+    rng = np.random.default_rng(0)
+    cuts = [0, 1, 5, 70, 300, 301, 500]
+    emission = rng.normal(0, 3, 500)
+    first, last = np.zeros(500, dtype=bool), np.zeros(500, dtype=bool)
+    first[cuts[:-1]] = last[np.array(cuts[1:]) - 1] = True
+    t = np.array([[1.0, -2.0], [-0.5, 0.7]])
+    got = toxicity.marginals(emission, first, last, t, -0.4)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        e = np.stack([np.zeros(b - a), emission[a:b]], 1)
+        alpha, beta = np.zeros((b - a, 2)), np.zeros((b - a, 2))
+        alpha[0] = e[0] + [0, -0.4]
+        for i in range(1, b - a):
+            alpha[i] = np.logaddexp(alpha[i - 1, 0] + t[0], alpha[i - 1, 1] + t[1]) + e[i]
+        for i in range(b - a - 2, -1, -1):
+            beta[i] = np.logaddexp(t[:, 0] + (e + beta)[i + 1, 0], t[:, 1] + (e + beta)[i + 1, 1])
+        both = alpha + beta
+        assert np.allclose(np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1])), got[a:b], atol=1e-9)
+
+
+def test_field_finds_held_out_words_and_their_offsets(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("aeioubcd") for _ in range(5)) for _ in range(200)]
+    bad = [f"zork{x}" for x in "abcdefgh"]
+
+    def text(toxic):
+        own = [rng.choice(words) for _ in range(60)]
+        for _ in range(3 * toxic):
+            own.insert(rng.randint(0, 60), rng.choice(bad))
+        return " ".join(own)
+
+    rows = [(i, text(i % 4 == 0), i % 4 == 0) for i in range(400)] + [(999, "aei zorkunseen aei", True)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    train = spark.createDataFrame([(i, int(y)) for i, _, y in rows if i % 3], "doc_id long, toxic long")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, train, "toxic")).collect()}
+    held = [(got[i]["score"] >= 0.7) == y for i, _, y in rows if i % 3 == 0]
+    assert sum(held) / len(held) > 0.95
+    assert got[999]["spans"] == [4, 14]
+    for i, t, y in rows[:40]:
+        assert all(t[a:b].startswith("zork") for a, b in zip(got[i]["spans"][::2], got[i]["spans"][1::2], strict=True))
+
+
+def test_toxicity_of_edge_rows(spark, edge, edge_rows, labels, no_rows):
+    got = toxicity.score(edge, toxicity.fit(edge, labels, "toxic"))
+    assert rows_of(got, "doc_id") == sorted(((i,) for i, _ in edge_rows), key=repr)
+    assert got.where("score is null or score < 0 or score > 1").count() == 0
+    one_class = toxicity.fit(edge, labels.where("toxic = 1"), "toxic")
+    assert one_class == {"share": 1.0}
+    assert {r["score"] for r in toxicity.score(edge, toxicity.fit(edge, labels.limit(0), "toxic")).collect()} == {0.0}
+    assert toxicity.score(no_rows, one_class).count() == 0
+
+
+# --- quality ---
+
+
+def test_isotonic_pools_violators():
+    assert quality.isotonic([(0, 2, 0), (3, 1, 1), (4, 1, 0), (9, 2, 2)]) == [(0, 0.0), (3, 0.5), (4, 0.5), (9, 1.0)]
+
+
+def test_quality_tells_kinds_apart_on_held_out_rows(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeioubcdmn") for _ in range(rng.randint(2, 8)))
+    good = lambda: ". ".join(" ".join(word() for _ in range(12)).capitalize() for _ in range(8))
+    bad = lambda: " ".join(word().upper() + "!!" for _ in range(90))
+    docs = spark.createDataFrame([(i, bad() if i % 5 == 0 else good()) for i in range(600)], "doc_id long, text string")
+    train = docs.where("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 5 != 0).cast("long").alias("quality"))
+    got = quality.classify(docs, train).where("doc_id % 2 = 1").collect()
+    assert sum((r["score"] >= 0.7) == (r["doc_id"] % 5 != 0) for r in got) / len(got) > 0.97
+
+
+def test_quality_of_edge_rows(edge, edge_rows, labels, no_rows):
+    got = quality.classify(edge, labels)
+    assert rows_of(got, "doc_id") == sorted(((i,) for i, _ in edge_rows), key=repr)
+    assert got.where("score is null or score < 0 or score > 1").count() == 0
+    assert {r["score"] for r in quality.classify(edge, labels.limit(0)).collect()} == {0.0}
+    assert quality.classify(no_rows, labels).count() == 0
+
+
+# --- repetition ---
+
+
+def plain_rules(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    at = {}
+    for i in range(len(words) - 4):
+        at.setdefault(tuple(words[i : i + 5]), []).append(i)
+    hit = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
+    seen, lines = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            lines += line in seen
+            seen.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), lines, len(hit), n < 10 or 100 * len(hit) > 20 * n
+
+
+def plain_longest(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    best = 0
+    for i in range(len(words)):
+        for j in range(i):
+            k = 0
+            while i + k < len(words) and words[i + k] == words[j + k]:
+                k += 1
+            best = max(best, k)
+    return best if best >= 5 else 0
+
+
+def test_rules_of_edge_rows(edge, edge_rows, no_rows):
+    got = rows_of(repetition.quality_rules(edge), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got == sorted(((i, *plain_rules(t)) for i, t in edge_rows), key=repr)
+    assert repetition.quality_rules(edge).where("kept and base_failed").count() == 0
+    assert repetition.quality_rules(no_rows).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_longest_repeat_equals_brute_force(seed):
+    rng = random.Random(seed)
+    text = " ".join(rng.choice("abc"[: 1 + seed % 3]) for _ in range(rng.randint(0, 120)))
+    other = " ".join(rng.choice("abcdefghij") for _ in range(100))
+    first, second = repetition.judge_block([text, other])
+    assert first[7] == plain_longest(text) and second[7] == plain_longest(other)
+    assert first[4] == plain_rules(text)[4]
+
+
+def test_verdict_on_repetition():
+    rng = random.Random(3)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    clean, part = fresh(300), fresh(30)
+    rows = repetition.judge_block([clean, clean + " " + part + " " + part[:40], part + " " + fresh(10) + " " + part])
+    assert [r[6] for r in rows] == [True, True, False]
+
+
+# --- pseudonyms ---
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
+def test_permutation_and_its_inverse(size):
+    there = [pseudonyms.permute(i, size, b"k", "x") for i in range(size)]
+    assert sorted(there) == list(range(size))
+    assert [pseudonyms.permute(i, size, b"k", "x", True) for i in there] == list(range(size))
+
+
+@pytest.mark.parametrize(("text", "kind", "shape"), [
+    ("pay 4111 1111 1111 1111 now", "card", r"pay \d{4} \d{4} \d{4} \d{4} now"), ("card 4111-1111-1111-1111.", "card", r"card \d{4}-\d{4}-\d{4}-\d{4}\."),
+    ("+1 (536) 555-0362", "phone", r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}"), ("ssn 123-45-6789", "ssn", r"ssn \d{3}-\d\d-\d{4}"), ("at 33.244.109.139 x", "ip", r"at [\d.]+ x"),
+    ("born 1999-02-28,", "date", r"born \d{4}-\d\d-\d\d,"), ("due 12/31/2020", "date", r"due \d\d/\d\d/\d{4}"), ("am 31.12.2020", "date", r"am \d\d\.\d\d\.\d{4}"),
+    ("a lstign.10@mail1.example.com b", "email", r"a [a-z]{6}\.\d\d@mail1\.example\.com b"), ('token = "0641917ea4e9feb9"', "secret", r'token = "[0-9a-f]{16}"'), ("password=e3b3ed3cc8", "secret", "password=[0-9a-f]{10}"),
+])
+def test_formats_stay_and_the_key_leads_back(text, kind, shape):
+    new, counts = pseudonyms.pseudonymise(text, b"key")
+    assert new != text and re.fullmatch(shape, new) and counts[kind] == sum(counts.values()) == 1
+    assert pseudonyms.pseudonymise(new, b"key", back=True)[0] == text
+    assert pseudonyms.pseudonymise(text, b"other")[0] != new
+
+
+def test_new_values_are_valid_and_linked():
+    digits = re.sub(r"\D", "", pseudonyms.pseudonymise("4111 1111 1111 1111")[0])
+    assert pseudonyms.luhn(digits[:-1]) == int(digits[-1])
+    assert pseudonyms.pseudonymise("4111111111111111")[0] == digits
+    day = pseudonyms.pseudonymise("2000-02-29")[0]
+    assert datetime.date.fromisoformat(day) and pseudonyms.pseudonymise("02/29/2000")[0] == datetime.date.fromisoformat(day).strftime("%m/%d/%Y")
+
+
+@pytest.mark.parametrize("text", ["4111111111111112", "0000000000000000", "2001-02-29", "13/31/2020", "999.1.1.1", "1.2.3.4.5", "666-12-3456", "000-12-3456", "+1 (136) 555-0362", "version 1.2", "plain words only", "@ at sign", "12345"])
+def test_invalid_values_stay(text):
+    assert pseudonyms.pseudonymise(text)[0] == text
+
+
+def test_pseudonyms_of_edge_rows(edge, edge_rows, no_rows):
+    assert rows_of(pseudonyms.pseudonyms(edge), "doc_id", "text", "n_replaced") == sorted(((i, t, 0) for i, t in edge_rows), key=repr)
+    assert pseudonyms.pseudonyms(no_rows).count() == 0
