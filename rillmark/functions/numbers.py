@@ -17,7 +17,7 @@ def to_number(text: Column) -> Column:
 
 
 def canonical(number: float | int) -> str:
-    """Shortest text that reads back as the same double; an exponent below -5 or from 15 on."""
+    """Shortest text that reads back as the same double; with an exponent where that is -5 or less, or 15 or more."""
     value = float(number)
     sign, digits, exponent = Decimal(repr(value)).as_tuple()
     text = "".join(map(str, digits)).rstrip("0") or "0"
@@ -26,7 +26,7 @@ def canonical(number: float | int) -> str:
         return lead + "0"
     point = len(digits) + exponent  # digits before the decimal point
     order = point - 1
-    if -5 <= order < 15:
+    if -5 < order < 15:
         if point <= 0:
             return f"{lead}0.{'0' * -point}{text}"
         whole = text[:point].ljust(point, "0")

@@ -63,6 +63,16 @@ def start(stream: DataFrame, store: EventStore, catalog: Registry | Snapshot, ch
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
+def lag(query) -> dict:
+    """How far a running load is behind: last batch, rows a second in and through, and offsets not read yet where the source tells."""
+    last = query.lastProgress
+    if last is None:
+        return {"batch": None, "input_rows_per_second": 0.0, "processed_rows_per_second": 0.0, "behind": None}
+    metrics = [s.metrics or {} for s in last.sources]
+    behind = [int(m["maxOffsetsBehindLatest"]) for m in metrics if "maxOffsetsBehindLatest" in m]
+    return {"batch": last.batchId, "input_rows_per_second": last.inputRowsPerSecond, "processed_rows_per_second": last.processedRowsPerSecond, "behind": max(behind, default=None)}
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -7,7 +7,7 @@ from rillmark.operators.facts import dedup_earliest
 from rillmark.operators.normalize import ingest
 from rillmark.sources.generate import demo_snapshot, raw_events
 from rillmark.sources.store import EventStore
-from rillmark.streaming.loader import file_source, start
+from rillmark.streaming.loader import file_source, lag, start
 
 
 def answers(store):
@@ -59,6 +59,8 @@ def test_stream_from_files_counts_every_event_once(spark, tmp_path):
         (source / f"{part}.json").write_text("\n".join(map(json.dumps, lines)))
     store = EventStore(spark, str(tmp_path / "store"))
     for _ in range(2):  # a restart finds nothing new
-        start(file_source(spark, str(source)), store, demo_snapshot(), str(tmp_path / "checkpoint")).awaitTermination()
+        query = start(file_source(spark, str(source)), store, demo_snapshot(), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        assert lag(query)["behind"] is None
     assert len(store.committed()) == 3 and store.facts().count() == 60
     assert store.sessions().count() == 20
