@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ship import ship_code
 
-__all__ = ["blocks", "checkpoint_dir", "checkpointed", "computed", "documents", "id_and_text", "ship_code", "stored"]
+__all__ = ["KEY", "blocks", "checkpoint_dir", "checkpointed", "computed", "discard", "documents", "id_and_text", "packed", "ship_code", "stored", "stored_at", "unpacked"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -63,9 +64,20 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows written as Parquet into the shared folder and read back: cuts the lineage."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As :func:`stored`, with the path."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rillmark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what :func:`stored_at` wrote, once nothing that is still to run reads it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -75,3 +87,18 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     for name, value in columns.items():
         df = df.select("*", F.explode(F.array(value)).alias(name))
     return df
+
+
+#: Name of helper columns that meet the columns of a caller.
+KEY = "__rillmark_key"
+
+
+def packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (all columns as one struct), ``doc_id`` and ``text``: no name of the caller can clash."""
+    columns = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(columns.alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: str) -> DataFrame:
+    """The caller's columns again, in order; ``changed`` names the columns that replace some of them."""
+    return df.select(*[(F.col(changed[c]) if c in changed else F.col(f"row.`{c}`")).alias(c) for c in columns])

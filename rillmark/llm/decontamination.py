@@ -18,16 +18,16 @@ functions are used.  Counts and postings use Spark's ``lower``, which never tell
 equal words have in common; the comparison uses exact ASCII lower case.
 
 Defined results: a null, empty or wordless text has no words and no hits; a wordless item has
-no window; repeated rows are one document to the search and each gets its result (rows with
-one id and different texts: not allowed); repeated item ids count once; an empty benchmark hits
-nothing; other columns are ignored.
+no window; repeated rows, rows that share an id and rows without one are each compared by
+their own text; repeated item ids count once; an empty benchmark hits
+nothing; other columns are ignored or passed on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents
+from .common import computed, documents, packed, stored, unpacked
 
 SIZE = 10
 BROADCAST_TERMS = 100_000
@@ -57,7 +57,7 @@ def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def alignments(df: DataFrame, items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, item_words, item_id, delta``: the item's word i would stand at document word ``delta + i``."""
+    """``doc_id, item_id, delta``: the item's word i would stand at document word ``delta + i``."""
     tokens = _tokens(df, id_col, text_col)
     places = items.select("item_id", "item_words", F.posexplode("item_loose").alias("place", "word"))
     terms = _bounded(places.select("word").distinct())
@@ -71,62 +71,62 @@ def alignments(df: DataFrame, items: DataFrame, size: int, id_col: str, text_col
         .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), (F.col("start") + F.col("offset")).alias("place"), "word")).alias("rarest"))
         .where("rarest.count > 0")
     )
-    anchors = counted.groupBy(F.col("rarest.word").alias("word"), "item_id", F.col("rarest.place").alias("place")).agg(F.first("item_words").alias("item_words"))
-    slim = _bounded(anchors.select("word", "item_id", "place"))
+    # Stored: counting the corpus is one pass, and the anchors (no more than the items' words) are read twice.
+    anchors = stored(counted.select(F.col("rarest.word").alias("word"), "item_id", F.col("rarest.place").alias("place")).distinct())
+    slim = _bounded(anchors)
     return tokens.join(slim, "word").select("doc_id", "item_id", (F.col("pos") - F.col("place")).alias("delta")).distinct()
 
 
-def phrase_matches(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, matches``: for documents with any, an array of (item_id, start, length) with the
-    0-based word where a window of the item occurs.
+def matched(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``row, doc_id, n_words, matches`` for every input row: all its columns as a struct, its words,
+    and an array of (item_id, start, length) with the 0-based word where a window of an item occurs.
 
     With ``slop`` above 0 these are proximity matches: every word of the window within ``slop``
     words of its place, as counted from the window's rarest word."""
     items = _items(benchmark, item_id, item_text)
     found = alignments(df, items, size, id_col, text_col).join(items.select("item_id", "item_words"), "item_id")
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "delta", "item_words")).alias("candidates"))
-    texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(by_doc, "doc_id").withColumn("words", exact_words(F.col("text")))
+    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "delta", "item_words")).alias("candidates")).withColumnRenamed("doc_id", "_id")
+    texts = packed(df, id_col, text_col).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    texts = computed(texts, words=F.when(F.col("candidates").isNotNull(), exact_words(F.col("text"))).otherwise(loose_words(F.col("text")))).drop("text", "_id")
 
-    def at(start: Column, length: Column) -> Column:
-        """The document's words there; null where the range leaves the text."""
-        return F.when((start >= 0) & (start + length <= F.size("words")), F.slice("words", F.greatest(start, F.lit(0)) + 1, length))
-
-    def near(start: Column, wanted: Column) -> Column:
-        def close(word: Column, j: Column) -> Column:
-            low = F.greatest(start + j - slop, F.lit(0))
-            return F.array_contains(F.slice("words", low + 1, F.greatest(start + j + slop - low + 1, F.lit(0))), word)
-
-        return F.size(F.filter(F.transform(wanted, close), lambda ok: ok)) == F.size(wanted)
+    # Inside a lambda only get() takes constant time; slice() would copy all words each time.
+    def stands(place: Column, word: Column) -> Column:
+        if not slop:
+            return F.coalesce(F.get("words", place) == word, F.lit(False))
+        return F.exists(F.sequence(place - slop, place + slop), lambda p: F.coalesce(F.get("words", p) == word, F.lit(False)))
 
     def occurrences(c: Column) -> Column:
         m = F.size(c["item_words"])
         length = F.least(m, F.lit(size))
+        # Words that do not stand at their places; a window occurs between two of them that are far enough apart.
+        gaps = F.filter(F.sequence(F.lit(0), m - 1), lambda i: ~stands(c["delta"] + i, F.get(c["item_words"], i)))
+        bounds = F.concat(F.array(F.lit(-1)), gaps, F.array(m))
+        runs = F.filter(F.zip_with(bounds, F.slice(bounds, 2, F.size(bounds)), lambda a, b: F.struct((a + 1).alias("first"), b.alias("end"))), lambda r: r["end"] - r["first"] >= length)
+        starts = F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["end"] - length)))
+        return F.transform(starts, lambda i: F.struct(c["item_id"].alias("item_id"), (c["delta"] + i).alias("start"), length.alias("length")))
 
-        def fits(i: Column) -> Column:
-            wanted = F.slice(c["item_words"], i + 1, length)
-            return F.coalesce(at(c["delta"] + i, length) == wanted, F.lit(False)) if not slop else near(c["delta"] + i, wanted)
+    every = F.array_distinct(F.flatten(F.transform("candidates", occurrences)))
+    texts = computed(texts, matches=F.when(F.col("candidates").isNotNull(), every))
+    return texts.select("row", "doc_id", F.greatest(F.size("words"), F.lit(0)).cast("long").alias("n_words"), "matches")
 
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(m - size, F.lit(0))), fits)
-        return F.transform(starts, lambda i: F.struct(c["item_id"].alias("item_id"), (c["delta"] + i).alias("start"), length.alias("length")))
 
-    return texts.select("doc_id", F.array_distinct(F.flatten(F.transform("candidates", occurrences))).alias("matches")).where("size(matches) > 0")
+def phrase_matches(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0, **columns: str) -> DataFrame:
+    """``doc_id, matches`` of the rows that have any; see :func:`matched`."""
+    return matched(df, benchmark, size, slop, **columns).where("size(matches) > 0").select("doc_id", "matches")
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, size: int = SIZE, **columns: str) -> DataFrame:
     """``doc_id, n_words, n_hit, items`` (item ids as sorted strings) for every input row."""
-    matches = phrase_matches(df, benchmark, size, 0, id_col, text_col)
     covered = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1)))))
-    hits = matches.select(F.col("doc_id").alias("_id"), covered.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string")))).alias("items")).dropDuplicates(["_id"])
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.size(loose_words(F.col(f"`{text_col}`"))), F.lit(0)).alias("n_words"))
-    rows = rows.withColumn("n_words", F.greatest("n_words", F.lit(0)))
-    joined = rows.join(hits, rows.doc_id == hits["_id"], "left").drop("_id")
-    return joined.select("doc_id", F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string"))))
+    return matched(df, benchmark, size, **columns).select(
+        "doc_id", "n_words", F.greatest(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items")
+    )
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """The rows of ``df`` without any occurrence of a window; all columns stay."""
-    hit = phrase_matches(df, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_hit"))
-    return df.join(hit, F.col(f"`{id_col}`") == F.col("_hit"), "left_anti")
+    return unpacked(matched(df, benchmark, **columns).where("matches is null or size(matches) = 0"), df.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
