@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import documents
+from .common import computed, documents, packed, unpacked
 
 SIZE = 3
 NOT_BLANK = "[^\\x09-\\x0D\\x20]"
@@ -28,12 +28,14 @@ NOT_BLANK = "[^\\x09-\\x0D\\x20]"
 
 def later_spans(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, spans``: sorted disjoint ranges of 0-based line numbers to remove, for documents that have any."""
-    lines = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines"))
+    texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    lines = computed(texts, lines=F.split("text", "\n", -1)).drop("text")
     windows = (
         lines.where(F.size("lines") >= size)
         .select(
             "doc_id",
-            F.posexplode(F.transform(F.sequence(F.lit(1), F.size("lines") - (size - 1)), lambda i: F.array_join(F.slice("lines", i, size), "\n"))).alias("line", "window"),
+            # get() takes constant time inside a lambda; slice() would copy all lines each time
+            F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - size), lambda i: F.concat_ws("\n", *[F.get("lines", i + k) for k in range(size)]))).alias("line", "window"),
         )
         .where(F.col("window").rlike(NOT_BLANK))
         .select("doc_id", "line", F.unhex(F.md5("window")).alias("hash"))
@@ -48,40 +50,40 @@ def later_spans(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_co
     return spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
-def dedup_lines(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns with the text cut, plus ``_n_lines, _n_removed, _n_spans``."""
-    spans = later_spans(df, size, id_col, text_col).withColumnRenamed("doc_id", "_span_id")
-    text = F.col(f"`{text_col}`")
-    joined = df.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col("_span_id")), "left").drop("_span_id")
-    lines = F.split(text, "\n", -1)
-    n = F.size("spans")
-
-    def gap(i):
-        start = F.when(i == 0, 0).otherwise(F.get(F.col("spans.last"), i - 1) + 1)
-        end = F.when(i == n, F.size(lines)).otherwise(F.get(F.col("spans.first"), i))
-        return F.slice(lines, start + 1, end - start)
-
-    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), gap)), "\n")
-    return (
-        joined.withColumn("_n_lines", F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("_n_removed", F.coalesce(F.aggregate("spans", F.lit(0), lambda a, s: a + s["last"] - s["first"] + 1), F.lit(0)).cast("long"))
-        .withColumn("_n_spans", F.coalesce(F.when(F.col("spans").isNotNull(), n), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("spans").isNull(), text).otherwise(kept))
-        .drop("spans")
-    )
+def cut_lines(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row`` (all input columns), ``doc_id, text`` (cut), ``n_lines, n_removed, n_spans`` for every input row."""
+    spans = later_spans(df, size, id_col, text_col).withColumnRenamed("doc_id", "_id")
+    joined = packed(df, id_col, text_col).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    lines, n = F.split("text", "\n", -1), F.size("spans")
 
+    def marks(i):
+        before = F.when(i == 0, 0).otherwise(F.get(F.col("spans.last"), i - 1) + 1)
+        first, last = F.get(F.col("spans.first"), i), F.get(F.col("spans.last"), i)
+        return F.concat(F.array_repeat(F.lit(False), first - before), F.array_repeat(F.lit(True), last - first + 1))
 
-def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select(
+    joined = computed(joined, covered=F.when(F.col("spans").isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), n - 1), marks))))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get("covered", i), F.lit(False))), "\n")
+    gone = F.aggregate("spans", F.lit(0), lambda a, s: a + s["last"] - s["first"] + 1)
+    return joined.select(
+        "row",
         "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_removed").alias("n_removed"),
-        F.col("_n_spans").alias("n_spans"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"),
+        F.greatest(n, F.lit(0)).cast("long").alias("n_spans"),
     )
 
 
+def dedup_lines(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input with its texts cut; all other columns stay."""
+    return unpacked(cut_lines(df, size, id_col, text_col), df.columns, **{text_col: "text"})
+
+
+def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_lines(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 OP9_SQL = r"""
 WITH lines AS (
     SELECT doc_id, i - 1 AS line, l[i] AS content, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS win

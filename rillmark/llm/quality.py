@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, checkpointed, documents, id_and_text, ship_code
+from .common import KEY, blocks, checkpointed, documents, id_and_text, ship_code
 from .toxicity import held_out
 
 FEATURES, WIDTH, RIDGE, SEED = 192, 4.0, 0.5, 11
@@ -201,8 +201,8 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, df: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """The rows of ``df`` that are good rather than bad; all columns stay."""
-    scores = classify(df, training_rows(spark, sf_dir)).where(F.col("score") >= least).select(F.col("doc_id").alias("_good"))
-    return df.join(scores, F.col("doc_id").eqNullSafe(F.col("_good")), "left_semi")
+    scores = classify(df, training_rows(spark, sf_dir)).where(F.col("score") >= least).select(F.col("doc_id").alias(KEY)).distinct()
+    return df.join(scores, F.col("doc_id").eqNullSafe(F.col(KEY)), "left_semi")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import blocks, checkpointed, documents, id_and_text, ship_code
+from .common import KEY, blocks, checkpointed, documents, id_and_text, ship_code
 
 MAX_BITS = 3
 HOT_GROUP = 4096
@@ -253,9 +253,11 @@ def near_duplicates(df: DataFrame, size: int = 3, hot_group: int = HOT_GROUP, id
 
 
 def keep_one(df: DataFrame, near: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose document is the first of its component; all columns stay."""
-    first = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(first, F.col(f"`{id_col}`") == F.col("_kept"), "left_semi")
+    """The rows of ``df`` whose document is the first of its component; all columns stay.
+
+    Rows without an id stay if any of them is in a component of its own kind."""
+    first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(KEY)).distinct()
+    return df.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col(KEY)), "left_semi")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
