@@ -1,7 +1,7 @@
 """Byte-level BPE by DuckDB recursive queries inside each task.
 
 A task gathers the words (matches of the split pattern) of a block of documents.  The words
-it has not met before become token-position rows ``(word, position, token)``; a recursive
+its Python worker does not remember become token-position rows ``(word, position, token)``; a recursive
 query joins neighbouring rows to the merge table and contracts the leftmost pair of least
 rank of every word until no word has a pair left.  Words of more than ``LONG`` bytes contract
 all non-overlapping places of their least pair in one step, left to right, which bounds the
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,7 +27,7 @@ from .common import blocks, documents, id_and_text, ship_code
 
 LONG = 64
 #: Bytes of distinct words in one recursive query, and words a task remembers.
-PORTION_BYTES, MEMO_WORDS, MEMO_BYTES = 1_000_000, 250_000, 64
+PORTION_BYTES, MEMO_WORDS, MEMO_BYTES = 1_000_000, 500_000, 64
 
 ENCODE = """
 WITH RECURSIVE state(w, toks, ranks) AS (
@@ -159,8 +160,9 @@ class DuckBpe:
     def encode_block(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """For each text the number of ids, the ids as decimal text joined by spaces, and their decoded bytes."""
         memo, split = self.memo, [self.split(t) for t in texts]
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
+        if len(memo) > MEMO_WORDS:  # the older half goes
+            for word in list(islice(memo, len(memo) // 2)):
+                del memo[word]
         fresh = [word for word in set().union(*split) if word not in memo]
         memo.update(self.encode_words(fresh))
         for words in split:
@@ -175,6 +177,18 @@ class DuckBpe:
                 del memo[word]
 
 
+_ENCODERS: dict[tuple[str, str], DuckBpe] = {}
+
+
+def encoder(ranks_path: str, pattern: str) -> DuckBpe:
+    """The encoder of this Python worker; tasks that follow each other in it share tables and words."""
+    key = (ranks_path, pattern)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = DuckBpe(ranks_path, pattern)
+    return _ENCODERS[key]
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``ids`` (array of int)."""
     ship_code(df.sparkSession)
@@ -182,7 +196,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = DuckBpe(ranks_path, pattern)
+        bpe = encoder(ranks_path, pattern)
         for keys, texts in blocks(batches):
             ids = [[int(i) for i in s.split()] for _, s, _ in bpe.encode_block(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -199,7 +213,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = DuckBpe(ranks_path, pattern)
+        bpe = encoder(ranks_path, pattern)
         for batch in batches:
             bpe.db.register("given", pa.table({"d": pa.array(range(batch.num_rows), pa.int32()), "ids": batch.column(1)}))
             rows = bpe.db.execute(
@@ -223,7 +237,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = DuckBpe(ranks_path, pattern)
+        bpe = encoder(ranks_path, pattern)
         for keys, texts in blocks(batches):
             rows = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest(), len(data)) for n, ids, data in bpe.encode_block(texts)]
             n, ids, decoded, size = zip(*rows, strict=True)
