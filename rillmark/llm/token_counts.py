@@ -58,6 +58,17 @@ class PieceCounter:
         return total
 
 
+_COUNTERS: dict[str, PieceCounter] = {}
+
+
+def piece_counter(model_path: str) -> PieceCounter:
+    """The counter of this Python worker, shared by the tasks that follow each other in it."""
+    if model_path not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[model_path] = PieceCounter(model_path)
+    return _COUNTERS[model_path]
+
+
 def token_counts(df: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, UTF-8 bytes, tokens, and whether the tokens exceed ``limit``."""
     ship_code(df.sparkSession)
@@ -65,7 +76,7 @@ def token_counts(df: DataFrame, model_path: str, limit: int = 4096, id_col: str
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counter = PieceCounter(model_path)
+        counter = piece_counter(model_path)
         for ids, texts in blocks(batches):
             counts = [counter.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
