@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, ship_code, stored
+from .common import discard, documents, ship_code, stored, stored_at
 
 LENGTH, SEED = 200, 32
 HOT_SEGMENTS = 2_000
@@ -221,9 +221,13 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 def removed_windows(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """``doc_id, first, last``: ranges of window starts (bytes) to remove; ``df`` has ``doc_id`` and binary ``text``."""
-    found = stored(anchor_rows(df, length))
-    twice = found.groupBy("seed").count().where(F.col("count") > 1).select("seed")
+    spark = df.sparkSession
+    found, found_path = stored_at(anchor_rows(df, length))
+    # Stored, so that both sides of the join come straight from an exchange and hot seeds can be split.
+    twice, twice_path = stored_at(found.groupBy("seed").count().where(F.col("count") > 1).select("seed"))
     again = stored(found.join(twice, "seed"))
+    discard(spark, found_path)
+    discard(spark, twice_path)
     kinds = again.groupBy("seed", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "last")).alias("one"))
     same = again.join(kinds.where("copies > 1").select("seed", "content"), ["seed", "content"]).select("doc_id", "first", "last")
     several = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -275,7 +279,7 @@ def removed_windows(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT
         if rows:
             yield block(rows)
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cold = segments.where("not hot").select("doc_id", "seed", "first", "bytes").repartition(parts, "seed").sortWithinPartitions("seed")
     sorted_spans = cold.select("doc_id", "seed", "first", "bytes").mapInArrow(sort_block, "doc_id long, first long, last long")
 
