@@ -4,7 +4,7 @@ What is replaced, and how it is validated: payment card numbers (13 to 19 digits
 American telephone numbers (area and exchange from 2 to 9), social security numbers (issued
 areas), IPv4 addresses (four octets), dates (real days of 1900 to 2099 in ISO, slashed and
 dotted forms), e-mail addresses, and hexadecimal secrets behind ``password``, ``token``,
-``secret`` or ``key``.  A value is ranked within the set of valid values of its format, a keyed
+``secret`` or ``key`` in any letter case.  A value is ranked within the set of valid values of its format, a keyed
 Feistel network of ten rounds permutes that set, and the new rank is written in the old
 layout: separators, letter case and length stay, check digits are right again.  The key alone
 decides, so equal values stay equal across documents (whatever their separators), different
@@ -32,10 +32,10 @@ KEY = b"rillmark pseudonyms"
 ROUNDS = 10
 KINDS = ("card", "phone", "ssn", "ip", "date", "email", "secret")
 SCHEMA = "doc_id long, text string, n_replaced long, " + ", ".join(f"n_{k} long" for k in KINDS)
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@=:]")  # every kind has one of these
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"
-    r"|(?P<secret>(?:password|passwd|token|secret|api[_-]?key|key)\s?[=:]\s?[\"']?[0-9a-fA-F]{8,128}(?![0-9A-Za-z]))"
+    r"|(?P<secret>(?ai:password|passwd|token|secret|api[_-]?key|key)\s?[=:]\s?[\"']?[0-9a-fA-F]{8,128}(?![0-9A-Za-z]))"
     r"|(?<![0-9.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9]|\.[0-9])"
     r"|(?<![0-9])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[-/.][0-9])"
     r"|(?<![0-9-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|-[0-9])"
@@ -168,7 +168,11 @@ def _secret(text: str, key: bytes, back: bool) -> str | None:
     start = re.search(r"[=:]\s?[\"']?", text).end()
     value = text[start:]
     hexadecimal = ["0123456789abcdef"] if value == value.lower() else ["0123456789ABCDEF"] if value == value.upper() else LETTERS
-    return text[:start] + _symbols(value, key, "secret", hexadecimal, back)
+    upper = hexadecimal[0].isupper()
+    while True:
+        value = _symbols(value, key, "secret", hexadecimal, back)
+        if not upper or value != value.lower():  # digits alone would count as lower case on the way back
+            return text[:start] + value
 
 
 REPLACE = {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "email": _email, "secret": _secret}

@@ -188,6 +188,20 @@ def test_invalid_values_stay(text):
     assert pseudonyms.pseudonymise(text)[0] == text
 
 
+@pytest.mark.parametrize("text", ['TOKEN = "9233A8EC0B1D44F7"', "Api_Key: 9233a8ec0b1d44f7", "password=deadbeef"])
+def test_secrets_behind_key_words_of_any_case_and_without_digits(text):
+    new, counts = pseudonyms.pseudonymise(text, b"key")
+    assert new != text and counts["secret"] == 1 and pseudonyms.pseudonymise(new, b"key", back=True)[0] == text
+    assert pseudonyms.pseudonymise(text + " 1", b"key")[0] == new + " 1"
+
+
+def test_upper_case_secrets_stay_apart_from_lower_case_ones():
+    for i in range(300):
+        text = f"KEY={i:07d}A"
+        new = pseudonyms.pseudonymise(text, b"key")[0]
+        assert new[4:].upper() == new[4:] != new[4:].lower() and pseudonyms.pseudonymise(new, b"key", back=True)[0] == text
+
+
 def test_pseudonyms_of_edge_rows(edge, edge_rows, no_rows):
     assert rows_of(pseudonyms.pseudonyms(edge), "doc_id", "text", "n_replaced") == sorted(((i, t, 0) for i, t in edge_rows), key=repr)
     assert pseudonyms.pseudonyms(no_rows).count() == 0
