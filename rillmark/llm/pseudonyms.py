@@ -10,6 +10,10 @@ layout: separators, letter case and length stay, check digits are right again.
 decides, so equal values stay equal across documents (whatever their separators), different
 ones stay different, and the holder of the key can go back.
 
+In a longer run of digit groups a card is the longest valid number of whole groups, tried from
+each group on.  There the neighbours decide with it: by chance (a check digit fits one number in
+ten) a card is read together with a neighbour, or a pseudonym is so on the way back.
+
 A map over whole texts; nothing is shuffled.
 
 Defined results: a null text stays null; an empty one stays empty; repeated rows are treated
@@ -40,8 +44,10 @@ PATTERN = re.compile(
     r"|(?<![0-9])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[-/.][0-9])"
     r"|(?<![0-9-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|-[0-9])"
     r"|(?<![0-9])(?P<phone>(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])"
-    r"|(?<![0-9])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9]|[ -][0-9])"
+    r"|(?<![0-9])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"
 )
+#: What a card must not cut: numbers of other kinds in the same run of digits.
+UNCUT = re.compile(PATTERN.pattern[PATTERN.pattern.index(r"(?<![0-9.])(?P<ip>") : PATTERN.pattern.index(r"|(?<![0-9])(?P<card>")])
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -97,6 +103,13 @@ def _card(text: str, key: bytes, back: bool) -> str | None:
     return refill(text, body + str(luhn(body)))
 
 
+def _card_ends(match: re.Match) -> list[int]:
+    """Where a card that begins with the match may end, behind a group of digits; the longest first."""
+    ends = [match.end(), *reversed([match.start() + m.start() for m in re.finditer("[ -]", match[0])])]
+    others = [m.span() for m in UNCUT.finditer(match.string, match.start(), match.end() + 24)]
+    return [e for e in ends if not any(a < e < b for a, b in others)]
+
+
 def _phone(text: str, key: bytes, back: bool) -> str | None:
     digits = _digits(text)
     country, own = digits[:-10], digits[-10:]
@@ -184,15 +197,19 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
     if not TRIGGER.search(text):
         return text, counts
 
-    def put(match: re.Match) -> str:
-        kind = match.lastgroup
-        new = REPLACE[kind](match[0], key, back)
-        if new is None:
-            return match[0]
-        counts[kind] += 1
-        return new
-
-    return PATTERN.sub(put, text), counts
+    out, done, at = [], 0, 0
+    while match := PATTERN.search(text, at):
+        kind, start = match.lastgroup, match.start()
+        for end in _card_ends(match) if kind == "card" else (match.end(),):
+            new = REPLACE[kind](text[start:end], key, back)
+            if new is not None:
+                counts[kind] += 1
+                out += text[done:start], new
+                done = at = end
+                break
+        else:
+            at = re.compile("[0-9]+").match(text, start).end() if kind == "card" else match.end()
+    return "".join(out) + text[done:], counts
 
 
 def pseudonyms(df: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

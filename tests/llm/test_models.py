@@ -202,6 +202,23 @@ def test_upper_case_secrets_stay_apart_from_lower_case_ones():
         assert new[4:].upper() == new[4:] != new[4:].lower() and pseudonyms.pseudonymise(new, b"key", back=True)[0] == text
 
 
+@pytest.mark.parametrize(("text", "shape", "cards"), [
+    ("4111 1111 1111 1111 12/25", r"(\d{4} \d{4} \d{4} \d{4}) 12/25", 1), ("4111111111111111 123", r"(\d{16}) 123", 1), ("12 4111-1111-1111-1111", r"12 (\d{4}-\d{4}-\d{4}-\d{4})", 1),
+    ("7536784127813050 4111111111111111", r"(\d{16}) (\d{16})", 2), ("4111111111111112 4111111111111111", r"4111111111111112 (\d{16})", 1),
+])
+def test_cards_among_further_digits(text, shape, cards):
+    new, counts = pseudonyms.pseudonymise(text)
+    olds, news = re.fullmatch(shape, text).groups(), re.fullmatch(shape, new).groups()
+    assert counts["card"] == cards == sum(counts.values())
+    assert [pseudonyms.pseudonymise(x)[0] for x in olds] == list(news) and not set(olds) & set(news)
+
+
+@pytest.mark.parametrize("card", ["4111111111111111", "4111111111111112", *[f"41111111111{i}" + str(pseudonyms.luhn(f"41111111111{i}")) for i in range(1000, 1030)]])
+def test_cards_do_not_cut_telephone_numbers_behind_them(card):
+    new, counts = pseudonyms.pseudonymise(card + " 555-223-4567")
+    assert counts["phone"] == 1 and new.endswith(pseudonyms.pseudonymise("555-223-4567")[0])
+
+
 def test_pseudonyms_of_edge_rows(edge, edge_rows, no_rows):
     assert rows_of(pseudonyms.pseudonyms(edge), "doc_id", "text", "n_replaced") == sorted(((i, t, 0) for i, t in edge_rows), key=repr)
     assert pseudonyms.pseudonyms(no_rows).count() == 0
