@@ -14,8 +14,8 @@ term of every window:
 A posting list is never gathered in one place: postings stay rows up to the document they
 belong to.  The items' words are broadcast only after a count shows no more than
 ``BROADCAST_TERMS`` of them; beyond that the same plan runs as shuffled joins.  Only DataFrame
-functions are used.  Counts and postings use Spark's ``lower``, which never tells apart what
-equal words have in common; the comparison uses exact ASCII lower case.
+functions are used.  Counts and postings use Spark's ``lower`` with both forms of a lower-case
+sigma made one, which never tells equal words apart; the comparison uses exact ASCII lower case.
 
 Defined results: a null, empty or wordless text has no words and no hits; a wordless item has
 no window; repeated rows, rows that share an id and rows without one are each compared by
@@ -39,8 +39,8 @@ def exact_words(text: Column) -> Column:
 
 
 def loose_words(text: Column) -> Column:
-    """Same words and places, in full lower case."""
-    return F.array_remove(F.split(F.lower(text), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", -1), "")
+    """Same words and places, in full lower case with one form of sigma: ``lower`` picks the final form by what stands around the word."""
+    return F.array_remove(F.split(F.replace(F.lower(text), F.lit("ς"), F.lit("σ")), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", -1), "")
 
 
 def _bounded(terms: DataFrame) -> DataFrame:

@@ -55,6 +55,13 @@ def test_rows_that_share_an_id_are_compared_by_their_own_text(spark, benchmark):
     assert rows_of(D.contamination(spark.createDataFrame(rows, "doc_id long, text string"), frame), "doc_id", "n_words", "n_hit", "items") == plain(rows, items)
 
 
+def test_greek_words_match_whatever_stands_around_them(spark):
+    items = [(0, "ΟΔΟΣ Α"), (1, "ΟΔΟΣ.Β"), (2, "οδος γ"), (3, "ΣΣ")]
+    docs = [(1, "x ΟΔΟΣ.Α y"), (2, "x ΟΔΟΣ Β"), (3, "οδοσ γ"), (4, "ΣΣ.Σ"), (5, "οδος γ"), (6, "ΟΔΟΣ Α")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    assert rows_of(D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), frame), "doc_id", "n_words", "n_hit", "items") == plain(docs, items)
+
+
 def test_filter_keeps_columns_and_clean_rows(edge, edge_rows, benchmark, no_rows):
     items, frame = benchmark
     kept = D.drop_contaminated(edge, frame)
