@@ -6,7 +6,8 @@ random Fourier features of them approximate a Gaussian kernel.  Every task sums
 the normal equations; the parts are added up row by row before the driver solves them (a
 system of ``FEATURES`` + 1 unknowns, whatever the input).  A fifth of the training rows is kept
 for calibration: their scores are counted in bins of fixed width, and isotonic regression over
-the bins turns a score into a probability.  All labelled training rows are used.
+the bins turns a score into a probability.  All labelled training rows are used.  If a part
+lacks a class, as with few rows, all training rows stand in for it.
 
 Defined results: null, empty and wordless texts have statistics of zero and are scored like
 any other; repeated rows are scored each by itself; without training rows of both classes
@@ -126,12 +127,16 @@ def fit(stats: DataFrame, labels: DataFrame, label: str) -> dict:
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("y")).where("_id is not null and y in (0, 1)").dropDuplicates(["_id"])
     rows = stats.join(marks, stats.doc_id == F.col("_id")).select("x", "y", (F.pmod(F.xxhash64("_id"), F.lit(5)) == 0).alias("calibrate"))
     x = [F.get("x", F.lit(i)) for i in range(N_STATS)]
-    first = rows.agg(F.count("*"), F.sum("y"), *[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x]).first()
+    kept = F.when(F.col("calibrate"), F.col("y"))
+    first = rows.agg(F.count("*"), F.sum("y"), *[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x], F.count(kept), F.sum(kept)).first()
     n, ones = first[0], first[1] or 0
     share = ones / n if n else 0.0
     if not 0 < ones < n:
         return {"share": share}
-    mean, spread = list(first[2 : 2 + N_STATS]), list(first[2 + N_STATS :])
+    mean, spread = list(first[2 : 2 + N_STATS]), list(first[2 + N_STATS : 2 + 2 * N_STATS])
+    n_kept, ones_kept = first[-2], first[-1] or 0
+    fitting = rows.where("not calibrate") if 0 < ones - ones_kept < n - n_kept else rows
+    calibrating = rows.where("calibrate") if 0 < ones_kept < n_kept else rows
     d = FEATURES + 1
 
     def part(batches: Iterator) -> Iterator:
@@ -145,7 +150,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str) -> dict:
                 sums += phi.T @ np.column_stack([phi, y[at : at + 4096]])
         yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["i", "v"])
 
-    parts = rows.where("not calibrate").select("x", "y").mapInArrow(part, "i int, v array<double>")
+    parts = fitting.select("x", "y").mapInArrow(part, "i int, v array<double>")
     summed = parts.groupBy("i").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"s{j}") for j in range(d + 1)])
     system = np.array([list(r)[1:] for r in summed.orderBy("i").collect()])
     weights = np.linalg.solve(system[:, :d] + RIDGE * np.eye(d), system[:, d])
@@ -158,7 +163,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str) -> dict:
             raw = kernel(_matrix(batch.column(0), N_STATS)) @ weights
             yield pa.RecordBatch.from_arrays([pa.array(bin_of(raw), pa.int64()), batch.column(1)], names=["bin", "y"])
 
-    counts = rows.where("calibrate").select("x", "y").mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
+    counts = calibrating.select("x", "y").mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
     bins = [(r["bin"], r["n"], int(r["ones"])) for r in counts.orderBy("bin").collect()]
     return {"share": share, "mean": mean, "spread": spread, "weights": weights.tolist(), "steps": isotonic(bins)}
 

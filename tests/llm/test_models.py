@@ -89,6 +89,15 @@ def test_quality_tells_kinds_apart_on_held_out_rows(spark):
     assert sum((r["score"] >= 0.7) == (r["doc_id"] % 5 != 0) for r in got) / len(got) > 0.97
 
 
+@pytest.mark.parametrize("folds", ["fold > 0", "fold > 0 or quality = 1", "fold = 0", "fold = 0 or quality = 1"])
+def test_quality_learns_from_few_rows_whose_parts_lack_a_class(spark, folds):
+    rows = [(i, "WORD!! " * (30 + i) if i % 2 else f"Some plain words of a text that goes on, number {i}. " * 6) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("quality"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")).where(folds)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, marks).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 0) for i in got)
+
+
 def test_quality_of_edge_rows(edge, edge_rows, labels, no_rows):
     got = quality.classify(edge, labels)
     assert rows_of(got, "doc_id") == sorted(((i,) for i, _ in edge_rows), key=repr)
