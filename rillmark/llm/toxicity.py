@@ -33,6 +33,8 @@ from .common import blocks, documents, id_and_text, ship_code
 
 #: Bound of the training sample, for each class.
 MAX_TRAIN_DOCS = 2_500
+#: Segments drawn at random from each sampled text, besides those around its toxic tokens; training sees no others.
+RANDOM_SEGMENTS = 2
 SEGMENT, EPOCHS, STEPS, BATCH, RATE = 48, 3, 120, 128, 0.3  # at least so many passes and steps
 STRETCH = 64
 SHRINK = 0.2
@@ -96,12 +98,12 @@ def token_labels(texts: list[list[str]], toxic: list[int]) -> set[str]:
 
 
 def _segments(sequences, labels, rng):
-    """Fixed-length training segments: those around toxic tokens, and two more of each text."""
+    """Fixed-length training segments: those around toxic tokens, and up to ``RANDOM_SEGMENTS`` more of each text."""
     for ids, y in zip(sequences, labels, strict=True):
         n = len(y)
         if not n:
             continue
-        starts = {int(i) // SEGMENT * SEGMENT for i in y.nonzero()[0]} | {int(i) // SEGMENT * SEGMENT for i in rng.integers(0, n, 2)}
+        starts = {int(i) // SEGMENT * SEGMENT for i in y.nonzero()[0]} | {int(i) // SEGMENT * SEGMENT for i in rng.integers(0, n, RANDOM_SEGMENTS)}
         for s in sorted(starts):
             yield ids[s : s + SEGMENT], y[s : s + SEGMENT]
 

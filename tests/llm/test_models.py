@@ -39,6 +39,14 @@ def test_marginals_equal_forward_backward():
         assert np.allclose(np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1])), got[a:b], atol=1e-9)
 
 
+def test_number_of_random_segments_is_a_parameter(monkeypatch):
+    ids, y = np.zeros((20_000, 4), dtype=np.int32), np.zeros(20_000, dtype=np.int8)
+    count = lambda: len(list(toxicity._segments([ids], [y], np.random.default_rng(0))))
+    assert 1 <= count() <= toxicity.RANDOM_SEGMENTS
+    monkeypatch.setattr(toxicity, "RANDOM_SEGMENTS", 50)
+    assert 25 < count() <= 50
+
+
 def test_field_finds_held_out_words_and_their_offsets(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("aeioubcd") for _ in range(5)) for _ in range(200)]
