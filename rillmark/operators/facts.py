@@ -21,8 +21,15 @@ FACT_SCHEMA = (
 IDENTITY = ["project_id", "event_name", "user_key", "ts", "message_id"]
 
 
-def of_project(df: DataFrame, project_id: str | None) -> DataFrame:
-    return df if project_id is None else df.where(F.col("project_id") == project_id)
+def of_project(df: DataFrame, project_id: str) -> DataFrame:
+    """Every query begins here: rows of one project only."""
+    return df.where(F.col("project_id") == project_id)
+
+
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows of an answer in order.  Answers are bounded by their request (days, days followed), so one sorted partition
+    holds them; it stands behind an exchange, as ``coalesce`` would pull the last aggregation into one task as well."""
+    return df.repartition(1).sortWithinPartitions(*columns)
 
 
 def midnight(day: dt.date) -> Column:

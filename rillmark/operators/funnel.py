@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.stats import upper_median, value_counts
 from ..plans.requests import Funnel, Sampled
-from .facts import midnight, millis, on_days
+from .facts import midnight, millis, of_project, on_days
 
 import datetime as dt
 
@@ -21,7 +21,7 @@ import datetime as dt
 def step_rows(facts: DataFrame, q: Funnel, sampled: Sampled = Sampled()) -> DataFrame:
     """``user_key, t, step`` of the rows that can matter."""
     index = F.array_position(F.array(*[F.lit(s) for s in q.steps]), F.col("event_name")).cast("int")
-    rows = on_days(facts, q.days, q.window_seconds).where(F.col("event_name").isin(*q.steps))
+    rows = on_days(of_project(facts, q.project), q.days, q.window_seconds).where(F.col("event_name").isin(*q.steps))
     rows = rows.where((F.col("event_name") != q.steps[0]) | (F.col("ts") < midnight(q.days.end + dt.timedelta(days=1))))
     rows = rows.where(~F.col("is_late") & (F.col("sample_bucket") < sampled.threshold))
     return rows.select("user_key", millis().alias("t"), index.alias("step"))
@@ -76,9 +76,10 @@ def funnel(facts: DataFrame, q: Funnel, sampled: Sampled = Sampled(), fold: bool
     order = Window.orderBy("step")  # at most eight rows
     previous, first = F.lag("users").over(order), F.first("users").over(order)
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return scaled.select(
+    answer = scaled.select(
         "step", "event", "users",
         F.when(F.col("step") == 1, 1.0).otherwise(ratio(F.col("users"), previous)).alias("conversion_from_previous"),
         ratio(F.col("users"), first).alias("conversion_from_start"),
         F.when(F.col("step") > 1, F.col("median") / 1000).alias("median_seconds_from_start"),
     )
+    return answer.orderBy("step")

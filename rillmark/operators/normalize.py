@@ -17,19 +17,20 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.identity import BUCKETS, bucket_of, key_of
 from ..functions.numbers import canonical
 from ..functions.ship import ship_code
-from ..plans.requests import EVENT_NAME
+from ..plans.requests import EVENT_NAME, RequestError
 from ..sources.registry import Property, Settings, Snapshot, Spec
 
 MESSAGE_ID = re.compile(r"[!-~]{1,128}")
 TIMESTAMP = re.compile(r"(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(?:[Zz]|([+-])(\d{2}):?(\d{2}))")
 MAX_ID, MAX_STRING, MAX_REPORTED, MAX_NAME, MAX_PAYLOAD = 256, 1_024, 10, 64, 64 * 1_024
+MAX_BATCH, MAX_REQUEST = 500, 4 * 1_024 * 1_024
 REDACTED = "[redacted]"
 LATE, FUTURE, RETENTION = dt.timedelta(hours=2), dt.timedelta(minutes=5), dt.timedelta(days=90)
 
@@ -165,9 +166,12 @@ class Normalizer:
     snapshot: Snapshot
 
     def __call__(self, project: str, raw: str | None, received_at: dt.datetime, pos: int = 0) -> dict:
-        """One row of ``SCHEMA``."""
+        """One row of ``SCHEMA``.  A message without project or arrival is ``unreadable``: counted, and stored nowhere."""
         out: dict = dict.fromkeys(f.split()[0] for f in SCHEMA.split(", "))
-        received_at = received_at.replace(microsecond=received_at.microsecond // 1000 * 1000, tzinfo=dt.timezone.utc)
+        if project is None or received_at is None:
+            return out | {"status": "unreadable", "reason": "no project or no time of arrival", "message_id": "", "event_name": "", "pos": pos}
+        received_at = received_at.astimezone(dt.timezone.utc) if received_at.tzinfo else received_at.replace(tzinfo=dt.timezone.utc)
+        received_at = received_at.replace(microsecond=received_at.microsecond // 1000 * 1000)
         out |= {"project_id": project, "received_at": received_at, "message_id": "", "event_name": "", "pos": pos}
         settings = self.snapshot.projects.get(project, Settings())
         try:
@@ -253,6 +257,12 @@ def quarantine_payload(event: object, raw: str | None, redact: set[str]) -> str
 # --- on DataFrames --------------------------------------------------------------------------
 
 
+def rows_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Rows of the normaliser as a DataFrame, for a handful of events on the driver."""
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], SCHEMA)
+
+
 def normalize(df: DataFrame, snapshot: Snapshot) -> DataFrame:
     """Rows of ``SCHEMA`` from ``project_id, raw, received_at, pos``; in-batch duplicates are not marked yet."""
     ship_code(df.sparkSession)
@@ -265,28 +275,50 @@ def normalize(df: DataFrame, snapshot: Snapshot) -> DataFrame:
 
         own = Normalizer(shared.value)
         for batch in batches:
-            columns = batch.to_pydict()
-            rows = [own(*row) for row in zip(columns["project_id"], columns["raw"], columns["received_at"], columns["pos"], strict=True)]
-            for row in rows:
-                row["properties"] = None if row["properties"] is None else list(row["properties"].items())
-            yield pa.RecordBatch.from_pylist(rows, schema=target)
+            rows = [own(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
+            columns = [[row[name] for row in rows] for name in target.names]
+            at = target.names.index("properties")
+            columns[at] = [None if p is None else list(p.items()) for p in columns[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     return df.select("project_id", "raw", F.col("received_at").cast("timestamp").alias("received_at"), F.col("pos").cast("long").alias("pos")).mapInArrow(run, SCHEMA)
 
 
 def mark_duplicates(rows: DataFrame) -> DataFrame:
-    """Accepted events after the first of their message id become ``duplicate``; others are untouched."""
-    first = Window.partitionBy("project_id", "message_id").orderBy("pos")
-    accepted = rows.where("status = 'accepted'").withColumn("_n", F.row_number().over(first))
-    again = F.col("_n") > 1
-    accepted = accepted.withColumn("reason", F.when(again, "repeated within the batch")).withColumn("status", F.when(again, "duplicate").otherwise("accepted")).drop("_n")
-    return accepted.unionByName(rows.where("status <> 'accepted'"))
+    """Accepted events after the first of their message id become ``duplicate``; others are untouched.
+
+    One window over all rows, so that what makes them runs once; rows that cannot be duplicates are dealt by position."""
+    accepted = F.col("status") == "accepted"
+    first = Window.partitionBy("project_id", accepted, F.when(accepted, F.col("message_id")).otherwise(F.col("pos").cast("string"))).orderBy("pos")
+    again = accepted & (F.row_number().over(first) > 1)
+    marked = rows.withColumn("_again", again)
+    marked = marked.withColumn("reason", F.when(F.col("_again"), "repeated within the batch").otherwise(F.col("reason")))
+    return marked.withColumn("status", F.when(F.col("_again"), "duplicate").otherwise(F.col("status"))).drop("_again")
 
 
 def ingest(df: DataFrame, snapshot: Snapshot) -> DataFrame:
     return mark_duplicates(normalize(df, snapshot))
 
 
+def request_problems(raws: list[str]) -> list[str]:
+    """What is wrong with the size of one delivery; an empty list if it can be taken."""
+    sizes = [len(r.encode("utf-8", "surrogatepass")) for r in raws]
+    rules = (
+        (1 <= len(raws) <= MAX_BATCH, f"{len(raws)} events, 1 to {MAX_BATCH} are possible"),
+        (len(raws) != 1 or sizes[0] <= MAX_PAYLOAD, f"the event is larger than {MAX_PAYLOAD} bytes"),
+        (sum(sizes) <= MAX_REQUEST, f"the events are larger than {MAX_REQUEST} bytes"),
+    )
+    return [problem for holds, problem in rules if not holds]
+
+
+def deliver(spark: SparkSession, project_id: str, raws: list[str], received_at: dt.datetime, snapshot: Snapshot) -> DataFrame:
+    """One delivery of 1 to 500 raw events as judged rows; raises ``RequestError`` beyond the bounds."""
+    if found := request_problems(raws):
+        raise RequestError(found)
+    rows = [(project_id, raw, received_at, i) for i, raw in enumerate(raws)]
+    return ingest(spark.createDataFrame(rows, "project_id string, raw string, received_at timestamp, pos long"), snapshot)
+
+
 def outcomes(df: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
     """``status, reason, n``."""
     if snapshot is None:

@@ -62,8 +62,13 @@ def page(rows: DataFrame, project_id: str, limit: int, cursor: str | None = None
     return found[:limit], encode_cursor(last["received_at"], last["quarantine_id"])
 
 
+def found(rows: DataFrame, project_id: str, quarantine_id: str) -> DataFrame:
+    """The newest version of one event, if there is one."""
+    return latest(rows.where((F.col("project_id") == project_id) & (F.col("quarantine_id") == quarantine_id)))
+
+
 def find(rows: DataFrame, project_id: str, quarantine_id: str) -> Row | None:
-    return latest(rows.where((F.col("project_id") == project_id) & (F.col("quarantine_id") == quarantine_id))).first()
+    return found(rows, project_id, quarantine_id).first()
 
 
 def replayed(row: Row, now: dt.datetime) -> Row:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.requests import Days, Retention, Sampled
-from .facts import on_days
+from .facts import in_order, of_project, on_days
 from .rollup import days_of
 
 
@@ -19,7 +19,8 @@ def _cohorts(users: DataFrame, q: Retention, sampled: Sampled) -> DataFrame:
     grid = counts.where("k = -1").select(F.col("cohort").alias("day"), F.col("n").alias("users"), F.explode(F.sequence(F.lit(0), F.lit(q.follow))).alias("k"))
     hits = counts.where("k >= 0").select(F.col("cohort").alias("day"), "k", F.col("n").alias("hits"))
     scale = lambda c: F.bround(c * sampled.scale).cast("long")
-    return grid.join(hits, ["day", "k"], "left").select("day", "k", scale(F.col("users")).alias("users"), scale(F.coalesce("hits", F.lit(0))).alias("retained"))
+    answer = grid.join(hits, ["day", "k"], "left").select("day", "k", scale(F.col("users")).alias("users"), scale(F.coalesce("hits", F.lit(0))).alias("retained"))
+    return in_order(answer, "day", "k")
 
 
 def retention_from_events(facts: DataFrame, q: Retention, sampled: Sampled = Sampled()) -> DataFrame:
@@ -27,7 +28,7 @@ def retention_from_events(facts: DataFrame, q: Retention, sampled: Sampled = Sam
     q.checked()
     last = q.days.end + dt.timedelta(days=q.follow)
     day, name = F.to_date("ts"), F.col("event_name")
-    rows = on_days(facts, Days(q.days.start, last)).where(name.isin(q.start_event, q.return_event))
+    rows = on_days(of_project(facts, q.project), Days(q.days.start, last)).where(name.isin(q.start_event, q.return_event))
     rows = rows.where(~F.col("is_late") & (F.col("sample_bucket") < sampled.threshold))
     users = rows.groupBy("user_key").agg(
         F.min(F.when((name == q.start_event) & (day <= F.lit(q.days.end)), day)).alias("cohort"),
@@ -40,7 +41,7 @@ def retention_from_rollup(rollup: DataFrame, q: Retention, sampled: Sampled = Sa
     """The same from month masks: a user has at most one row per event and month (more while unmerged)."""
     q.checked()
     last, name = q.days.end + dt.timedelta(days=q.follow), F.col("event_name")
-    rows = rollup.where(name.isin(q.start_event, q.return_event) & (F.col("sample_bucket") < sampled.threshold))
+    rows = of_project(rollup, q.project).where(name.isin(q.start_event, q.return_event) & (F.col("sample_bucket") < sampled.threshold))
     rows = rows.where(F.col("month").between(F.lit(q.days.start.replace(day=1)), F.lit(last)))
     days = F.filter(days_of(F.col("month"), F.col("days")), lambda d: (d >= F.lit(q.days.start)) & (d <= F.lit(last)))
     own = rows.select("user_key", name, days.alias("active"))
@@ -55,7 +56,7 @@ def retention_by_join(facts: DataFrame, q: Retention, sampled: Sampled = Sampled
     """The older formulation, cohorts joined to distinct return days; a cross-check."""
     q.checked()
     last, name, day = q.days.end + dt.timedelta(days=q.follow), F.col("event_name"), F.to_date("ts")
-    rows = on_days(facts, Days(q.days.start, last)).where(~F.col("is_late") & (F.col("sample_bucket") < sampled.threshold))
+    rows = on_days(of_project(facts, q.project), Days(q.days.start, last)).where(~F.col("is_late") & (F.col("sample_bucket") < sampled.threshold))
     cohorts = rows.where((name == q.start_event) & (day <= F.lit(q.days.end))).groupBy("user_key").agg(F.min(day).alias("cohort"))
     returns = rows.where(name == q.return_event).select("user_key", day.alias("d")).distinct()
     joined = cohorts.join(returns, "user_key", "left").groupBy("user_key", "cohort").agg(F.collect_set("d").alias("returns"))
@@ -65,4 +66,4 @@ def retention_by_join(facts: DataFrame, q: Retention, sampled: Sampled = Sampled
 def retained_arrays(long_form: DataFrame) -> DataFrame:
     """``day, users, retained`` with one array per cohort, ordered by k."""
     pairs = F.sort_array(F.collect_list(F.struct("k", "retained")))
-    return long_form.groupBy("day", "users").agg(pairs["retained"].alias("retained"))
+    return in_order(long_form.groupBy("day", "users").agg(pairs["retained"].alias("retained")), "day")

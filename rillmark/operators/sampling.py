@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.requests import Days, Sampled
+from .facts import of_project
 
 
-def threshold_frame(rollup: DataFrame, days: Days, events: list[str] | None = None) -> DataFrame:
-    """``threshold``: least stored threshold of the months touched; 10,000 if there is none."""
-    rows = rollup.where(F.col("month").between(F.lit(days.start.replace(day=1)), F.lit(days.end)))
+def threshold_frame(rollup: DataFrame, project: str, days: Days, events: list[str] | None = None) -> DataFrame:
+    """``threshold``: least stored threshold of the project in the months touched; 10,000 if there is none."""
+    rows = of_project(rollup, project).where(F.col("month").between(F.lit(days.start.replace(day=1)), F.lit(days.end)))
     if events is not None:
         rows = rows.where(F.col("event_name").isin(*events))
     return rows.agg(F.coalesce(F.expr("nullif(min(sample_threshold), 0)"), F.lit(10_000)).cast("int").alias("threshold"))
 
 
-def sampling_for(rollup: DataFrame, days: Days, events: list[str] | None = None) -> Sampled:
-    return Sampled.at(threshold_frame(rollup, days, events).first()["threshold"])
+def sampling_for(rollup: DataFrame, project: str, days: Days, events: list[str] | None = None) -> Sampled:
+    return Sampled.at(threshold_frame(rollup, project, days, events).first()["threshold"])

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.identity import weight
 from ..plans.requests import Sampled, Segment
-from .facts import dedup_earliest, matches, on_days
+from .facts import dedup_earliest, in_order, matches, of_project, on_days
 
 
 def _counts(facts: DataFrame, q: Segment, sampled: Sampled) -> DataFrame:
     q.checked()
-    rows = on_days(facts, q.days)
+    rows = on_days(of_project(facts, q.project), q.days)
     if q.event is not None:
         rows = rows.where(F.col("event_name") == q.event)
     for f in q.filters:  # copies agree on properties, so this may go before the dedup
@@ -26,7 +26,7 @@ def _counts(facts: DataFrame, q: Segment, sampled: Sampled) -> DataFrame:
 
 def segment(facts: DataFrame, q: Segment, sampled: Sampled = Sampled()) -> DataFrame:
     """``day, events, users`` of on-time events; a day with late events only does not appear."""
-    return _counts(facts, q, sampled).where(~F.col("is_late")).select("day", "events", "users")
+    return in_order(_counts(facts, q, sampled).where(~F.col("is_late")).select("day", "events", "users"), "day")
 
 
 def late_events(facts: DataFrame, q: Segment, sampled: Sampled = Sampled()) -> DataFrame:

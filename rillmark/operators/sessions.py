@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.stats import upper_median, value_counts
 from ..plans.requests import Sessions
-from .facts import dedup_earliest, millis
+from .facts import dedup_earliest, in_order, millis, of_project
 
 GAP_MS = 30 * 60 * 1000
 SESSION_SCHEMA = "project_id string, day date, user_key long, user_id string, session_start timestamp, session_end timestamp, event_count long"
@@ -40,10 +40,18 @@ def sessions_by_window(facts: DataFrame) -> DataFrame:
 
 
 def sessions_daily(table: DataFrame, q: Sessions) -> DataFrame:
-    """``day, sessions, users, median_duration_seconds, events_per_session``; never scaled."""
+    """``day, sessions, users, median_duration_seconds, events_per_session``; never scaled.
+
+    The sessions are read once: lengths are counted, and events and users are added up along with them; a user counts
+    with the first session of a day."""
     q.checked()
-    rows = table.where(F.col("day").between(F.lit(q.days.start), F.lit(q.days.end)))
+    rows = of_project(table, q.project).where(F.col("day").between(F.lit(q.days.start), F.lit(q.days.end)))
+    first = Window.partitionBy("project_id", "day", "user_key").orderBy("session_start")
     length = (F.unix_millis("session_end") - F.unix_millis("session_start")).alias("ms")
-    medians = upper_median(value_counts(rows.select("day", length), ["day"], "ms"), ["day"]).select("day", (F.col("median") / 1000).alias("median_duration_seconds"))
-    counts = rows.groupBy("day").agg(F.count("*").alias("sessions"), F.count_distinct("user_key").alias("users"), F.avg("event_count").alias("events_per_session"))
-    return counts.join(medians, "day").select("day", "sessions", "users", "median_duration_seconds", "events_per_session")
+    rows = rows.select("day", length, "event_count", (F.row_number().over(first) == 1).cast("long").alias("user"))
+    counts = value_counts(rows, ["day"], "ms", events=F.sum("event_count"), users=F.sum("user"))
+    found = upper_median(counts, ["day"], totals=("events", "users"))
+    answer = found.select(
+        "day", F.col("n").alias("sessions"), "users", (F.col("median") / 1000).alias("median_duration_seconds"), (F.col("events") / F.col("n")).alias("events_per_session")
+    )
+    return in_order(answer, "day")

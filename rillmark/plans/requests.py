@@ -1,4 +1,7 @@
-"""Query requests and their bounds.  Every request can say what is wrong with it before a plan is built."""
+"""Query requests and their bounds.  Every request can say what is wrong with it before a plan is built.
+
+Each request names the one project it is about; no query reads rows of another.
+"""
 
 from __future__ import annotations
 
@@ -50,8 +53,8 @@ class Days(Request):
 
     def problems(self) -> list[str]:
         if self.end < self.start:
-            return ["'to' must not be before 'from'"]
-        return [f"a query may span at most {MAX_RANGE_DAYS} days"] if (self.end - self.start).days >= MAX_RANGE_DAYS else []
+            return ["the range ends before it begins"]
+        return [f"the range is longer than {MAX_RANGE_DAYS} days"] if (self.end - self.start).days >= MAX_RANGE_DAYS else []
 
 
 @dataclass(frozen=True)
@@ -74,28 +77,36 @@ class Sampled:
 
 
 def _event(name: object, what: str) -> list[str]:
-    return [] if valid_event(name) else [f"'{what}' must be an event name"]
+    return [] if valid_event(name) else [f"{what}: not an event name"]
+
+
+@dataclass(frozen=True, kw_only=True)
+class OfProject(Request):
+    project: str
+
+    def project_problems(self) -> list[str]:
+        return [] if isinstance(self.project, str) and self.project else ["project: missing"]
 
 
 @dataclass(frozen=True)
-class Funnel(Request):
+class Funnel(OfProject):
     steps: tuple[str, ...]
     days: Days
     window_seconds: int
 
     def problems(self) -> list[str]:
         if not self.steps or not 2 <= len(self.steps) <= MAX_STEPS:
-            return [f"a funnel has between 2 and {MAX_STEPS} steps"]
-        found = [p for i, s in enumerate(self.steps) for p in _event(s, f"steps[{i}]")]
+            return [f"steps: 2 to {MAX_STEPS} are needed"]
+        found = self.project_problems() + [p for i, s in enumerate(self.steps) for p in _event(s, f"step {i + 1}")]
         if len(set(self.steps)) < len(self.steps):
-            found.append("each funnel step must be a different event")
+            found.append("steps: an event stands twice")
         if not 0 < self.window_seconds <= MAX_WINDOW_SECONDS:
-            found.append(f"windowSeconds must be between 1 and {MAX_WINDOW_SECONDS}")
+            found.append(f"window: 1 to {MAX_WINDOW_SECONDS} seconds are possible")
         return found + self.days.problems()
 
 
 @dataclass(frozen=True)
-class Retention(Request):
+class Retention(OfProject):
     start_event: str
     return_event: str
     days: Days
@@ -103,14 +114,14 @@ class Retention(Request):
     source: str = "rollup"
 
     def problems(self) -> list[str]:
-        found = _event(self.start_event, "startEvent") + _event(self.return_event, "returnEvent") + self.days.problems()
+        found = self.project_problems() + _event(self.start_event, "first event") + _event(self.return_event, "returning event") + self.days.problems()
         span = (self.days.end - self.days.start).days
         if not 1 <= self.follow <= MAX_RETENTION_DAYS:
-            found.append(f"days must be between 1 and {MAX_RETENTION_DAYS}")
+            found.append(f"follow: 1 to {MAX_RETENTION_DAYS} days are possible")
         elif span >= 0 and span + self.follow >= MAX_RETENTION_SPAN:
-            found.append(f"from the first cohort to the last day followed may span at most {MAX_RETENTION_SPAN} days")
+            found.append(f"cohorts and the days that follow them cover more than {MAX_RETENTION_SPAN} days")
         if self.source not in ("rollup", "events"):
-            found.append("source must be 'rollup' or 'events'")
+            found.append("source: neither rollup nor events")
         return found
 
 
@@ -122,36 +133,36 @@ class PropertyFilter:
 
     def problems(self) -> list[str]:
         if not valid_property(self.name):
-            return ["each filter needs a valid property name"]
+            return ["filter: not a property name"]
         if self.operator not in OPERATORS:
-            return [f"filter on '{self.name}' has an unknown operator"]
-        many = self.operator == "in"
-        if not 1 <= len(self.values) <= (MAX_FILTER_VALUES if many else 1):
-            return [f"filter on '{self.name}' needs " + (f"between 1 and {MAX_FILTER_VALUES} values" if many else "exactly one value")]
+            return [f"filter {self.name}: operator is none of {', '.join(OPERATORS)}"]
+        most = MAX_FILTER_VALUES if self.operator == "in" else 1
+        if not 1 <= len(self.values) <= most:
+            return [f"filter {self.name}: takes 1 to {most} values" if most > 1 else f"filter {self.name}: takes one value"]
         if self.operator in ("gt", "lt"):
             try:
                 float(self.values[0])
             except ValueError:
-                return [f"filter on '{self.name}' compares numerically, so its value must be a number"]
+                return [f"filter {self.name}: {self.values[0]!r} is no number to compare with"]
         return []
 
 
 @dataclass(frozen=True)
-class Segment(Request):
+class Segment(OfProject):
     days: Days
     event: str | None = None
     filters: tuple[PropertyFilter, ...] = field(default=())
 
     def problems(self) -> list[str]:
-        found = ([] if self.event is None else _event(self.event, "event")) + self.days.problems()
+        found = self.project_problems() + ([] if self.event is None else _event(self.event, "event")) + self.days.problems()
         if len(self.filters) > MAX_FILTERS:
-            found.append(f"at most {MAX_FILTERS} filters")
+            found.append(f"filters: more than {MAX_FILTERS}")
         return found + [p for f in self.filters for p in f.problems()]
 
 
 @dataclass(frozen=True)
-class Sessions(Request):
+class Sessions(OfProject):
     days: Days
 
     def problems(self) -> list[str]:
-        return self.days.problems()
+        return self.project_problems() + self.days.problems()

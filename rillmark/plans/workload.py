@@ -16,15 +16,16 @@ from ..operators import sampling as S
 from ..operators import segment as G
 from ..operators import sessions as Z
 from ..operators.funnel import funnel
-from ..sources.canonical import CANONICAL_SQL, PROJECT, facts
+from ..sources.canonical import CANONICAL_SQL, PROJECT, SHARED_SQL, facts, shared_facts
+from ..sources.generate import RAW_SQL, seed_sql
 from .requests import Days, Funnel, PropertyFilter, Retention, Sampled, Segment, Sessions
 
 D = dt.date
 JANUARY = Days(D(2024, 1, 1), D(2024, 1, 31))
-FUNNEL3 = Funnel(("signup", "click", "purchase"), Days(D(2024, 1, 3), D(2024, 1, 20)), 7 * 86_400)
-FUNNEL4 = Funnel(("view", "signup", "click", "purchase"), Days(D(2024, 1, 3), D(2024, 1, 20)), 3 * 86_400)
-TIGHT = Funnel(("signup", "click", "purchase", "error"), JANUARY, 6 * 3_600)
-RETENTION = Retention("signup", "purchase", Days(D(2024, 1, 2), D(2024, 1, 12)), 14)
+FUNNEL3 = Funnel(("signup", "click", "purchase"), Days(D(2024, 1, 3), D(2024, 1, 20)), 7 * 86_400, project=PROJECT)
+FUNNEL4 = Funnel(("view", "signup", "click", "purchase"), Days(D(2024, 1, 3), D(2024, 1, 20)), 3 * 86_400, project=PROJECT)
+TIGHT = Funnel(("signup", "click", "purchase", "error"), JANUARY, 6 * 3_600, project=PROJECT)
+RETENTION = Retention("signup", "purchase", Days(D(2024, 1, 2), D(2024, 1, 12)), 14, project=PROJECT)
 HALF = Sampled(5_000)
 
 
@@ -79,6 +80,9 @@ _SESSIONS_SQL = f"""WITH {CANONICAL_SQL}, ready AS (SELECT ts::DATE AS day, user
     numbered AS (SELECT *, sum(starts) OVER (PARTITION BY day, user_key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM gaps),
     sessions AS (SELECT '{PROJECT}' AS project_id, day, user_key, user_key::VARCHAR AS user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS event_count
                  FROM numbered GROUP BY day, user_key, session)"""
+_SESSIONS_DAILY_SQL = (
+    _SESSIONS_SQL + " SELECT day, count(*) AS sessions, count(DISTINCT user_key) AS users, list_sort(list(epoch_ms(session_end) - epoch_ms(session_start)))[count(*) // 2 + 1] / 1000.0::DOUBLE "
+    "AS median_duration_seconds, avg(event_count) AS events_per_session FROM sessions GROUP BY day")
 _MASKS_SQL = f"""WITH {CANONICAL_SQL} SELECT '{PROJECT}' AS project_id, event_name, date_trunc('month', ts)::DATE AS month, user_key,
     bit_or(1::BIGINT << (day(ts) - 1)::INTEGER) AS days, min(sample_threshold)::INTEGER AS sample_threshold, min(sample_bucket)::INTEGER AS sample_bucket
     FROM facts WHERE NOT is_late GROUP BY ALL"""
@@ -143,7 +147,11 @@ def _rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _filter(name: str, operator: str, *values: str) -> Segment:
-    return Segment(JANUARY, "purchase", (PropertyFilter(name, operator, values),))
+    return Segment(JANUARY, "purchase", (PropertyFilter(name, operator, values),), project=PROJECT)
+
+
+def _shared(sql: str) -> str:
+    return sql.replace(CANONICAL_SQL, SHARED_SQL)
 
 
 def _seed(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,29 +160,62 @@ def _seed(spark: SparkSession, sf: str) -> DataFrame:
     return seed_shape(spark, 2_000)
 
 
-def _normalize(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.normalize import outcomes
-    from ..sources.generate import raw_events
+def _normalize(sampled: bool):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        from ..operators.normalize import outcomes
+        from ..sources.generate import demo_snapshot, raw_events
+
+        return outcomes(raw_events(spark, sf), demo_snapshot(sampled))
+
+    return query
+
+
+def _stream(sampled: bool):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        from ..streaming.loader import stream_once
+
+        return stream_once(spark, sf, sampled)
+
+    return query
+
+
+def _store(read):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        from ..streaming.loader import stored_facts
+
+        return read(stored_facts(spark, facts(spark, sf)))
+
+    return query
+
+
+def _next_page(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _quarantine(spark, sf).withColumn("quarantine_id", F.concat(F.lit("00000000-0000-0000-0000-"), "quarantine_id"))
+    _, cursor = Q.page(rows, PROJECT, 20)
+    return Q.open_rows(rows, PROJECT, cursor).limit(20).select("quarantine_id", "message_id", "reason")
+
 
-    return outcomes(raw_events(spark, sf))
+def _found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _quarantine(spark, sf)
+    least = rows.agg(F.min("quarantine_id")).first()[0]
+    return Q.found(rows, PROJECT, least or "").select("quarantine_id", "message_id", "status")
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    from ..streaming.loader import stream_once
+def _listing(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.generate import demo_snapshot
 
-    return stream_once(spark, sf)
+    return demo_snapshot().listing(spark, PROJECT)
 
 
 _ENTRIES: dict[str, tuple] = {
-    "segment_all": (_segment(Segment(JANUARY)), _segment_sql(Segment(JANUARY))),
-    "segment_event": (_segment(Segment(JANUARY, "view"), HALF), _segment_sql(Segment(JANUARY, "view"), sampled=HALF)),
+    "segment_all": (_segment(Segment(JANUARY, project=PROJECT)), _segment_sql(Segment(JANUARY, project=PROJECT))),
+    "segment_event": (_segment(Segment(JANUARY, "view", project=PROJECT), HALF), _segment_sql(Segment(JANUARY, "view", project=PROJECT), sampled=HALF)),
     "segment_eq": (_segment(_filter("k", "eq", "7")), _segment_sql(_filter("k", "eq", "7"), "coalesce(k, '') = '7'")),
     "segment_neq_missing": (_segment(_filter("k", "neq", "7")), _segment_sql(_filter("k", "neq", "7"), "coalesce(k, '') <> '7'")),
     "segment_in": (_segment(_filter("k", "in", "1", "2", "3", "")), _segment_sql(_filter("k", "in", "1"), "coalesce(k, '') IN ('1', '2', '3', '')")),
     "segment_gt": (_segment(_filter("value", "gt", "50")), _segment_sql(_filter("value", "gt", "50"), "value > 50")),
     "segment_lt": (_segment(_filter("k", "lt", "20.5")), _segment_sql(_filter("k", "lt", "20.5"), "try_cast(k AS DOUBLE) < 20.5")),
-    "segment_late": (lambda s, d: G.late_events(facts(s, d), Segment(JANUARY)), _segment_sql(Segment(JANUARY), late=True)),
-    "segment_scaled": (_segment(Segment(JANUARY), HALF), _segment_sql(Segment(JANUARY), sampled=HALF)),
+    "segment_late": (lambda s, d: G.late_events(facts(s, d), Segment(JANUARY, project=PROJECT)), _segment_sql(Segment(JANUARY, project=PROJECT), late=True)),
+    "segment_scaled": (_segment(Segment(JANUARY, project=PROJECT), HALF), _segment_sql(Segment(JANUARY, project=PROJECT), sampled=HALF)),
     "funnel_3step": (_funnel(FUNNEL3), _funnel_sql(FUNNEL3)),
     "funnel_4step": (_funnel(FUNNEL4), _funnel_sql(FUNNEL4)),
     "funnel_tight": (_funnel(TIGHT), _funnel_sql(TIGHT)),
@@ -187,11 +228,10 @@ _ENTRIES: dict[str, tuple] = {
     "sessions_table": (lambda s, d: Z.sessions(facts(s, d)), _SESSIONS_SQL + " SELECT * FROM sessions"),
     "sessions_session_window": (lambda s, d: Z.sessions_by_window(facts(s, d)), _SESSIONS_SQL + " SELECT * FROM sessions"),
     "sessions_daily": (
-        lambda s, d: Z.sessions_daily(Z.sessions(facts(s, d)), Sessions(JANUARY)),
-        _SESSIONS_SQL + " SELECT day, count(*) AS sessions, count(DISTINCT user_key) AS users, list_sort(list(epoch_ms(session_end) - epoch_ms(session_start)))[count(*) // 2 + 1] / 1000.0::DOUBLE "
-        "AS median_duration_seconds, avg(event_count) AS events_per_session FROM sessions GROUP BY day"),
+        lambda s, d: Z.sessions_daily(Z.sessions(facts(s, d)), Sessions(JANUARY, project=PROJECT)),
+        _SESSIONS_DAILY_SQL),
     "sampling_threshold": (
-        lambda s, d: S.threshold_frame(M.month_masks(facts(s, d)), JANUARY, ["view", "click"]),
+        lambda s, d: S.threshold_frame(M.month_masks(facts(s, d)), PROJECT, JANUARY, ["view", "click"]),
         f"WITH {CANONICAL_SQL} SELECT coalesce(nullif(min(sample_threshold), 0), 10000)::INTEGER AS threshold FROM facts WHERE NOT is_late AND event_name IN ('view', 'click') AND ts < TIMESTAMP '2024-02-01'"),
     "rollup_month_masks": (_rollup, _MASKS_SQL),
     "dedup_earliest": (
@@ -216,9 +256,37 @@ _ENTRIES: dict[str, tuple] = {
         _names,
         "WITH w AS (SELECT unnest([c_name, c_mktsegment, '9' || c_name, replace(c_name, '#', ' ')]) AS name FROM customer) "
         "SELECT regexp_full_match(name, '[A-Za-z][A-Za-z0-9_.:-]{0,127}') AS event_ok, regexp_full_match(name, '[!-~]{1,128}') AS message_ok, count(*) AS n FROM w GROUP BY ALL"),
-    "seed_shape": (_seed, None),
-    "normalize_outcomes": (_normalize, None),
-    "stream_load": (_stream, None),
+    "tenant_funnel": (lambda s, d: funnel(shared_facts(s, d), FUNNEL3), _shared(_funnel_sql(FUNNEL3))),
+    "tenant_retention_events": (lambda s, d: R.retention_from_events(shared_facts(s, d), RETENTION), _shared(_retention_sql(RETENTION))),
+    "tenant_retention_rollup": (lambda s, d: R.retention_from_rollup(M.month_masks(shared_facts(s, d)), RETENTION), _shared(_retention_sql(RETENTION))),
+    "tenant_segment": (lambda s, d: G.segment(shared_facts(s, d), _filter("k", "eq", "7")), _shared(_segment_sql(_filter("k", "eq", "7"), "coalesce(k, '') = '7'"))),
+    "tenant_segment_late": (lambda s, d: G.late_events(shared_facts(s, d), Segment(JANUARY, project=PROJECT)), _shared(_segment_sql(Segment(JANUARY, project=PROJECT), late=True))),
+    "tenant_sessions_daily": (lambda s, d: Z.sessions_daily(Z.sessions(shared_facts(s, d)), Sessions(JANUARY, project=PROJECT)), _shared(_SESSIONS_DAILY_SQL)),
+    "tenant_sampling_threshold": (
+        lambda s, d: S.threshold_frame(M.month_masks(shared_facts(s, d)), PROJECT, JANUARY, ["view"]),
+        f"WITH {SHARED_SQL} SELECT coalesce(nullif(min(sample_threshold), 0), 10000)::INTEGER AS threshold FROM facts WHERE NOT is_late AND event_name = 'view' AND ts < TIMESTAMP '2024-02-01'"),
+    "quarantine_next_page": (
+        _next_page,
+        f"WITH {_QUARANTINE_CTE} SELECT '00000000-0000-0000-0000-' || quarantine_id AS quarantine_id, message_id, reason FROM newest WHERE status = 'open' ORDER BY received_at DESC, quarantine_id DESC LIMIT 20 OFFSET 20"),
+    "quarantine_find": (
+        _found,
+        f"WITH {_QUARANTINE_CTE} SELECT quarantine_id, message_id, status FROM newest WHERE quarantine_id = (SELECT min(quarantine_id) FROM newest)"),
+    "schema_listing": (
+        _listing,
+        """SELECT event_name, 1 AS version, '{"k": {"type": "integer", "required": false}, "value": {"type": "number", "required": true}, "email": {"type": "string", "required": false}, """
+        """"kind": {"type": "string", "required": false, "enum": ["a", "b"]}}' AS spec FROM (SELECT unnest(['click', 'purchase', 'signup', 'view']) AS event_name)"""),
+    "store_facts": (
+        _store(lambda store: X.dedup_earliest(store.facts()).select("day", "event_name", "user_key", "ts", "message_id", "received_at", "is_late")),
+        f"WITH {CANONICAL_SQL} SELECT ts::DATE AS day, event_name, user_key, ts, message_id, make_timestamp(received_ms * 1000) AS received_at, is_late FROM deduped"),
+    "store_rollup": (_store(lambda store: store.rollup()), _MASKS_SQL),
+    "store_sessions": (_store(lambda store: store.sessions()), _SESSIONS_SQL + " SELECT * FROM sessions"),
+    "seed_shape": (_seed, seed_sql(2_000)),
+    "normalize_outcomes": (_normalize(True), None),
+    "normalize_unsampled": (_normalize(False), f"WITH {RAW_SQL} SELECT status, CASE WHEN status = 'duplicate' THEN 'repeated within the batch' ELSE rejected END AS reason, count(*) AS n FROM outcome GROUP BY ALL"),
+    "stream_load": (_stream(True), None),
+    "stream_unsampled": (
+        _stream(False),
+        f"WITH {RAW_SQL} SELECT event_name, count(DISTINCT (user_id, t, message_id)) AS n, count(DISTINCT user_id) AS users FROM outcome WHERE status = 'accepted' GROUP BY ALL"),
 }
 
 QUERIES = {name: entry[0] for name, entry in _ENTRIES.items()}

@@ -9,7 +9,7 @@ PROJECT = "p-1"
 #: The same rows for DuckDB, as the head of a WITH clause.
 CANONICAL_SQL = """
 base AS (
-    SELECT event_id, event_type AS event_name, user_id AS user_key, 'e-' || event_id AS message_id,
+    SELECT event_id, 'p-1' AS project_id, event_type AS event_name, user_id AS user_key, 'e-' || event_id AS message_id,
            make_timestamp((epoch_us(ts) // 1000) * 1000) AS ts, epoch_us(ts) // 1000 AS t,
            value, CASE WHEN event_id % 7 <> 0 THEN json_extract_string(props, '$.k') END AS k,
            CASE WHEN event_type = 'view' THEN 5000 ELSE 10000 END AS sample_threshold,
@@ -19,13 +19,23 @@ base AS (
 ), copies AS (
     SELECT *, 0 AS again FROM base UNION ALL SELECT *, 10800000 AS again FROM base WHERE event_id % 10 = 3
 ), facts AS (
-    SELECT event_name, user_key, message_id, ts, t, value, k, sample_threshold, sample_bucket,
+    SELECT project_id, event_name, user_key, message_id, ts, t, value, k, sample_threshold, sample_bucket,
            t + delay + again AS received_ms, delay + again > 7200000 AS is_late
     FROM copies WHERE sample_bucket < sample_threshold
 ), deduped AS (
-    SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY event_name, user_key, ts, message_id ORDER BY received_ms) = 1
+    SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY project_id, event_name, user_key, ts, message_id ORDER BY received_ms) = 1
 )"""
 
+#: The same for two projects that share their users; queries are about the first.
+SHARED_SQL = CANONICAL_SQL.replace("'p-1' AS project_id", "CASE WHEN event_id % 3 = 0 THEN 'p-2' ELSE 'p-1' END AS project_id").replace(
+    "WHERE sample_bucket < sample_threshold", "WHERE sample_bucket < sample_threshold AND project_id = 'p-1'")
+
+
+def shared_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`facts` of two projects that share their users: every third event is of another project."""
+    event = F.substring_index("message_id", "-", -1).cast("long")
+    return facts(spark, sf_dir).withColumn("project_id", F.when(event % 3 == 0, "p-2").otherwise(PROJECT))
+
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fact rows with copies: a tenth arrives again three hours later, a twentieth is late, ``view`` is sampled at a half."""

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .registry import Property, Registry, Settings, Snapshot, Spec
 
 PROJECT = "p-1"
 
 
-def demo_snapshot() -> Snapshot:
+def demo_snapshot(sampled: bool = True) -> Snapshot:
     registry = Registry()
-    registry.put_project(PROJECT, Settings(("email",), {"view": 0.5}))
+    registry.put_project(PROJECT, Settings(("email",), {"view": 0.5} if sampled else {}))
     spec = Spec({"k": Property("integer"), "value": Property("number", True), "email": Property("string"), "kind": Property("string", False, ("a", "b"))})
     for event in ("click", "purchase", "signup", "view"):  # error stays unregistered
         registry.put_schema(PROJECT, event, 1, spec)
@@ -40,15 +40,66 @@ def raw_from(events: DataFrame) -> DataFrame:
     return events.select(F.lit(PROJECT).alias("project_id"), raw.alias("raw"), (ts + delay).alias("received_at"), i.alias("pos"))
 
 
-def seed_shape(spark: SparkSession, users: int, days: int = 30) -> DataFrame:
-    """``event_name, n, users`` of a generated load: every user signs up, 45 of 100 activate, 30 of 100 of those buy
+def draw(key: Column, salt: int, n: int) -> Column:
+    """A number below ``n`` mixed from ``key`` by 32-bit arithmetic that any engine can repeat."""
+    a = (F.pmod(key, F.lit(1 << 31)) + salt * 7919) * 2654435761 % (1 << 32)
+    b = a.bitwiseXOR(F.shiftright(a, 15)) * 1597334677 % (1 << 32)
+    return b.bitwiseXOR(F.shiftright(b, 13)) % n
+
+
+def _draw_sql(key: str, salt: int, n: int) -> str:
+    a = f"(({key} % 2147483648 + {salt * 7919}) * 2654435761 % 4294967296)"
+    b = f"(xor({a}, {a} >> 15) * 1597334677 % 4294967296)"
+    return f"(xor({b}, {b} >> 13) % {n})"
+
+
+ACTIVATE, AFTER, BUY, TIMES, START, LATER = range(1, 7)
+
+
+def seed_rows(spark: SparkSession, users: int, days: int = 30) -> DataFrame:
+    """``id, event_name, ts`` of a generated load: every user signs up, 45 of 100 activate, 30 of 100 of those buy
     one to three times, and views and feature uses come four to one."""
-    base = spark.range(users).select("id", F.pmod(F.xxhash64("id"), F.lit(days * 86_400_000)).alias("t"))
-    draw = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    own = F.col("id")
+    base = spark.range(users).select("id", draw(own, START, days * 86_400_000).alias("t"))
     rows = lambda df, name: df.select("id", F.lit(name).alias("event_name"), F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("t")).alias("ts"))
-    active = base.where(draw("activate", 100) < 45).withColumn("t", F.col("t") + draw("after", 3 * 86_400_000))
-    buyers = active.where(draw("buy", 100) < 30).withColumn("n", F.explode(F.sequence(F.lit(0), draw("times", 3)))).withColumn("t", F.col("t") + F.pmod(F.xxhash64("id", "n"), F.lit(10 * 86_400_000)))
+    active = base.where(draw(own, ACTIVATE, 100) < 45).withColumn("t", F.col("t") + draw(own, AFTER, 3 * 86_400_000))
+    times = F.sequence(F.lit(0).cast("long"), draw(own, TIMES, 3))
+    buyers = active.where(draw(own, BUY, 100) < 30).withColumn("n", F.explode(times)).withColumn("t", F.col("t") + draw(own * 4 + F.col("n"), LATER, 10 * 86_400_000))
     uses = base.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(4))))
     views = rows(uses.where("n < 4"), "page_view").unionByName(rows(uses.where("n = 4"), "feature_used"))
-    everything = rows(base, "signup").unionByName(rows(active, "activate")).unionByName(rows(buyers, "purchase")).unionByName(views)
-    return everything.groupBy("event_name").agg(F.count("*").alias("n"), F.count_distinct("id").alias("users"))
+    return rows(base, "signup").unionByName(rows(active, "activate")).unionByName(rows(buyers, "purchase")).unionByName(views)
+
+
+def seed_shape(spark: SparkSession, users: int, days: int = 30) -> DataFrame:
+    """``event_name, n, users, first, last`` of the generated load."""
+    return seed_rows(spark, users, days).groupBy("event_name").agg(F.count("*").alias("n"), F.count_distinct("id").alias("users"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def seed_sql(users: int, days: int = 30) -> str:
+    return f"""WITH base AS (SELECT range AS id, {_draw_sql("range", START, days * 86_400_000)} AS t FROM range({users})),
+    active AS (SELECT id, t + {_draw_sql("id", AFTER, 3 * 86_400_000)} AS t FROM base WHERE {_draw_sql("id", ACTIVATE, 100)} < 45),
+    buyers AS (SELECT id, t + {_draw_sql("(id * 4 + n)", LATER, 10 * 86_400_000)} AS t FROM active, range(0, 3) AS r(n) WHERE {_draw_sql("id", BUY, 100)} < 30 AND n <= {_draw_sql("id", TIMES, 3)}),
+    everything AS (SELECT id, t, 'signup' AS event_name FROM base UNION ALL SELECT id, t, 'activate' FROM active UNION ALL SELECT id, t, 'purchase' FROM buyers
+        UNION ALL SELECT id, t, 'page_view' FROM base, range(0, 4) UNION ALL SELECT id, t, 'feature_used' FROM base)
+    SELECT event_name, count(*) AS n, count(DISTINCT id) AS users, make_timestamp((1704067200000 + min(t)) * 1000) AS first, make_timestamp((1704067200000 + max(t)) * 1000) AS last FROM everything GROUP BY ALL"""
+
+
+#: Outcomes of :func:`raw_events` without sampling, for DuckDB, as the head of a WITH clause.
+RAW_SQL = """
+judged AS (
+    SELECT event_id AS pos, user_id, epoch_us(ts) // 1000 AS t, event_type AS event_name, 'e-' || (event_id - CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END) AS message_id, CASE
+        WHEN event_id % 59 = 0 THEN 'an event must be a JSON object'
+        WHEN event_id % 29 = 0 THEN 'messageId is required: printable ASCII without spaces, at most 128 characters, generated once per event and reused on retry'
+        WHEN event_id % 37 = 0 THEN 'event is required: a name starting with a letter, using letters, digits and _ . : -, at most 128 characters'
+        WHEN event_id % 41 = 0 THEN 'userId or anonymousId is required'
+        WHEN event_id % 43 = 0 THEN 'timestamp is required: ISO 8601 with a UTC offset or Z, for example 2026-09-23T10:15:00.000Z'
+        WHEN event_type = 'error' THEN 'no schema is registered for event ''error'''
+        WHEN event_id % 47 = 0 OR event_id % 53 = 0 THEN concat_ws('; ',
+            CASE WHEN event_id % 47 = 0 THEN 'property ''value'' must be a finite number' END,
+            CASE WHEN event_id % 53 = 0 THEN 'property ''extra'' is not declared in ' || event_type || '@1' END)
+        END AS rejected
+    FROM events
+), outcome AS (
+    SELECT *, CASE WHEN rejected IS NOT NULL THEN 'quarantined'
+        WHEN row_number() OVER (PARTITION BY message_id, rejected IS NULL ORDER BY pos) > 1 THEN 'duplicate' ELSE 'accepted' END AS status FROM judged
+)"""

@@ -1,23 +1,25 @@
 """The catalog: projects, registered event schemas, and what may change in them.
 
-A small registry on the driver, kept as one JSON document with a revision number; a snapshot
-is frozen and can be shipped to executors.  Writers compare and swap on the revision.
+A small registry on the driver, kept as one JSON document per revision; a snapshot is frozen
+and can be shipped to executors.  A revision is written only where none of its number exists,
+so of two writers in any two processes one wins and the other sees a conflict.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.identity import BUCKETS, threshold_of, valid_rate
 from ..plans.requests import valid_event, valid_property
+from .files import Numbered
 
 TYPES = ("string", "number", "integer", "boolean")
 MAX_PROPERTIES, MAX_ENUM, MAX_ENUM_LENGTH, MAX_PROPERTY_NAME = 64, 256, 256, 64
 MAX_REDACTED, MAX_SAMPLED = 64, 256
+MAX_VERSION = 65_535
 RETRIES = 5
 
 
@@ -35,17 +37,8 @@ class Spec:
     properties: dict[str, Property] = field(default_factory=dict)
 
     def problems(self) -> list[str]:
-        found = []
-        if len(self.properties) > MAX_PROPERTIES:
-            found.append(f"a schema may declare at most {MAX_PROPERTIES} properties, this one declares {len(self.properties)}")
-        for name, p in self.properties.items():
-            if not valid_property(name):
-                found.append(f"property name '{name}' must start with a letter or underscore and use only letters, digits and underscores (max {MAX_PROPERTY_NAME})")
-            if p.type not in TYPES:
-                found.append(f"property '{name}' has an unknown type")
-            if p.enum is not None:
-                found += _enum_problems(name, p)
-        return found
+        found = [f"{len(self.properties)} properties, {MAX_PROPERTIES} are possible"] if len(self.properties) > MAX_PROPERTIES else []
+        return found + [f"{name}: {p}" for name, spec in self.properties.items() for p in _property_problems(name, spec)]
 
     def to_json(self) -> dict:
         return {n: {"type": p.type, "required": p.required} | ({"enum": list(p.enum)} if p.enum is not None else {}) for n, p in self.properties.items()}
@@ -55,40 +48,36 @@ class Spec:
         return Spec({n: Property(p["type"], p.get("required", False), tuple(p["enum"]) if "enum" in p else None) for n, p in value.items()})
 
 
-def _enum_problems(name: str, p: Property) -> list[str]:
-    found = []
-    if p.type != "string":
-        found.append(f"property '{name}' declares allowed values, which only string properties may do")
-    if not 1 <= len(p.enum) <= MAX_ENUM:
-        found.append(f"property '{name}' must list between 1 and {MAX_ENUM} allowed values")
-    if any(v is None or len(v) > MAX_ENUM_LENGTH for v in p.enum):
-        found.append(f"property '{name}' has an allowed value that is null or longer than {MAX_ENUM_LENGTH} characters")
-    elif len(set(p.enum)) < len(p.enum):
-        found.append(f"property '{name}' lists the same allowed value twice")
-    return found
+def _property_problems(name: str, p: Property) -> list[str]:
+    values = p.enum or ()
+    rules = (
+        (valid_property(name), f"not a property name (letters, digits, underscores, no digit first, {MAX_PROPERTY_NAME} at most)"),
+        (p.type in TYPES, f"type is none of {', '.join(TYPES)}"),
+        (p.enum is None or p.type == "string", "only strings can have a list of values"),
+        (p.enum is None or 1 <= len(values) <= MAX_ENUM, f"the list of values holds {len(values)}, 1 to {MAX_ENUM} are possible"),
+        (all(v is not None and len(v) <= MAX_ENUM_LENGTH for v in values), f"a listed value is null or above {MAX_ENUM_LENGTH} characters"),
+        (len(set(values)) == len(values), "a value is listed twice"),
+    )
+    return [problem for holds, problem in rules if not holds]
+
+
+#: A version may only grow by optional properties.  Each rule names what breaks for one property, from its old and
+#: new form (None: not there), or nothing.
+EVOLUTION = (
+    lambda old, new: ["is gone"] if old and not new else [],
+    lambda old, new: ["is new and required"] if new and not old and new.required else [],
+    lambda old, new: [f"was {old.type} and is {new.type}"] if old and new and old.type != new.type else [],
+    lambda old, new: ["became required" if new.required else "became optional"] if old and new and old.required != new.required else [],
+    lambda old, new: ["got a list of values"] if old and new and old.enum is None and new.enum is not None else [],
+    lambda old, new: ["lost its list of values"] if old and new and old.enum is not None and new.enum is None else [],
+    lambda old, new: [f"lost the value {v!r}" for v in sorted(set(old.enum or ()) - set(new.enum or ()))] if old and new and new.enum is not None else [],
+)
 
 
 def breaking_changes(current: Spec, proposed: Spec) -> list[str]:
-    """Why ``proposed`` cannot replace ``current`` in place; a version may only grow by optional properties."""
-    word = {True: "required", False: "optional"}
-    found = []
-    for name, old in current.properties.items():
-        new = proposed.properties.get(name)
-        if new is None:
-            found.append(f"property '{name}' was removed")
-            continue
-        if old.type != new.type:
-            found.append(f"property '{name}' changed type from {old.type.title()} to {new.type.title()}")
-        if old.required != new.required:
-            found.append(f"property '{name}' changed from {word[old.required]} to {word[new.required]}")
-        if old.enum is None and new.enum is not None:
-            found.append(f"property '{name}' now restricts its values, which rejects values it used to accept")
-        elif old.enum is not None and new.enum is None:
-            found.append(f"property '{name}' no longer restricts its values, which breaks queries that enumerate them")
-        elif old.enum is not None:
-            found += [f"property '{name}' no longer allows '{v}'" for v in dict.fromkeys(old.enum) if v not in new.enum]
-    added = [n for n, p in proposed.properties.items() if n not in current.properties and p.required]
-    return found + [f"new property '{n}' is required, but a property added to an existing version must be optional" for n in added]
+    """Why ``proposed`` cannot replace ``current`` in place, sorted by property."""
+    names = sorted(current.properties.keys() | proposed.properties.keys())
+    return [f"{n} {broken}" for n in names for rule in EVOLUTION for broken in rule(current.properties.get(n), proposed.properties.get(n))]
 
 
 @dataclass(frozen=True)
@@ -97,12 +86,12 @@ class Settings:
     sample_rates: dict[str, float] = field(default_factory=dict)
 
     def problems(self) -> list[str]:
-        found = [f"at most {MAX_REDACTED} properties may be redacted"] if len(self.redact) > MAX_REDACTED else []
-        found += [f"'{n}' is not a valid property name" for n in self.redact if not valid_property(n)]
-        found += [f"at most {MAX_SAMPLED} event types may be sampled"] if len(self.sample_rates) > MAX_SAMPLED else []
+        found = [f"redact: more than {MAX_REDACTED} names"] if len(self.redact) > MAX_REDACTED else []
+        found += [f"redact: {n!r} is not a property name" for n in self.redact if not valid_property(n)]
+        found += [f"sampling: more than {MAX_SAMPLED} events"] if len(self.sample_rates) > MAX_SAMPLED else []
         for name, rate in self.sample_rates.items():
-            found += [] if valid_event(name) else [f"'{name}' is not a valid event name"]
-            found += [] if valid_rate(rate) else [f"sample rate for '{name}' must be in (0, 1] in steps of 1/{BUCKETS}"]
+            found += [] if valid_event(name) else [f"sampling: {name!r} is not an event name"]
+            found += [] if valid_rate(rate) else [f"sampling: the rate of {name!r} is not one of 1/{BUCKETS} to 1 in steps of 1/{BUCKETS}"]
         return found
 
     def threshold(self, event: str) -> int:
@@ -133,50 +122,52 @@ class Conflict(RuntimeError):
 
 
 class Registry:
-    """The catalog in one file (or in memory without a path)."""
+    """The catalog in a folder of numbered revisions (or in memory without a path)."""
 
-    def __init__(self, path: str | None = None):
-        self.path, self._snapshot = path, Snapshot()
+    def __init__(self, path: str | None = None, spark: SparkSession | None = None):
+        self.log = None if path is None else Numbered(path, spark)
+        self._snapshot = Snapshot()
         self.refresh()
 
     def snapshot(self) -> Snapshot:
         return self._snapshot
 
     def refresh(self) -> Snapshot:
-        """Takes over a newer revision of the file, never an older one."""
-        if self.path and os.path.exists(self.path):
-            with open(self.path, encoding="utf-8") as file:
-                d = json.load(file)
-            if d["revision"] > self._snapshot.revision:
-                projects = {k: Settings(tuple(v["redact"]), v["sample_rates"]) for k, v in d["projects"].items()}
-                schemas = {p: {e: {int(v): Spec.from_json(s) for v, s in vs.items()} for e, vs in es.items()} for p, es in d["schemas"].items()}
-                self._snapshot = Snapshot(d["revision"], projects, schemas)
+        """Takes over a newer revision of the folder, never an older one."""
+        if self.log and (found := self.log.newest()) and found[0] > self._snapshot.revision:
+            d = json.loads(found[1])
+            projects = {k: Settings(tuple(v["redact"]), v["sample_rates"]) for k, v in d["projects"].items()}
+            schemas = {p: {e: {int(v): Spec.from_json(s) for v, s in vs.items()} for e, vs in es.items()} for p, es in d["schemas"].items()}
+            self._snapshot = Snapshot(found[0], projects, schemas)
         return self._snapshot
 
     def _swap(self, before: Snapshot, after: Snapshot) -> None:
         if self.refresh().revision != before.revision:
             raise Conflict
-        if self.path:
+        if self.log:
             value = {
-                "revision": after.revision,
                 "projects": {k: {"redact": list(s.redact), "sample_rates": s.sample_rates} for k, s in after.projects.items()},
                 "schemas": {p: {e: {str(v): s.to_json() for v, s in vs.items()} for e, vs in es.items()} for p, es in after.schemas.items()},
             }
-            with open(f"{self.path}.new", "w", encoding="utf-8") as file:
-                json.dump(value, file)
-            os.replace(f"{self.path}.new", self.path)
+            if not self.log.put(after.revision, json.dumps(value)):
+                raise Conflict
         self._snapshot = after
 
     def put_project(self, project: str, settings: Settings = Settings()) -> list[str]:
         if found := settings.problems():
             return found
-        s = self.refresh()
-        self._swap(s, Snapshot(s.revision + 1, s.projects | {project: settings}, s.schemas))
-        return []
+        for _ in range(RETRIES):
+            s = self.refresh()
+            try:
+                self._swap(s, Snapshot(s.revision + 1, s.projects | {project: settings}, s.schemas))
+            except Conflict:
+                continue
+            return []
+        raise Conflict
 
     def put_schema(self, project: str, event: str, version: int, spec: Spec) -> tuple[str, list[str]]:
         """``created``, ``updated``, ``unchanged``, ``breaking``, ``invalid`` or ``not_found``, with reasons."""
-        if found := spec.problems() + ([] if 1 <= version <= 65_535 else ["version must be between 1 and 65535"]) + ([] if valid_event(event) else ["invalid event name"]):
+        if found := spec.problems() + ([] if 1 <= version <= MAX_VERSION else [f"version: 1 to {MAX_VERSION} are possible"]) + ([] if valid_event(event) else ["event: not an event name"]):
             return "invalid", found
         for _ in range(RETRIES):
             s = self.refresh()

@@ -1,124 +1,321 @@
-"""The event store: Parquet tables that batches are loaded into, each exactly once.
+"""The event store: Parquet tables below numbered manifests.
 
-Every batch writes directories of its own (``batch=N``) and then a commit; a batch that is
-loaded again overwrites the same directories, and readers see committed batches only, so a
-crash at any point costs nothing and counts nothing twice.  Sessions of the days a batch
-touches are recomputed into the batch's generation; readers take the newest generation of each
-day.  Rollup rows are partial and merge on reading.
+Every load writes directories of its own (``batch=<name>/<partition>=<value>``) and then one
+manifest, a JSON document that names the live directories of each table by partition.  Readers
+take the newest manifest, so a crash at any point costs nothing and counts nothing twice, and
+what a reader or a load lists does not grow with the batches once loaded.
+
+- A stream's batch is remembered by its writer's name; compaction, replays and expiry are
+  manifests as well, but under names of their own, so they never take the id of a batch.
+- Facts and sessions are partitioned by day, quarantine by day of arrival, the rollup by month.
+- Sessions of the days a load touches are recomputed from those days alone and replace them.
+- Rollup rows are partial and merge on reading.
+- Two writers at once: the slower one finds its number taken, reads the new manifest and tries
+  again (sessions are then recomputed).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.facts import FACT_SCHEMA
-from ..operators.quarantine import QUARANTINE_SCHEMA
+from ..operators.quarantine import QUARANTINE_SCHEMA, find, replayed
 from ..operators.rollup import ROLLUP_SCHEMA, merged, month_masks
 from ..operators.sessions import SESSION_SCHEMA, sessions
+from .files import Numbered
 
 FACT_DAYS, QUARANTINE_DAYS, ROLLUP_MONTHS = 90, 30, 25
-TABLES = {"facts": FACT_SCHEMA + ", day date", "quarantine": QUARANTINE_SCHEMA, "rollup": ROLLUP_SCHEMA, "sessions": SESSION_SCHEMA}
+RECENT_MINUTES = 10
+ATTEMPTS = 10
+#: Schema and partition column of each table.
+TABLES = {
+    "facts": (FACT_SCHEMA + ", day date", "day"),
+    "quarantine": (QUARANTINE_SCHEMA + ", day date", "day"),
+    "rollup": (ROLLUP_SCHEMA, "month"),
+    "sessions": (SESSION_SCHEMA, "day"),
+    "recent": ("project_id string, message_id string, received_at timestamp, hour string", "hour"),
+}
+#: Changes of the manifest's layout by number, each made once (see bootstrap).
+STEPS: dict[int, Callable[[dict], dict]] = {
+    1: lambda state: state | {"tables": {name: {} for name in ("facts", "quarantine", "rollup", "sessions")} | state["tables"]},
+    2: lambda state: state | {"tables": {"recent": {}} | state["tables"]},
+}
+
+
+class StoreConflict(RuntimeError):
+    """Other writers were faster each time."""
 
 
 class EventStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = Numbered(f"{self.root}/manifests", spark)
+
+    # --- manifests ---
+
+    def state(self) -> dict:
+        """``seq``, ``applied`` (writer: last batch) and ``tables`` (table: partition: live directories)."""
+        found = self.log.newest()
+        state = json.loads(found[1]) if found else {"applied": {}, "tables": {}}
+        state["seq"] = found[0] if found else 0
+        for name in TABLES:
+            state["tables"].setdefault(name, {})
+        return state
+
+    def applied(self, writer: str = "stream") -> int:
+        """Id of the last batch of a writer, -1 if it has none."""
+        return self.state()["applied"].get(writer, -1)
+
+    def bootstrap(self) -> list[int]:
+        """Makes the layout changes that this store has not seen yet, in order; their numbers."""
+        made: list[int] = []
+
+        def change(state: dict) -> dict | None:
+            made[:] = [n for n in sorted(STEPS) if n not in state.get("steps", [])]
+            for n in made:
+                state = STEPS[n](state)
+            return state | {"steps": sorted(STEPS)} if made else None
+
+        self._commit(change)
+        return made
+
+    def _commit(self, change: Callable[[dict], dict | None]) -> bool:
+        """Puts what ``change`` makes of the newest state; False if it has nothing to do."""
+        for attempt in range(ATTEMPTS):
+            state = self.state()
+            after = change(state)
+            if after is None:
+                return False
+            if self.log.put(state["seq"] + 1, json.dumps({k: v for k, v in after.items() if k != "seq"})):
+                return True
+            time.sleep(0.01 * attempt)
+        raise StoreConflict
 
     # --- files ---
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _children(self, path: str) -> list[str]:
+    def _children(self, path: str) -> list:
         fs, p = self._fs(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return list(fs.listStatus(p)) if fs.exists(p) else []
 
     def _delete(self, path: str) -> None:
         fs, p = self._fs(path)
         fs.delete(p, True)
 
-    def committed(self) -> list[int]:
-        return sorted(int(n) for n in self._children(f"{self.root}/commits"))
+    def _write(self, name: str, rows: DataFrame, batch: str) -> dict[str, list[str]]:
+        """Writes one directory of a table; the partitions it got."""
+        column = TABLES[name][1]
+        path = f"{self.root}/{name}/batch={batch}"
+        rows.write.mode("overwrite").partitionBy(column).parquet(path)
+        return {s.getPath().getName().partition("=")[2]: [batch] for s in self._children(path) if s.isDirectory()}
 
-    def _commit(self, batch: int) -> None:
-        fs, p = self._fs(f"{self.root}/commits/{batch}")
-        fs.mkdirs(p.getParent())
-        fs.create(p, True).close()
-
-    def table(self, name: str) -> DataFrame:
-        """All committed rows, with the columns ``batch`` and (facts, sessions) ``day``."""
-        done = self.committed()
-        there = {int(n.split("=")[1]) for n in self._children(f"{self.root}/{name}") if n.startswith("batch=")}
-        paths = [f"{self.root}/{name}/batch={b}" for b in done if b in there]
-        schema = TABLES[name] + ", batch int"
+    def _read(self, name: str, parts: dict[str, list[str]]) -> DataFrame:
+        schema, column = TABLES[name]
+        paths = [f"{self.root}/{name}/batch={b}/{column}={p}" for p, batches in sorted(parts.items()) for b in batches]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths)
+        return self.spark.read.schema(schema + ", batch string").option("basePath", f"{self.root}/{name}").parquet(*paths).drop("batch")
 
     # --- reading ---
 
+    def table(self, name: str, keep: Callable[[str], bool] = lambda part: True) -> DataFrame:
+        """Committed rows; ``keep`` chooses partitions by their value, so others are not even listed."""
+        return self._read(name, {p: b for p, b in self.state()["tables"][name].items() if keep(p)})
+
     def facts(self) -> DataFrame:
         return self.table("facts")
 
     def rollup(self) -> DataFrame:
-        return merged(self.table("rollup").drop("batch"))
+        return merged(self.table("rollup"))
 
     def quarantine(self) -> DataFrame:
-        return self.table("quarantine").drop("batch")
+        return self.table("quarantine").drop("day")
 
     def sessions(self) -> DataFrame:
-        rows = self.table("sessions")
-        newest = rows.groupBy("project_id", "day").agg(F.max("batch").alias("batch"))  # one row per project and day
-        return rows.join(newest, ["project_id", "day", "batch"]).drop("batch")
+        return self.table("sessions")
+
+    def views(self, prefix: str = "") -> None:
+        """Temporary views of the committed tables for SQL; made again, they show what was committed since."""
+        for name in ("facts", "quarantine", "rollup", "sessions"):
+            getattr(self, name)().createOrReplaceTempView(prefix + name)
 
     # --- writing ---
 
-    def load(self, rows: DataFrame, batch: int) -> None:
-        """One batch of normalised rows (see operators.normalize); loading it again changes nothing."""
-        if batch in self.committed():
-            return
-        accepted = rows.where("status = 'accepted'").select(*[f.split()[0] for f in FACT_SCHEMA.split(", ")]).withColumn("day", F.to_date("ts"))
-        where = lambda name: f"{self.root}/{name}/batch={batch}"
-        sorted_facts = accepted.repartition("day", F.pmod(F.xxhash64("user_key"), F.lit(8))).sortWithinPartitions("project_id", "event_name", "user_key", "ts")
-        sorted_facts.write.mode("overwrite").partitionBy("day").parquet(where("facts"))
+    def load(self, rows: DataFrame, batch: int, writer: str = "stream", recent_minutes: int | None = RECENT_MINUTES) -> bool:
+        """One batch of normalised rows (see operators.normalize); False, and nothing done, if the writer's batch is in already."""
+        if batch <= self.applied(writer):
+            return False
+        name = f"{writer}-{batch}-{uuid.uuid4().hex[:8]}"
+        columns = [f.split()[0] for f in FACT_SCHEMA.split(", ")]
+        accepted = rows.where("status = 'accepted'").select(*columns).withColumn("day", F.to_date("ts"))
+        # Rebalanced by day: a day's rows stand together, and a large day is split by size, not by a fixed number.
+        facts = self._write("facts", accepted.hint("rebalance", "day").sortWithinPartitions("day", "project_id", "event_name", "user_key", "ts"), name)
         rejected = rows.where("status = 'quarantined'").select(
-            "project_id", "received_at", "quarantine_id", "message_id", "event_name", "reason", "payload", F.lit("open").alias("status"), F.col("received_at").alias("updated_at"))
-        rejected.write.mode("overwrite").parquet(where("quarantine"))
-        fresh = self.spark.read.schema(TABLES["facts"]).parquet(where("facts"))
-        month_masks(fresh).write.mode("overwrite").parquet(where("rollup"))
-        dirty = fresh.select("day").distinct()  # days, so a few hundred rows at most
-        every = self.facts().drop("batch").unionByName(fresh)
-        touched = every.join(F.broadcast(dirty), "day", "left_semi")
-        sessions(touched).write.mode("overwrite").parquet(where("sessions"))
-        self._commit(batch)
-
-    def append_quarantine(self, rows: DataFrame, batch: int) -> None:
-        """Version rows (of replays) as a batch of their own."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/quarantine/batch={batch}")
-        self._commit(batch)
-
-    def compact_rollup(self) -> None:
-        """Partial rollup rows merged into one batch directory; answers do not change."""
-        done = self.committed()
-        if not done:
-            return
-        batch = done[-1] + 1
-        merged(self.table("rollup").drop("batch")).write.mode("overwrite").parquet(f"{self.root}/rollup/batch={batch}")
-        self._commit(batch)  # merging is idempotent: until the old ones are gone, rows may count twice
-        for b in done:
-            self._delete(f"{self.root}/rollup/batch={b}")
+            "project_id", "received_at", "quarantine_id", "message_id", "event_name", "reason", "payload", F.lit("open").alias("status"), F.col("received_at").alias("updated_at"), F.to_date("received_at").alias("day"))
+        added = {"facts": facts, "quarantine": self._write("quarantine", rejected, name)}
+        fresh = self._read("facts", facts)
+        added["rollup"] = self._write("rollup", month_masks(fresh), name) if facts else {}
+        if recent_minutes and facts:
+            added["recent"] = self._remember(fresh, name)
+        return self._add(added, {writer: batch}, recent_minutes)
+
+    def _remember(self, facts: DataFrame, name: str) -> dict[str, list[str]]:
+        return self._write("recent", facts.select("project_id", "message_id", "received_at", F.date_format("received_at", "yyyy-MM-dd-HH").alias("hour")), name)
+
+    def _add(self, added: dict[str, dict[str, list[str]]], applied: dict[str, int], recent_minutes: int | None = RECENT_MINUTES, unchanged: tuple[str, str, list[str]] | None = None) -> bool:
+        """Commits new directories, with the sessions of the days that got facts.
+
+        False, and nothing done, if one of the ``applied`` batches is in already, or the partition ``unchanged``
+        (table, partition, directories) is not."""
+        for _ in range(ATTEMPTS):
+            state = self.state()
+            tables = state["tables"]
+            if any(b <= state["applied"].get(w, -1) for w, b in applied.items()):
+                return False
+            if unchanged and tables[unchanged[0]].get(unchanged[1]) != unchanged[2]:
+                return False
+            for name, parts in added.items():
+                for part, batches in parts.items():
+                    tables[name][part] = tables[name].get(part, []) + batches
+            touched = {day: tables["facts"][day] for day in added.get("facts", {})}  # of the last 90 days
+            if touched:
+                made = self._write("sessions", sessions(self._read("facts", touched)), f"sessions-{uuid.uuid4().hex[:8]}")
+                tables["sessions"] |= {day: made.get(day, []) for day in touched}
+            if tables["recent"] and recent_minutes:
+                newest = dt.datetime.strptime(max(tables["recent"]), "%Y-%m-%d-%H")
+                oldest = (newest - dt.timedelta(minutes=recent_minutes)).strftime("%Y-%m-%d-%H")
+                tables["recent"] = {hour: b for hour, b in tables["recent"].items() if hour >= oldest}
+            state["applied"] |= applied
+            if self.log.put(state["seq"] + 1, json.dumps({k: v for k, v in state.items() if k != "seq"})):
+                return True
+        raise StoreConflict
+
+    # --- recent message ids ---
+
+    def mark_seen(self, rows: DataFrame, minutes: int | None = RECENT_MINUTES) -> DataFrame:
+        """Accepted rows whose message id a committed batch accepted within ``minutes`` before become ``duplicate``.
+
+        A cheap first layer that may miss copies, never more: counts rest on the facts' own deduplication.
+        None turns it off."""
+        recent = self.state()["tables"]["recent"]
+        if not minutes or not recent:
+            return rows
+        seen = self._read("recent", recent).groupBy("project_id", "message_id").agg(F.max("received_at").alias("_seen"))
+        accepted = F.col("status") == "accepted"
+        until = F.col("_seen") + F.expr(f"interval {int(minutes)} minutes")
+        key = F.when(accepted, F.col("message_id")).otherwise(F.concat(F.lit(" "), F.col("pos").cast("string")))  # no id has a space
+        seen = seen.select(F.col("project_id").alias("_p"), F.col("message_id").alias("_m"), "_seen")
+        joined = rows.withColumn("_key", key).join(seen, (F.col("project_id") == F.col("_p")) & (F.col("_key") == F.col("_m")), "left")
+        joined = joined.withColumn("_again", F.coalesce(F.col("received_at") <= until, F.lit(False)))
+        joined = joined.withColumn("reason", F.when(F.col("_again"), "already accepted").otherwise(F.col("reason")))
+        return joined.withColumn("status", F.when(F.col("_again"), "duplicate").otherwise(F.col("status"))).drop("_p", "_m", "_key", "_seen", "_again")
+
+    # --- replay ---
+
+    def replay(self, snapshot, project_id: str, quarantine_id: str, now: dt.datetime) -> tuple[str, str | None]:
+        """Judges a quarantined event again, as of its own arrival: its outcome and the reason.
+
+        ``unknown``, ``already replayed`` and ``still invalid`` change nothing; ``accepted``, ``sampled_out`` and
+        ``duplicate`` (the id was accepted lately) close the event, the first one with its fact, in one commit."""
+        from ..operators.normalize import Normalizer, rows_frame
+
+        for _ in range(ATTEMPTS):
+            parts = self.state()["tables"]["quarantine"]
+            row = find(self._read("quarantine", parts).drop("day"), project_id, quarantine_id)
+            if row is None or project_id not in snapshot.projects:
+                return "unknown", None
+            if row["status"] != "open":
+                return "already replayed", None
+            arrived = row["received_at"].astimezone(dt.timezone.utc)
+            judged = Normalizer(snapshot)(project_id, row["payload"], arrived)
+            status, reason, name = judged["status"], None, f"replay-{uuid.uuid4().hex[:8]}"
+            if status == "quarantined":
+                return "still invalid", judged["reason"]
+            if status == "accepted":
+                marked = self.mark_seen(rows_frame(self.spark, [judged | {"received_at": now.astimezone(dt.timezone.utc)}])).first()
+                status, reason = marked["status"], marked["reason"]
+            day = arrived.date()
+            closed = self.spark.createDataFrame([(*replayed(row, now), day)], TABLES["quarantine"][0])
+            added = {"quarantine": self._write("quarantine", closed, name)}
+            if status == "accepted":
+                columns = [f.split()[0] for f in FACT_SCHEMA.split(", ")]
+                added["facts"] = self._write("facts", rows_frame(self.spark, [judged]).select(*columns).withColumn("day", F.to_date("ts")), name)
+                fresh = self._read("facts", added["facts"])
+                added["rollup"] = self._write("rollup", month_masks(fresh), name)
+                added["recent"] = self._remember(fresh.withColumn("received_at", F.lit(now)), name)
+            # A second replay at the same time has changed the partition first, or finds it changed.
+            if self._add(added, {}, unchanged=("quarantine", day.isoformat(), parts[day.isoformat()])):
+                return status, reason
+        raise StoreConflict
+
+    # --- upkeep ---
+
+    def compact(self, name: str, least: int = 2) -> int:
+        """Merges the directories of each partition that has at least ``least``; answers do not change.
+
+        Rollup rows are merged to one per key; facts and quarantine rows are kept as they are, copies too, since
+        which copy counts is decided on reading.  Returns the number of partitions rewritten."""
+        before = {p: b for p, b in self.state()["tables"][name].items() if len(b) >= least}
+        if not before:
+            return 0
+        rows, column = self._read(name, before), TABLES[name][1]
+        rows = merged(rows) if name == "rollup" else rows.hint("rebalance", column)
+        order = {"facts": ["project_id", "event_name", "user_key", "ts"], "rollup": ["project_id", "event_name", "user_key"]}.get(name, ["project_id"])
+        new = self._write(name, rows.sortWithinPartitions(column, *order), f"compact-{uuid.uuid4().hex[:8]}")
+
+        def swap(state: dict) -> dict | None:
+            parts = state["tables"][name]
+            if any(not set(b) <= set(parts.get(p, [])) for p, b in before.items()):
+                return None  # expired or compacted meanwhile: the new directories stay unnamed
+            for part, batches in before.items():
+                parts[part] = [b for b in parts[part] if b not in batches] + new.get(part, [])
+            return state
+
+        return len(before) if self._commit(swap) else 0
 
     def expire(self, now: dt.datetime) -> None:
-        """Drops what is older than its table keeps; the rollup outlives the facts."""
-        cut = (now - dt.timedelta(days=FACT_DAYS)).date()
-        for batch in self._children(f"{self.root}/facts"):
-            for day in self._children(f"{self.root}/facts/{batch}"):
-                if day.startswith("day=") and dt.date.fromisoformat(day[4:]) < cut:
-                    self._delete(f"{self.root}/facts/{batch}/{day}")
+        """Drops partitions older than their table keeps; the rollup outlives the facts."""
+        day = lambda days: (now.date() - dt.timedelta(days=days)).isoformat()
+        months = now.year * 12 + now.month - 1 - ROLLUP_MONTHS
+        least = {
+            "facts": day(FACT_DAYS), "sessions": day(FACT_DAYS), "quarantine": day(QUARANTINE_DAYS), "rollup": f"{months // 12:04d}-{months % 12 + 1:02d}-01",
+            "recent": (now - dt.timedelta(minutes=RECENT_MINUTES)).strftime("%Y-%m-%d-%H"),
+        }
+
+        def drop(state: dict) -> dict:
+            for name, oldest in least.items():
+                state["tables"][name] = {p: b for p, b in state["tables"][name].items() if p >= oldest}
+            return state
+
+        self._commit(drop)
+
+    def vacuum(self, older_than: dt.timedelta = dt.timedelta(days=1)) -> int:
+        """Deletes directories no manifest names any more, and old enough that no load or reader is at work with them."""
+        live = {(t, b) for t, parts in self.state()["tables"].items() for batches in parts.values() for b in batches}
+        named = {(t, b, p) for t, parts in self.state()["tables"].items() for p, batches in parts.items() for b in batches}
+        limit = (time.time() - older_than.total_seconds()) * 1000
+        gone = 0
+        for table in TABLES:
+            for directory in self._children(f"{self.root}/{table}"):
+                batch = directory.getPath().getName().partition("=")[2]
+                if (table, batch) not in live:
+                    parts = [directory]
+                else:
+                    parts = [s for s in self._children(directory.getPath().toString()) if s.isDirectory() and (table, batch, s.getPath().getName().partition("=")[2]) not in named]
+                for status in parts:
+                    if status.getModificationTime() <= limit:
+                        self._delete(status.getPath().toString())
+                        gone += 1
+        return gone
 
 
 def expired(table: str, df: DataFrame, now: dt.datetime) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.normalize import ingest
 from ..sources.registry import Registry, Snapshot
-from ..sources.store import EventStore
+from ..sources.store import RECENT_MINUTES, EventStore
 
 BACKOFF_S, BACKOFF_MAX_S = 0.1, 30.0
 
@@ -30,22 +30,19 @@ def file_source(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame
     return spark.readStream.schema("project_id string, raw string, received_at timestamp, pos long").option("maxFilesPerTrigger", max_files).json(path)
 
 
-def recent_only(stream: DataFrame, minutes: int = 10) -> DataFrame:
-    """Drops message ids seen within ``minutes``: a cheap first layer; the store's deduplication is what counts are built on."""
-    return stream.withWatermark("received_at", f"{minutes} minutes").dropDuplicatesWithinWatermark(["project_id", "message_id"])
-
-
-def batch_writer(store: EventStore, catalog: Registry | Snapshot, retries: int = 5) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: normalise with the newest catalog, load, and try the same batch again on failure."""
+def batch_writer(store: EventStore, catalog: Registry | Snapshot, retries: int = 5, recent_minutes: int | None = RECENT_MINUTES) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: normalise with the newest catalog, mark ids accepted lately, load, and try the same batch again on failure."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= store.applied():
+            return
         snapshot = catalog.refresh() if isinstance(catalog, Registry) else catalog
-        rows = ingest(batch, snapshot).persist()
+        rows = store.mark_seen(ingest(batch, snapshot), recent_minutes).persist()
         try:
             wait = BACKOFF_S
             for left in range(retries, -1, -1):
                 try:
-                    store.load(rows, batch_id)
+                    store.load(rows, batch_id, recent_minutes=recent_minutes)
                     return
                 except Exception:
                     if not left:
@@ -58,8 +55,20 @@ def batch_writer(store: EventStore, catalog: Registry | Snapshot, retries: int =
     return write
 
 
-def start(stream: DataFrame, store: EventStore, catalog: Registry | Snapshot, checkpoint: str, available_now: bool = True):
-    writer = stream.writeStream.foreachBatch(batch_writer(store, catalog)).option("checkpointLocation", checkpoint)
+def kafka_sink(rows: DataFrame, servers: str, topic: str) -> None:
+    """Raw events (``project_id, raw, user_key``) to a topic, one user's in one partition (needs Spark's Kafka package)."""
+    out = rows.select(F.unhex(F.lpad(F.hex("user_key"), 16, "0")).alias("key"), F.col("raw").alias("value"))  # eight bytes, the highest first
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.compression.type": "lz4"}
+    out.write.format("kafka").options(**options).save()
+
+
+def file_sink(rows: DataFrame, path: str) -> None:
+    """The same events as JSON lines that :func:`file_source` reads."""
+    rows.select("project_id", "raw", "received_at", "pos").write.mode("append").json(path)
+
+
+def start(stream: DataFrame, store: EventStore, catalog: Registry | Snapshot, checkpoint: str, available_now: bool = True, recent_minutes: int | None = RECENT_MINUTES):
+    writer = stream.writeStream.foreachBatch(batch_writer(store, catalog, recent_minutes=recent_minutes)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
@@ -74,16 +83,18 @@ def lag(query) -> dict:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """A fresh folder below ``spark.checkpoint.dir``; without that, a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="rillmark-stream")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_once(spark: SparkSession, sf_dir: str, sampled: bool = True) -> DataFrame:
     """The driver's events through the whole stream; returns ``event_name, n, users`` of the deduplicated store."""
     from ..operators.facts import dedup_earliest
     from ..sources.generate import demo_snapshot, raw_from
@@ -92,6 +103,23 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     store = EventStore(spark, f"{root}/store")
-    query = start(raw_from(events), store, demo_snapshot(), f"{root}/checkpoint")
+    query = start(raw_from(events), store, demo_snapshot(sampled), f"{root}/checkpoint")
     query.awaitTermination()
     return dedup_earliest(store.facts().drop("properties")).groupBy("event_name").agg(F.count("*").alias("n"), F.count_distinct("user_key").alias("users"))
+
+
+def stored_facts(spark: SparkSession, facts: DataFrame, parts: int = 3) -> EventStore:
+    """A store that got ``facts`` in batches, one of them twice, and was compacted in between."""
+    from ..operators.normalize import SCHEMA
+
+    store = EventStore(spark, f"{work_dir(spark)}/store")
+    more = {"status": F.lit("accepted"), "reason": F.lit(None).cast("string"), "payload": F.lit(None).cast("string"), "quarantine_id": F.lit(None).cast("string"), "pos": F.lit(0).cast("long")}
+    rows = facts.withColumns(more).select(*[f.split()[0] for f in SCHEMA.split(", ")])
+    part = F.pmod(F.xxhash64("message_id", "received_at"), F.lit(parts))
+    for batch in range(parts):
+        for _ in range(1 + batch % 2):
+            store.load(rows.where(part == batch), batch)
+        if not batch:
+            store.compact("rollup", 1)
+    store.compact("facts")
+    return store

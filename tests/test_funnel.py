@@ -49,7 +49,7 @@ def random_events():
 @pytest.mark.parametrize("fold", [False, True])
 def test_levels_and_medians_equal_the_plain_model(spark, random_events, fold):
     rows = [fact(u, n, T0 + dt.timedelta(milliseconds=t), f"{u}-{t}") for u, es in random_events.items() for t, n in es]
-    got = funnel(facts(spark, rows), Funnel(STEPS, Days(DAY, DAY), 4 * 3_600), fold=fold).orderBy("step").collect()
+    got = funnel(facts(spark, rows), Funnel(STEPS, Days(DAY, DAY), 4 * 3_600, project="p"), fold=fold).orderBy("step").collect()
     states = [naive(es, list(STEPS), 0, 86_400_000, 4 * 3_600_000) for es in random_events.values()]
     for i, row in enumerate(got):
         spans = sorted(s[i][1] - s[i][0] for s in states if s[i])
@@ -69,23 +69,23 @@ def test_copies_change_nothing(spark):
             fact(u, "purchase", at + dt.timedelta(minutes=9), f"c{u}", {"currency": ("USD", "EUR", "TRY")[u % 3], "amount": str(10.0 * (u + 1))}),
         ]
     copies = [r[:9] + (r[9] + dt.timedelta(hours=3), True) + r[11:] for r in rows]
-    q = Funnel(("page_view", "signup", "purchase"), Days(DAY, DAY), 3_600)
+    q = Funnel(("page_view", "signup", "purchase"), Days(DAY, DAY), 3_600, project="p")
     for table in (facts(spark, rows), facts(spark, rows + copies)):
         last = funnel(table, q).where("step = 3").first()
         assert (last["users"], last["median_seconds_from_start"]) == (50, 540.0)
-        eur = segment(table, Segment(Days(DAY, DAY), "purchase", (PropertyFilter("currency", "eq", ("EUR",)),))).collect()
+        eur = segment(table, Segment(Days(DAY, DAY), "purchase", (PropertyFilter("currency", "eq", ("EUR",)),), project="p")).collect()
         assert [(r["events"], r["users"]) for r in eur] == [(17, 17)]
-        large = segment(table, Segment(Days(DAY, DAY), "purchase", (PropertyFilter("amount", "gt", ("250",)),))).collect()
+        large = segment(table, Segment(Days(DAY, DAY), "purchase", (PropertyFilter("amount", "gt", ("250",)),), project="p")).collect()
         assert [r["events"] for r in large] == [25]
 
 
 def test_no_users_at_all(spark):
-    got = funnel(facts(spark, []), Funnel(("a", "b"), Days(DAY, DAY), 60)).orderBy("step").collect()
+    got = funnel(facts(spark, []), Funnel(("a", "b"), Days(DAY, DAY), 60, project="p")).orderBy("step").collect()
     assert [(r["users"], r["conversion_from_previous"], r["conversion_from_start"]) for r in got] == [(0, 1.0, 0.0), (0, 0.0, 0.0)]
 
 
 def test_window_is_inclusive_and_first_step_restarts(spark):
     at = lambda s: T0 + dt.timedelta(seconds=s)
     rows = [fact(1, "a", at(0), 1), fact(1, "b", at(60), 2), fact(2, "a", at(0), 3), fact(2, "b", at(61), 4), fact(3, "a", at(0), 5), fact(3, "a", at(30), 6), fact(3, "b", at(80), 7)]
-    got = funnel(facts(spark, rows), Funnel(("a", "b"), Days(DAY, DAY), 60)).where("step = 2").first()
+    got = funnel(facts(spark, rows), Funnel(("a", "b"), Days(DAY, DAY), 60, project="p")).where("step = 2").first()
     assert (got["users"], got["median_seconds_from_start"]) == (2, 60.0)

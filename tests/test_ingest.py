@@ -7,7 +7,7 @@ from rillmark.functions.identity import bucket, bucket_of, key_of, valid_rate
 from rillmark.functions.numbers import canonical
 from rillmark.operators import normalize as N
 from rillmark.operators.quarantine import QUARANTINE_SCHEMA, decode_cursor, encode_cursor, find, page, replayed
-from rillmark.plans.requests import Days, Funnel, PropertyFilter, Retention, Segment
+from rillmark.plans.requests import Days, Funnel, PropertyFilter, RequestError, Retention, Segment
 from rillmark.sources.registry import Conflict, Property, Registry, Settings, Spec, breaking_changes
 
 NOW = dt.datetime(2026, 9, 23, 12, tzinfo=dt.timezone.utc)
@@ -129,37 +129,84 @@ def test_schema_evolution(registry):
     assert registry.snapshot().find("p", "purchase", None)[0] == 2
     changed = Spec({"amount": Property("integer", False), "currency": Property("string", True, ("USD", "GBP")), "quantity": Property("integer", False, None), "new": Property("string", True)})
     found = breaking_changes(PURCHASE, changed)
-    for part in ("'coupon' was removed", "changed type from Number to Integer", "changed from required to optional", "no longer allows 'EUR'", "new property 'new' is required"):
+    for part in ("coupon is gone", "amount was number and is integer", "amount became optional", "currency lost the value 'EUR'", "new is new and required"):
         assert any(part in f for f in found)
-    assert "at most 64" in Spec({f"p{i}": Property("string") for i in range(65)}).problems()[0]
+    assert "65 properties, 64" in Spec({f"p{i}": Property("string") for i in range(65)}).problems()[0]
     assert any("twice" in x for x in Spec({"a": Property("string", False, ("x", "x"))}).problems())
-    assert any("only string" in x for x in Spec({"a": Property("number", False, ("x",))}).problems())
+    assert any("only strings" in x for x in Spec({"a": Property("number", False, ("x",))}).problems())
 
 
-def test_registry_file_is_compared_and_swapped(tmp_path):
-    a = Registry(str(tmp_path / "catalog.json"))
+@pytest.mark.parametrize("shared", [False, True])
+def test_registry_folder_is_compared_and_swapped(spark, tmp_path, monkeypatch, shared):
+    from rillmark.sources import files
+
+    if shared:  # as on a file system that is not the driver's
+        monkeypatch.setattr(files, "folder", lambda path, spark=None: files.SharedFolder(spark, path))
+    a = Registry(str(tmp_path / "catalog"), spark)
     a.put_project("p")
-    b = Registry(str(tmp_path / "catalog.json"))
+    b = Registry(str(tmp_path / "catalog"), spark)
     before = b.snapshot()
     a.put_schema("p", "purchase", 1, PURCHASE)
     with pytest.raises(Conflict):
         b._swap(before, before)
     assert b.put_schema("p", "other", 1, PURCHASE)[0] == "created" and b.snapshot().find("p", "purchase", 1)
+    monkeypatch.setattr(a, "refresh", a.snapshot)  # a writer that does not see the newest revision cannot write over it
+    with pytest.raises(Conflict):
+        a.put_schema("p", "third", 1, PURCHASE)
+    assert not b.log.put(1, "{}") and b.log.newest()[0] == b.snapshot().revision == 3
+
+
+def test_old_revisions_go_and_their_numbers_stay_taken(tmp_path, monkeypatch):
+    from rillmark.sources import files
+
+    monkeypatch.setattr(files, "KEPT", 3)
+    log = files.Numbered(str(tmp_path / "log"))
+    assert all(log.put(n, str(n)) for n in range(1, 8))
+    assert len(log.folder.names()) == 3 and not log.put(2, "late") and log.newest() == (7, "7")
+
+
+def test_listing_is_ordered(spark, registry):
+    registry.put_schema("p", "purchase", 2, PURCHASE)
+    registry.put_schema("p", "add", 1, PURCHASE)
+    rows = registry.snapshot().listing(spark, "p").collect()
+    assert [(r["event_name"], r["version"]) for r in rows] == [("add", 1), ("purchase", 1), ("purchase", 2)]
+    assert Spec.from_json(json.loads(rows[0]["spec"])) == PURCHASE and registry.snapshot().listing(spark, "q").count() == 0
+
+
+def test_deliveries_are_bounded(spark, registry):
+    got = N.deliver(spark, "p", [event(), event(messageId="m-2", event="other")], NOW, registry.snapshot())
+    assert [r["status"] for r in got.orderBy("pos").collect()] == ["accepted", "quarantined"]
+    assert got.first()["received_at"].astimezone(dt.timezone.utc) == NOW
+    for raws in ([], ["{}"] * 501, ["x" * 70_000], ["x" * 50_000] * 100):
+        assert N.request_problems(raws)
+        with pytest.raises(RequestError):
+            N.deliver(spark, "p", raws, NOW, registry.snapshot())
+
+
+def test_messages_without_project_or_arrival_are_counted_and_stored_nowhere(registry):
+    normal = N.Normalizer(registry.snapshot())
+    assert normal(None, event(), NOW)["status"] == normal("p", event(), None)["status"] == "unreadable"
+
+
+def test_the_normaliser_runs_once(spark, registry):
+    df = spark.createDataFrame([("p", event(), NOW, 0)], "project_id string, raw string, received_at timestamp, pos long")
+    assert N.ingest(df, registry.snapshot())._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
 def test_bounds():
     days = Days(dt.date(2026, 1, 1), dt.date(2026, 1, 31))
-    assert "different event" in Funnel(("a", "a"), days, 60).problems()[0]
-    assert "between 2 and 8" in Funnel(tuple("abcdefghi"), days, 60).problems()[0]
-    assert Funnel(("a", "b"), Days(days.end, days.start), 0).problems() == ["windowSeconds must be between 1 and 7776000", "'to' must not be before 'from'"]
-    assert not Retention("a", "b", days, 63).problems() and Retention("a", "b", days, 64).problems()
+    assert "stands twice" in Funnel(("a", "a"), days, 60, project="p").problems()[0]
+    assert "2 to 8" in Funnel(tuple("abcdefghi"), days, 60, project="p").problems()[0]
+    assert Funnel(("a", "b"), Days(days.end, days.start), 0, project="p").problems() == ["window: 1 to 7776000 seconds are possible", "the range ends before it begins"]
+    assert not Retention("a", "b", days, 63, project="p").problems() and Retention("a", "b", days, 64, project="p").problems()
     start = dt.date(2026, 1, 1)
-    assert not Retention("a", "b", Days(start, start + dt.timedelta(days=192)), 63).problems()
-    assert Retention("a", "b", Days(start, start + dt.timedelta(days=193)), 63).problems()
+    assert not Retention("a", "b", Days(start, start + dt.timedelta(days=192)), 63, project="p").problems()
+    assert Retention("a", "b", Days(start, start + dt.timedelta(days=193)), 63, project="p").problems()
+    assert Segment(days, project="").problems() == ["project: missing"]
     assert not Days(start, start + dt.timedelta(days=365)).problems() and Days(start, start + dt.timedelta(days=366)).problems()
-    assert "must be a number" in Segment(days, "a", (PropertyFilter("x", "gt", ("abc",)),)).problems()[0]
-    assert "exactly one" in PropertyFilter("x", "eq", ("a", "b")).problems()[0]
-    assert "between 1 and 100" in PropertyFilter("x", "in", tuple(map(str, range(101)))).problems()[0]
+    assert "no number" in Segment(days, "a", (PropertyFilter("x", "gt", ("abc",)),), project="p").problems()[0]
+    assert "takes one value" in PropertyFilter("x", "eq", ("a", "b")).problems()[0]
+    assert "1 to 100 values" in PropertyFilter("x", "in", tuple(map(str, range(101)))).problems()[0]
 
 
 def test_quarantine_pages_and_replay(spark, registry):

@@ -31,7 +31,7 @@ def visits(spark):
 
 
 def test_retention_is_the_same_from_everywhere(visits):
-    q = Retention("signup", "view", Days(D0, D0 + dt.timedelta(days=1)), 3)
+    q = Retention("signup", "view", Days(D0, D0 + dt.timedelta(days=1)), 3, project="p")
     half = visits.where("user_key < 3").unionByName(visits)  # copies
     masks = month_masks(visits)
     for got in (retention_from_events(visits, q), retention_from_events(half, q), retention_from_rollup(merged(masks), q), retention_from_rollup(masks.unionByName(month_masks(half)), q), retention_by_join(visits, q)):
@@ -50,10 +50,10 @@ def test_sampling_threshold_comes_from_the_rollup(spark):
     rows = spark.createDataFrame([fact(1, "x", day(0), threshold=2_500), fact(2, "y", day(0))], FACT_SCHEMA)
     masks = month_masks(rows)
     days = Days(D0, D0)
-    assert sampling_for(masks, days).threshold == 2_500
-    assert sampling_for(masks, days, ["y"]).threshold == 10_000
-    assert not sampling_for(masks, days, ["none"]).is_estimate
-    assert sampling_for(masks, days, ["x"]).scale == 4.0
+    assert sampling_for(masks, "p", days).threshold == 2_500
+    assert sampling_for(masks, "p", days, ["y"]).threshold == 10_000
+    assert not sampling_for(masks, "p", days, ["none"]).is_estimate
+    assert sampling_for(masks, "p", days, ["x"]).scale == 4.0
 
 
 def at(hour, minute):
@@ -67,7 +67,7 @@ def test_sessions_merge_and_late_events_do_not_bridge(spark, build):
     assert got == [("u1", 1, 0), ("u1", 2, 600), ("u2", 1, 0), ("u2", 1, 0)]
     bridged = build(spark.createDataFrame([*rows, fact(1, "x", at(9, 30))], FACT_SCHEMA))
     assert sorted((r["user_id"], r["event_count"]) for r in bridged.collect()) == [("u1", 4), ("u2", 1), ("u2", 1)]
-    daily = sessions_daily(bridged, Sessions(Days(D0, D0))).first()
+    daily = sessions_daily(bridged, Sessions(Days(D0, D0), project="p")).first()
     assert (daily["sessions"], daily["users"], daily["median_duration_seconds"], daily["events_per_session"]) == (3, 2, 0.0, 2.0)
 
 
