@@ -32,9 +32,13 @@ def upper_median(counts: DataFrame, keys: list[str], totals: tuple[str, ...] = (
         *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("cell").alias("_cell"), "total", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rest"),
         *[F.col(t).alias(f"_total_{t}") for t in totals],
     )
-    condition = F.col("cell") == F.col("_cell")
+    # Both uses of the counts must read the same columns and filters, or their exchange is made twice: hence the
+    # comparison of cells that are never null, and of shares that are never above their totals.
+    condition = F.col("cell").eqNullSafe(F.col("_cell"))
     for k, n in zip(keys, names, strict=True):
         condition = condition & F.col(k).eqNullSafe(F.col(n))
+    for t in totals:
+        condition = condition & (F.coalesce(F.col(t), F.lit(0)) <= F.col(f"_total_{t}"))
     inside = counts.join(hit, condition).select(*keys, "value", "n", "total", "rest", *[F.col(f"_total_{t}").alias(t) for t in totals])
     at = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = inside.withColumn("upto", F.sum("n").over(at)).where("upto > rest and upto - n <= rest")
