@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ship import ship_code
 
-__all__ = ["KEY", "blocks", "checkpoint_dir", "checkpointed", "computed", "discard", "documents", "id_and_text", "packed", "ship_code", "stored", "stored_at", "unpacked"]
+__all__ = ["KEY", "blocks", "checkpoint_dir", "checkpointed", "computed", "discard", "documents", "id_and_text", "packed", "row_key", "same_row", "ship_code", "stored", "stored_at", "unpacked"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +42,15 @@ def blocks(batches: Iterator, max_chars: int = 2_000_000) -> Iterator[tuple[list
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one is set only where none is, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``; one is set only where none is and the session is local, as in tests."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not path:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix="rillmark-checkpoints")
@@ -68,16 +70,33 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
-    """As :func:`stored`, with the path."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rillmark-{uuid.uuid4().hex}"
+    """As :func:`stored`, with the path.  What :func:`discard` has not deleted by then goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rillmark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    fs, target = _target(spark, path)
+    fs.deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _target(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes what :func:`stored_at` wrote, once nothing that is still to run reads it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _target(spark, path)
+    fs.delete(target, True)
+
+
+def row_key(text: Column) -> Column:
+    """64 bits of the text: with the id they tell rows apart that share an id or have none."""
+    return F.xxhash64(text)
+
+
+def same_row(id_a: Column, id_b: Column, key_a: Column, key_b: Column) -> Column:
+    return id_a.eqNullSafe(id_b) & (key_a == key_b)
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:

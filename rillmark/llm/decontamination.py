@@ -4,22 +4,25 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased; a wind
 consecutive words of an item (all its words if it has fewer).  The search goes from the rarest
 term of every window:
 
-1. the corpus counts of the items' words, from tokens reduced before the shuffle; a window
-   with a word the corpus lacks cannot occur;
-2. postings (document, position) of each window's rarest word only, moved by the word's offset
-   in the item, so that postings of one alignment of item and document meet;
-3. every alignment compares the windows of the item with the document's words at their places,
+1. the corpus is cut into words once: the postings (word, document, position) of the items'
+   words are stored, and every later step reads them;
+2. counts of the words, reduced before the shuffle; a window with a word the corpus lacks
+   cannot occur;
+3. postings of each window's rarest word, moved by the word's offset in the item, so that
+   postings of one alignment of item and document meet;
+4. every alignment compares the windows of the item with the document's words at their places,
    which intersects the lists of all other words.
 
 A posting list is never gathered in one place: postings stay rows up to the document they
-belong to.  The items' words are broadcast only after a count shows no more than
-``BROADCAST_TERMS`` of them; beyond that the same plan runs as shuffled joins.  Only DataFrame
-functions are used.  Counts and postings use Spark's ``lower`` with both forms of a lower-case
-sigma made one, which never tells equal words apart; the comparison uses exact ASCII lower case.
+belong to.  Only the texts of documents with an alignment are shuffled.  The items' words, the
+rarest words and the ids of those documents are broadcast only after a count shows that they are
+few (``BROADCAST_TERMS``, ``BROADCAST_IDS``); beyond that the same plan runs as shuffled joins,
+and all postings are stored.  Only DataFrame functions are used.  Everywhere words are compared
+in exact ASCII lower case.
 
 Defined results: a null, empty or wordless text has no words and no hits; a wordless item has
 no window; repeated rows, rows that share an id and rows without one are each compared by
-their own text; repeated item ids count once; an empty benchmark hits
+their own text (rows are told apart by id and 64 bits of the text); repeated item ids count once; an empty benchmark hits
 nothing; other columns are ignored or passed on.
 """
 
@@ -27,54 +30,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import computed, documents, packed, stored, unpacked
+from .common import computed, discard, documents, packed, row_key, same_row, stored, stored_at, unpacked
 
 SIZE = 10
-BROADCAST_TERMS = 100_000
+#: Rows of at most some 40 bytes each that may be broadcast.
+BROADCAST_TERMS, BROADCAST_IDS = 100_000, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+GAPS_OF_BOTH_CASES = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def exact_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", -1), "")
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), GAPS, -1), "")
 
 
-def loose_words(text: Column) -> Column:
-    """Same words and places, in full lower case with one form of sigma: ``lower`` picks the final form by what stands around the word."""
-    return F.array_remove(F.split(F.replace(F.lower(text), F.lit("ς"), F.lit("σ")), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", -1), "")
+def count_words(text: Column) -> Column:
+    """The number of words, without making lower case of them."""
+    return F.size(F.array_remove(F.split(text, GAPS_OF_BOTH_CASES, -1), ""))
 
 
-def _bounded(terms: DataFrame) -> DataFrame:
-    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+def _few(rows: DataFrame, limit: int) -> bool:
+    return rows.limit(limit + 1).count() <= limit
 
 
 def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     text = F.col(f"`{item_text}`")
-    return benchmark.select(F.col(f"`{item_id}`").alias("item_id"), exact_words(text).alias("item_words"), loose_words(text).alias("item_loose")).where("size(item_words) > 0").dropDuplicates(["item_id", "item_words"])
+    return benchmark.select(F.col(f"`{item_id}`").alias("item_id"), exact_words(text).alias("item_words")).where("size(item_words) > 0").dropDuplicates(["item_id", "item_words"])
 
 
-def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(loose_words(F.col(f"`{text_col}`"))).alias("pos", "word"))
+def positional_index(df: DataFrame, items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``word, doc_id, key, pos`` of the corpus' words, stored, and the path; only words that items have, where these are few."""
+    text = F.col(f"`{text_col}`")
+    tokens = df.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(text).alias("key"), F.posexplode(exact_words(text)).alias("pos", "word"))
+    terms = items.select(F.explode("item_words").alias("word")).distinct()
+    if _few(terms, BROADCAST_TERMS):
+        tokens = tokens.join(F.broadcast(terms), "word", "left_semi")
+    return stored_at(tokens.select("word", "doc_id", "key", "pos"))
 
 
-def alignments(df: DataFrame, items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, item_id, delta``: the item's word i would stand at document word ``delta + i``."""
-    tokens = _tokens(df, id_col, text_col)
-    places = items.select("item_id", "item_words", F.posexplode("item_loose").alias("place", "word"))
-    terms = _bounded(places.select("word").distinct())
-    counts = tokens.join(terms, "word").groupBy("word").count()
+def alignments(index: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """``doc_id, key, item_id, delta``: the item's word i would stand at document word ``delta + i``."""
+    counts = index.groupBy("word").count()
     n = F.size("item_words")
-    windows = items.select("item_id", "item_words", "item_loose", F.explode(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).alias("start"))
+    windows = items.select("item_id", "item_words", F.explode(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).alias("start"))
     counted = (
-        windows.select("item_id", "item_words", "start", F.posexplode(F.slice("item_loose", F.col("start") + 1, size)).alias("offset", "word"))
+        windows.select("item_id", "item_words", "start", F.posexplode(F.slice("item_words", F.col("start") + 1, size)).alias("offset", "word"))
         .join(counts, "word", "left")
         .groupBy("item_id", "item_words", "start")
         .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), (F.col("start") + F.col("offset")).alias("place"), "word")).alias("rarest"))
         .where("rarest.count > 0")
     )
-    # Stored: counting the corpus is one pass, and the anchors (no more than the items' words) are read twice.
+    # Stored: they are counted and joined; no more than the items' words.
     anchors = stored(counted.select(F.col("rarest.word").alias("word"), "item_id", F.col("rarest.place").alias("place")).distinct())
-    slim = _bounded(anchors)
-    return tokens.join(slim, "word").select("doc_id", "item_id", (F.col("pos") - F.col("place")).alias("delta")).distinct()
+    if _few(anchors, BROADCAST_TERMS):
+        anchors = F.broadcast(anchors)
+    return index.join(anchors, "word").select("doc_id", "key", "item_id", (F.col("pos") - F.col("place")).alias("delta")).distinct()
 
 
 def matched(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -84,10 +94,22 @@ def matched(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0
     With ``slop`` above 0 these are proximity matches: every word of the window within ``slop``
     words of its place, as counted from the window's rarest word."""
     items = _items(benchmark, item_id, item_text)
-    found = alignments(df, items, size, id_col, text_col).join(items.select("item_id", "item_words"), "item_id")
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "delta", "item_words")).alias("candidates")).withColumnRenamed("doc_id", "_id")
-    texts = packed(df, id_col, text_col).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    texts = computed(texts, words=F.when(F.col("candidates").isNotNull(), exact_words(F.col("text"))).otherwise(loose_words(F.col("text")))).drop("text", "_id")
+    index, path = positional_index(df, items, id_col, text_col)
+    found = stored(alignments(index, items, size))
+    discard(df.sparkSession, path)
+    by_doc = found.join(items, "item_id").groupBy("doc_id", "key").agg(F.collect_list(F.struct("item_id", "delta", "item_words")).alias("candidates"))
+    by_doc = by_doc.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    rows = packed(df, id_col, text_col).withColumn("key", row_key(F.col("text")))
+    # Only rows that have an alignment go through the shuffle.
+    ids = found.select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), F.lit(True).alias("_found")).distinct()
+    own = same_row(F.col("doc_id"), F.col("_id"), F.col("key"), F.col("_key"))
+    if _few(ids, BROADCAST_IDS):
+        marked = rows.join(F.broadcast(ids), same_row(F.col("doc_id"), F.col("_i"), F.col("key"), F.col("_k")), "left")
+        clean, texts = marked.where("_found is null"), marked.where("_found").join(by_doc, own)
+        clean = clean.select("row", "doc_id", count_words(F.col("text")).alias("n_words"))
+    else:
+        clean, texts = None, rows.join(by_doc, own, "left")
+    texts = computed(texts, words=exact_words(F.col("text"))).select("row", "doc_id", "words", "candidates")
 
     # Inside a lambda only get() takes constant time; slice() would copy all words each time.
     def stands(place: Column, word: Column) -> Column:
@@ -106,8 +128,9 @@ def matched(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0
         return F.transform(starts, lambda i: F.struct(c["item_id"].alias("item_id"), (c["delta"] + i).alias("start"), length.alias("length")))
 
     every = F.array_distinct(F.flatten(F.transform("candidates", occurrences)))
-    texts = computed(texts, matches=F.when(F.col("candidates").isNotNull(), every))
-    return texts.select("row", "doc_id", F.greatest(F.size("words"), F.lit(0)).cast("long").alias("n_words"), "matches")
+    texts = computed(texts, matches=F.when(F.col("candidates").isNotNull(), every)).select("row", "doc_id", F.size("words").alias("n_words"), "matches")
+    both = texts if clean is None else texts.unionByName(clean.withColumn("matches", F.lit(None).cast(texts.schema["matches"].dataType)))
+    return both.select("row", "doc_id", F.greatest("n_words", F.lit(0)).cast("long").alias("n_words"), "matches")
 
 
 def phrase_matches(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0, **columns: str) -> DataFrame:

@@ -44,6 +44,7 @@ def benchmark(spark, edge_rows):
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_matches_equal_brute_force(edge, edge_rows, benchmark, monkeypatch, limit):
     monkeypatch.setattr(D, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr(D, "BROADCAST_IDS", limit)
     items, frame = benchmark
     got = rows_of(D.contamination(edge, frame), "doc_id", "n_words", "n_hit", "items")
     assert got == plain(edge_rows, items)
@@ -62,6 +63,24 @@ def test_greek_words_match_whatever_stands_around_them(spark):
     assert rows_of(D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), frame), "doc_id", "n_words", "n_hit", "items") == plain(docs, items)
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_only_a_to_z_are_made_lower(spark, monkeypatch, limit):
+    monkeypatch.setattr(D, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr(D, "BROADCAST_IDS", limit)
+    items = [(0, "ΟΔΟΣ alpha beta"), (1, "İstanbul ISTANBUL"), (2, "\u212A kelvin"), (3, "straSSe ẞ"), (4, "ﬀ Ǆ Ω")]
+    docs = [
+        (1, "x ΟΔΟΣ.alpha beta y"), (2, "οδος alpha beta"), (3, "İSTANBUL istanbul İstanbul iStAnBuL"), (4, "i̇stanbul istanbul"), (5, "\u212A KELVIN k kelvin"), (6, "STRASSE ẞ strasse ß"),
+        (7, "ﬀ Ǆ Ω ﬀ ǅ Ω ff Ǆ Ω ﬀ Ǆ \u2126"), (8, "ΟΔΟΣ ALPHA-BETA"),
+    ]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    assert rows_of(D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), frame), "doc_id", "n_words", "n_hit", "items") == plain(docs, items)
+
+
+def test_texts_without_an_alignment_are_not_shuffled(edge, benchmark):
+    plan = D.matched(edge, benchmark[1]).select("doc_id", "matches")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1 and "LeftOuter, " in plan.replace("broadcast", "") and "strategy=broadcast" in plan
+
+
 def test_filter_keeps_columns_and_clean_rows(edge, edge_rows, benchmark, no_rows):
     items, frame = benchmark
     kept = D.drop_contaminated(edge, frame)
