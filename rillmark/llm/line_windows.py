@@ -5,12 +5,16 @@ more than once in the table keeps its first occurrence, by (doc_id, line), and e
 occurrence covers its three lines.  Covered lines are merged into spans and removed.  Windows
 are judged on the input, not on what is left.  Only DataFrame functions are used.
 
-The table is shuffled as hashes and positions, never as text; the group of a hash is reduced
-to a count and a least position before the shuffle, so a passage that a third of the rows
-share costs one row per task.  The positions of one document meet in one task, nothing more.
+The table is shuffled as hashes and positions, never as text.  The group of a hash is reduced
+to its first and last position before the shuffle; hashes found twice are stored, so that both
+sides of their join with the windows come straight from an exchange and a passage that a third
+of the rows share is split over tasks.  The positions of one document meet in one task, nothing
+more.
 
 Defined results: windows of blank lines only never count; texts of fewer than three lines
-stay as they are; a null text stays null; repeated rows (same id and text) are one document
+stay as they are; a null text stays null; rows are told apart by id and 64 bits of the text
+(XXH64, seed 42), so rows that share an id or have none are documents of their own, ordered by
+those bits within an id; repeated rows (same id and text) are one document
 to the search, so none is the later one of the other; null ids sort first; an empty table
 gives an empty result; other columns are passed through by :func:`dedup_lines` and ignored
 by the query.
@@ -20,40 +24,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import computed, documents, packed, unpacked
+from .common import computed, documents, packed, row_key, same_row, stored, unpacked
 
 SIZE = 3
 NOT_BLANK = "[^\\x09-\\x0D\\x20]"
 
 
 def later_spans(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, spans``: sorted disjoint ranges of 0-based line numbers to remove, for documents that have any."""
+    """``doc_id, key, spans``: sorted disjoint ranges of 0-based line numbers to remove, for documents that have any."""
     texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    lines = computed(texts, lines=F.split("text", "\n", -1)).drop("text")
+    lines = computed(texts.withColumn("key", row_key(F.col("text"))), lines=F.split("text", "\n", -1)).drop("text")
     windows = (
         lines.where(F.size("lines") >= size)
         .select(
             "doc_id",
+            "key",
             # get() takes constant time inside a lambda; slice() would copy all lines each time
             F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - size), lambda i: F.concat_ws("\n", *[F.get("lines", i + k) for k in range(size)]))).alias("line", "window"),
         )
         .where(F.col("window").rlike(NOT_BLANK))
-        .select("doc_id", "line", F.unhex(F.md5("window")).alias("hash"))
+        .select("doc_id", "key", "line", F.unhex(F.md5("window")).alias("hash"))
     )
-    place = F.struct("doc_id", "line")
-    firsts = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = windows.join(firsts, "hash").where(~F.struct("doc_id", "line").eqNullSafe(F.col("first"))).select("doc_id", "line").distinct()
-    own = Window.partitionBy("doc_id").orderBy("line")
+    place = F.struct("doc_id", "key", "line")
+    firsts = stored(windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
+    later = windows.join(firsts, "hash").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "key", "line").distinct()
+    own = Window.partitionBy("doc_id", "key").orderBy("line")
     begins = F.coalesce((F.col("line") - F.lag("line").over(own) > size).cast("int"), F.lit(1))
     merged = later.withColumn("begins", begins).withColumn("span", F.sum("begins").over(own))
-    spans = merged.groupBy("doc_id", "span").agg(F.min("line").alias("first"), (F.max("line") + (size - 1)).alias("last"))
-    return spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    spans = merged.groupBy("doc_id", "key", "span").agg(F.min("line").alias("first"), (F.max("line") + (size - 1)).alias("last"))
+    return spans.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
 def cut_lines(df: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row`` (all input columns), ``doc_id, text`` (cut), ``n_lines, n_removed, n_spans`` for every input row."""
-    spans = later_spans(df, size, id_col, text_col).withColumnRenamed("doc_id", "_id")
-    joined = packed(df, id_col, text_col).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    spans = later_spans(df, size, id_col, text_col).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    joined = packed(df, id_col, text_col).join(spans, same_row(F.col("doc_id"), F.col("_id"), row_key(F.col("text")), F.col("_key")), "left")
     lines, n = F.split("text", "\n", -1), F.size("spans")
 
     def marks(i):

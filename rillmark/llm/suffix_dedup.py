@@ -7,8 +7,8 @@ table.  Sorting every suffix of a large table is not possible, and not needed:
    in it (leftmost on ties), so equal windows name equal seeds at equal places.  The windows
    that share one anchor occurrence make a segment of at most 2 * LENGTH - SEED bytes.
    Anchors whose seed occurs once in the table are dropped: nothing at them repeats.
-2. Segments with equal seed and equal content are counted; those that occur twice are covered
-   as they stand, and one of them represents the rest.
+2. Segments with equal seed and equal content (64 bits of hash each) are counted; those that
+   occur twice are covered as they stand, and one of them represents the rest.
 3. Different segments around one seed meet in one task.  There a suffix array is built in two
    stages: suffixes smaller than their successors are sorted directly, the others are induced
    by scanning the buckets in order.  The common prefix of neighbouring suffixes tells which
@@ -18,12 +18,14 @@ table.  Sorting every suffix of a large table is not possible, and not needed:
    by one instead, which gives the same answer from rows that any number of tasks can share.
 
 All shuffles carry hashes and positions; the text is dealt out by document once, and segments
-of repeated seeds once.
+of repeated seeds once.  What is repeated is stored before it is joined back to its places, so
+that both sides of such a join come straight from an exchange and the copies of one passage are
+split over tasks.
 
 Defined results: texts below ``LENGTH`` bytes lose nothing by themselves; null counts as
-empty; repeated rows (same id and text) remove each other like any copies; ids identify texts
-(rows with one id must hold one text); an empty table gives an empty result; other columns
-are ignored.
+empty; rows are told apart by id and 64 bits of the text, so rows that share an id or have none
+are texts of their own; repeated rows (same id and text) remove each other like any copies; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import discard, documents, ship_code, stored, stored_at
+from .common import discard, documents, row_key, same_row, ship_code, stored, stored_at
 
 LENGTH, SEED = 200, 32
 HOT_SEGMENTS = 2_000
@@ -40,6 +42,8 @@ HOT_SEGMENTS = 2_000
 BLOCK_BYTES, ARRAY_BYTES = 1_000_000, 500_000
 _B = 0x9E3779B97F4A7C15 | 1
 _PLACE = 24
+#: First window start and number of further ones of an anchor occurrence, as one long.
+_RUN = 1 << 16
 
 
 def seed_hashes(data, seed: int = SEED):
@@ -197,91 +201,100 @@ def spans_of(hits, offset: int) -> list[tuple[int, int]]:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+    """``doc_id, key, seed, content, run`` of each anchor occurrence; ``run`` holds the window starts that name it."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            for keys, offsets, parts in pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            for keys, offsets, parts in pieces(rows, batch.column(1).to_pylist(), length):
                 data = b"".join(parts)
                 ends = np.cumsum([len(p) for p in parts])
                 starts = ends - np.array([len(p) for p in parts])
                 text, h, first, last = anchors(np.frombuffer(data, dtype=np.uint8), starts, ends, length)
                 view = memoryview(data)
                 own = [xxh3_64_intdigest(view[a : b + length], n) for a, b, n in zip(first.tolist(), last.tolist(), (last - first).tolist(), strict=True)]
-                shift = np.array(offsets)[text] - starts[text]
+                at = first + (np.array(offsets)[text] - starts[text])
+                ids, hashes = (pa.array([k[i] for k in keys], pa.int64()).take(pa.array(text)) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[i] for i in text.tolist()], pa.int64()), pa.array(h.view(np.int64)), pa.array(np.array(own, dtype=np.uint64).view(np.int64)), pa.array(first + shift), pa.array(last + shift)],
-                    names=["doc_id", "seed", "content", "first", "last"],
+                    [ids, hashes, pa.array(h.view(np.int64)), pa.array(np.array(own, dtype=np.uint64).view(np.int64)), pa.array(at * _RUN + (last - first))],
+                    names=["doc_id", "key", "seed", "content", "run"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, seed long, content long, first long, last long")
+    return docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, seed long, content long, run long")
 
 
 def removed_windows(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """``doc_id, first, last``: ranges of window starts (bytes) to remove; ``df`` has ``doc_id`` and binary ``text``."""
+    """``doc_id, key, first, last``: ranges of window starts (bytes) to remove; ``df`` has ``doc_id``, ``key`` and binary ``text``."""
+    if length >= _RUN:
+        raise ValueError(f"length must be below {_RUN}")
     spark = df.sparkSession
+    bounds = [F.expr(f"run div {_RUN}").alias("first"), F.expr(f"run div {_RUN} + run % {_RUN}").alias("last")]
     found, found_path = stored_at(anchor_rows(df, length))
     # Stored, so that both sides of the join come straight from an exchange and hot seeds can be split.
     twice, twice_path = stored_at(found.groupBy("seed").count().where(F.col("count") > 1).select("seed"))
     again = stored(found.join(twice, "seed"))
     discard(spark, found_path)
     discard(spark, twice_path)
-    kinds = again.groupBy("seed", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "last")).alias("one"))
-    same = again.join(kinds.where("copies > 1").select("seed", "content"), ["seed", "content"]).select("doc_id", "first", "last")
+    kinds = stored(again.groupBy("seed", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "run")).alias("one")))
+    same = again.join(kinds.where("copies > 1").select("seed", "content"), ["seed", "content"]).select("doc_id", "key", *bounds)
     several = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    ones = kinds.join(several, "seed").select("seed", "one.*", (F.col("kinds") > hot_segments).alias("hot"))
-    wanted = ones.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "first", "last", "hot")).alias("segments")).withColumnRenamed("doc_id", "_id")
+    ones = kinds.join(several, "seed").select("seed", "one.*", (F.col("kinds") > hot_segments).alias("hot")).select("doc_id", "key", "seed", "hot", *bounds)
+    wanted = ones.groupBy("doc_id", "key").agg(F.collect_list(F.struct("seed", "first", "last", "hot")).alias("segments")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    place = "doc_id long, key long, first long"
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["doc_id", "seed", "first", "hot", "bytes"]
+        names = ["doc_id", "key", "first", "seed", "hot", "bytes"]
         for batch in batches:
             for i in range(batch.num_rows):
-                text, own = batch.column(1)[i].as_py() or b"", batch.column(2)[i].as_py()
+                doc, key, text, own = (c[i].as_py() for c in batch.columns)
                 for at in range(0, len(own), 2000):
                     part = own[at : at + 2000]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([batch.column(0)[i].as_py()] * len(part), pa.int64()),
-                            pa.array([s["seed"] for s in part], pa.int64()),
+                            pa.array([doc] * len(part), pa.int64()),
+                            pa.array([key] * len(part), pa.int64()),
                             pa.array([s["first"] for s in part], pa.int64()),
+                            pa.array([s["seed"] for s in part], pa.int64()),
                             pa.array([s["hot"] for s in part], pa.bool_()),
                             pa.array([text[s["first"] : s["last"] + length] for s in part], pa.binary()),
                         ],
                         names=names,
                     )
 
-    segments = df.join(wanted, df.doc_id.eqNullSafe(F.col("_id"))).select("doc_id", "text", "segments").mapInArrow(cut, "doc_id long, seed long, first long, hot boolean, bytes binary")
+    segments = df.join(wanted, same_row(df.doc_id, F.col("_id"), df.key, F.col("_key"))).select("doc_id", "key", "text", "segments").mapInArrow(cut, f"{place}, seed long, hot boolean, bytes binary")
 
     def sort_block(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def block(rows: list) -> pa.RecordBatch:
-            hits = repeated_windows([r[2] for r in rows], length)
-            spans = [(r[0], *s) for r, hit in zip(rows, hits, strict=True) for s in spans_of(hit, r[1])]
-            return pa.RecordBatch.from_arrays([pa.array([s[k] for s in spans], pa.int64()) for k in range(3)], names=["doc_id", "first", "last"])
+            hits = repeated_windows([r[3] for r in rows], length)
+            spans = [(r[0], r[1], *s) for r, hit in zip(rows, hits, strict=True) for s in spans_of(hit, r[2])]
+            return pa.RecordBatch.from_arrays([pa.array([s[k] for s in spans], pa.int64()) for k in range(4)], names=["doc_id", "key", "first", "last"])
 
         rows: list = []
         size = 0
         last = None
         for batch in batches:
-            for doc, seed, first, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for doc, key, first, seed, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if seed != last:
                     if size > ARRAY_BYTES:
                         yield block(rows)
                         rows, size = [], 0
                     last = seed
-                rows.append((doc, first, data))
+                rows.append((doc, key, first, data))
                 size += len(data)
         if rows:
             yield block(rows)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = segments.where("not hot").select("doc_id", "seed", "first", "bytes").repartition(parts, "seed").sortWithinPartitions("seed")
-    sorted_spans = cold.select("doc_id", "seed", "first", "bytes").mapInArrow(sort_block, "doc_id long, first long, last long")
+    cold = segments.where("not hot").drop("hot").repartition(parts, "seed").sortWithinPartitions("seed")
+    sorted_spans = cold.mapInArrow(sort_block, f"{place}, last long")
 
     def windows(batches: Iterator) -> Iterator:
         import numpy as np
@@ -289,15 +302,17 @@ def removed_windows(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT
         from xxhash import xxh3_128_intdigest
 
         for batch in batches:
-            for doc, seed, first, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for doc, key, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(data) - length + 1
                 own = [xxh3_128_intdigest(data[i : i + length]) for i in range(n)]
                 low, high = (np.array([(x >> s) & ((1 << 64) - 1) for x in own], dtype=np.uint64).view(np.int64) for s in (0, 64))
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(np.arange(first, first + n)), pa.array(low), pa.array(high)], names=["doc_id", "first", "low", "high"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(np.arange(first, first + n)), pa.array(low), pa.array(high)], names=["doc_id", "key", "first", "low", "high"]
+                )
 
-    each = segments.where("hot").select("doc_id", "seed", "first", "bytes").mapInArrow(windows, "doc_id long, first long, low long, high long")
-    common = each.groupBy("low", "high").count().where(F.col("count") > 1).select("low", "high")
-    hot_spans = each.join(common, ["low", "high"]).select("doc_id", "first", F.col("first").alias("last"))
+    each = segments.where("hot").select("doc_id", "key", "first", "bytes").mapInArrow(windows, f"{place}, low long, high long")
+    common = stored(each.groupBy("low", "high").count().where(F.col("count") > 1).select("low", "high"))
+    hot_spans = each.join(common, ["low", "high"]).select("doc_id", "key", "first", F.col("first").alias("last"))
     return same.unionByName(sorted_spans).unionByName(hot_spans)
 
 
@@ -305,7 +320,9 @@ def dedup_bytes(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEG
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) for every input row."""
     ship_code(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    ranges = removed_windows(docs, length, hot_segments).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnRenamed("doc_id", "_id")
+    docs = docs.withColumn("key", row_key(F.col("text")))
+    ranges = removed_windows(docs, length, hot_segments).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = ranges.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
 
     def keep(batches: Iterator) -> Iterator:
         import numpy as np
@@ -332,7 +349,7 @@ def dedup_bytes(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEG
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    joined = docs.join(ranges, docs.doc_id.eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "ranges")
+    joined = docs.join(ranges, same_row(docs.doc_id, F.col("_id"), docs.key, F.col("_key")), "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -46,7 +46,7 @@ def byte_rows():
     noise = lambda: "".join(rng.choice("klmn") for _ in range(150))
     return [
         (1, base), (2, base[500:900] + "x" * 300), (3, "y" * 700), (4, None), (5, ""), (6, "short"), (7, base), (7, base), (8, "ab" * 400), (9, base[100:299]),
-        (10, base[100:400] + "q" + base[401:800]), (None, base[1000:1300]), *[(20 + i, noise() + base[1500:1750] + noise()) for i in range(12)],
+        (10, base[100:400] + "q" + base[401:800]), (None, base[1000:1300]), (None, "z1" * 50 + base[40:90]), (7, "w" + base[2000:2150] + noise()), (11, "m" + noise() + noise()), (11, base[2500:2900]), *[(20 + i, noise() + base[1500:1750] + noise()) for i in range(12)],
     ]
 
 
@@ -55,6 +55,13 @@ def test_removed_bytes_equal_brute_force(spark, byte_rows, options):
     assert removal(spark.createDataFrame(byte_rows, "doc_id long, text string"), **options) == repeated_bytes(byte_rows)
 
 
+def test_bytes_of_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(9)
+    a, b, c = ("".join(rng.choice("abcdefgh") for _ in range(600)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (3, c[:100] + b[:150]), (3, c[:100] + b[:150]), (4, c[:199])]
+    assert removal(spark.createDataFrame(rows, "doc_id long, text string")) == repeated_bytes(rows)
+
+
 def test_bytes_of_edge_rows(edge, edge_rows, no_rows):
     assert removal(edge) == repeated_bytes(edge_rows)
     assert suffix_dedup.dedup_bytes(no_rows).count() == 0
@@ -165,16 +172,17 @@ def test_keep_one_and_no_rows(edge, no_rows):
 
 def plain_lines(rows, size=3):
     first, places = {}, {}
-    for key, text in sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
+    signed = lambda t: (h := xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    for key, text in sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]))):
         lines = text.split("\n")
         for n in range(len(lines) - size + 1):
             window = "\n".join(lines[n : n + size])
-            if re.search(r"[^\x09-\x0D\x20]", window) and first.setdefault(window, (key, n)) != (key, n):
-                places.setdefault(key, set()).update(range(n, n + size))
+            if re.search(r"[^\x09-\x0D\x20]", window) and first.setdefault(window, (key, text, n)) != (key, text, n):
+                places.setdefault((key, text), set()).update(range(n, n + size))
     out = []
     for key, text in rows:
         lines = [] if text is None else text.split("\n")
-        gone = places.get(key, set())
+        gone = places.get((key, text), set())
         kept = None if text is None else "\n".join(x for n, x in enumerate(lines) if n not in gone)
         out.append((key, kept, len(lines), len(gone), sum(1 for n in gone if n - 1 not in gone)))
     return sorted(out, key=repr)
@@ -187,5 +195,12 @@ def test_lines_of_edge_rows(spark, edge, edge_rows, no_rows):
     assert rows_of(line_windows.cut_lines(spark.createDataFrame(many, "doc_id long, text string")), "doc_id", "text", "n_lines", "n_removed", "n_spans") == plain_lines(many)
 
 
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    shared = "\n".join(f"line {i} of a passage" for i in range(4))
+    rows = [(1, "a\n" + shared), (1, "only\nhere\nfound"), (1, shared + "\nz"), (None, "b\n" + shared), (None, "x\ny\nz"), (None, "x\ny\nz"), (2, shared), (2, shared), (0, "first\n" + shared)]
+    got = rows_of(line_windows.cut_lines(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "text", "n_lines", "n_removed", "n_spans")
+    assert got == plain_lines(rows) and (1, "only\nhere\nfound", 3, 0, 0) in got
+
+
 def test_line_query_equals_its_sql(same):
     same(line_windows.op9_line_windows, line_windows.OP9_SQL)
