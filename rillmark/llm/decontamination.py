@@ -8,10 +8,10 @@ term of every window:
    words are stored, and every later step reads them;
 2. counts of the words, reduced before the shuffle; a window with a word the corpus lacks
    cannot occur;
-3. postings of each window's rarest word, moved by the word's offset in the item, so that
-   postings of one alignment of item and document meet;
-4. every alignment compares the windows of the item with the document's words at their places,
-   which intersects the lists of all other words.
+3. the postings of each window's ``LISTS`` rarest words, moved by their offsets in the item, are
+   intersected: an alignment of item and document stays if some window has them all;
+4. every alignment left compares the windows of the item with the document's words at their
+   places, which stands for the lists of all other words.
 
 A posting list is never gathered in one place: postings stay rows up to the document they
 belong to.  Only the texts of documents with an alignment are shuffled.  The items' words, the
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import computed, discard, documents, packed, row_key, same_row, stored, stored_at, unpacked
 
 SIZE = 10
+LISTS = 2
 #: Rows of at most some 40 bytes each that may be broadcast.
 BROADCAST_TERMS, BROADCAST_IDS = 100_000, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,9 +45,14 @@ def exact_words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), GAPS, -1), "")
 
 
-def count_words(text: Column) -> Column:
-    """The number of words, without making lower case of them."""
-    return F.size(F.array_remove(F.split(text, GAPS_OF_BOTH_CASES, -1), ""))
+def raw_words(text: Column) -> Column:
+    """The words as they stand; :func:`exact_lower` of them are the words."""
+    return F.array_remove(F.split(text, GAPS_OF_BOTH_CASES, -1), "")
+
+
+def exact_lower(word: Column) -> Column:
+    """A-Z in lower case and nothing else; ``lower`` does just that to ASCII, and much faster."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
 def _few(rows: DataFrame, limit: int) -> bool:
@@ -61,30 +67,32 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
 def positional_index(df: DataFrame, items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """``word, doc_id, key, pos`` of the corpus' words, stored, and the path; only words that items have, where these are few."""
     text = F.col(f"`{text_col}`")
-    tokens = df.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(text).alias("key"), F.posexplode(exact_words(text)).alias("pos", "word"))
+    tokens = df.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(text).alias("key"), F.posexplode(raw_words(text)).alias("pos", "word")).withColumn("word", exact_lower(F.col("word")))
     terms = items.select(F.explode("item_words").alias("word")).distinct()
     if _few(terms, BROADCAST_TERMS):
         tokens = tokens.join(F.broadcast(terms), "word", "left_semi")
     return stored_at(tokens.select("word", "doc_id", "key", "pos"))
 
 
-def alignments(index: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """``doc_id, key, item_id, delta``: the item's word i would stand at document word ``delta + i``."""
+def alignments(index: DataFrame, items: DataFrame, size: int, lists: int = LISTS) -> DataFrame:
+    """``doc_id, key, item_id, delta``: the item's word i may stand at document word ``delta + i``; the
+    ``lists`` rarest words of some window do."""
     counts = index.groupBy("word").count()
     n = F.size("item_words")
     windows = items.select("item_id", "item_words", F.explode(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).alias("start"))
-    counted = (
-        windows.select("item_id", "item_words", "start", F.posexplode(F.slice("item_words", F.col("start") + 1, size)).alias("offset", "word"))
-        .join(counts, "word", "left")
-        .groupBy("item_id", "item_words", "start")
-        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), (F.col("start") + F.col("offset")).alias("place"), "word")).alias("rarest"))
-        .where("rarest.count > 0")
-    )
-    # Stored: they are counted and joined; no more than the items' words.
-    anchors = stored(counted.select(F.col("rarest.word").alias("word"), "item_id", F.col("rarest.place").alias("place")).distinct())
+    words = windows.select("item_id", "item_words", "start", F.posexplode(F.slice("item_words", F.col("start") + 1, size)).alias("offset", "word"))
+    each = F.struct(F.coalesce("count", F.lit(0)).alias("count"), (F.col("start") + F.col("offset")).alias("place"), "word")
+    rarest = words.join(counts, "word", "left").groupBy("item_id", "item_words", "start").agg(F.sort_array(F.collect_list(each)).alias("rarest"))  # of a window
+    # Stored: they are counted and joined; no more than a few times the items' words.
+    chosen = stored(rarest.where("rarest[0].count > 0").select("item_id", F.slice("rarest", 1, lists).alias("rarest")))
+    anchors = chosen.select("item_id", F.explode("rarest").alias("r")).select("item_id", "r.place", "r.word").distinct()
+    wanted = chosen.groupBy("item_id").agg(F.collect_set("rarest.place").alias("wanted"))
     if _few(anchors, BROADCAST_TERMS):
-        anchors = F.broadcast(anchors)
-    return index.join(anchors, "word").select("doc_id", "key", "item_id", (F.col("pos") - F.col("place")).alias("delta")).distinct()
+        anchors, wanted = F.broadcast(anchors), F.broadcast(wanted)
+    moved = index.join(anchors, "word").select("doc_id", "key", "item_id", (F.col("pos") - F.col("place")).alias("delta"), "place")
+    met = moved.groupBy("doc_id", "key", "item_id", "delta").agg(F.collect_set("place").alias("places"))  # places of one item
+    whole = F.exists("wanted", lambda w: F.size(F.array_except(w, F.col("places"))) == 0)
+    return met.join(wanted, "item_id").where(whole).select("doc_id", "key", "item_id", "delta")
 
 
 def matched(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -95,7 +103,7 @@ def matched(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0
     words of its place, as counted from the window's rarest word."""
     items = _items(benchmark, item_id, item_text)
     index, path = positional_index(df, items, id_col, text_col)
-    found = stored(alignments(index, items, size))
+    found = stored(alignments(index, items, size, 1 if slop else LISTS))
     discard(df.sparkSession, path)
     by_doc = found.join(items, "item_id").groupBy("doc_id", "key").agg(F.collect_list(F.struct("item_id", "delta", "item_words")).alias("candidates"))
     by_doc = by_doc.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
@@ -106,7 +114,7 @@ def matched(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0
     if _few(ids, BROADCAST_IDS):
         marked = rows.join(F.broadcast(ids), same_row(F.col("doc_id"), F.col("_i"), F.col("key"), F.col("_k")), "left")
         clean, texts = marked.where("_found is null"), marked.where("_found").join(by_doc, own)
-        clean = clean.select("row", "doc_id", count_words(F.col("text")).alias("n_words"))
+        clean = clean.select("row", "doc_id", F.size(raw_words(F.col("text"))).alias("n_words"))
     else:
         clean, texts = None, rows.join(by_doc, own, "left")
     texts = computed(texts, words=exact_words(F.col("text"))).select("row", "doc_id", "words", "candidates")
