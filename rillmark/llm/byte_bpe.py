@@ -1,60 +1,76 @@
 """Byte-level BPE by DuckDB recursive queries inside each task.
 
 A task gathers the words (matches of the split pattern) of a block of documents.  The words
-its Python worker does not remember become token-position rows ``(word, position, token)``; a recursive
-query joins neighbouring rows to the merge table and contracts the leftmost pair of least
-rank of every word until no word has a pair left.  Words of more than ``LONG`` bytes contract
-all non-overlapping places of their least pair in one step, left to right, which bounds the
-steps of a very long word.  An ordered aggregation turns token rows back into bytes.
+its Python worker does not remember become token-position rows ``(word, position, token)``; a
+recursive query joins neighbouring rows to the merge table and contracts the leftmost pair of
+least rank of every word until no word has a pair left.  An ordered aggregation turns token
+rows back into bytes.
+
+A word of more than ``LONG`` bytes would need as many steps as it has merges.  It is encoded
+in pieces, by the same query, which are then mended.  A row of tokens is the encoding of its
+bytes exactly if every two neighbours are the encoding of theirs (a merge across a border of two
+tokens would be the first one across in both), so only the seams are checked, and where one does
+not hold the tokens around it are encoded anew, in ever wider windows.  Windows beyond ``WIDE``
+bytes contract all non-overlapping places of their least pair at once; all neighbours of such a
+result are checked, and if any two fail the leftmost contraction runs over the whole window.
 
 Only distinct words go through DuckDB, in portions of bounded size; a document is the
 concatenation of its words.  Nothing is shuffled.
 
 Defined results: a null or empty text has no ids and decodes to nothing; repeated rows are
-encoded each by itself; an empty table gives an empty result; other columns are ignored.
+encoded each by itself; an empty table gives an empty result; other columns are ignored.  A text
+of one word of a million letters takes seconds.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
-from itertools import islice
+import os
+import tempfile
+from collections.abc import Iterable, Iterator
+from itertools import islice, pairwise
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import blocks, documents, id_and_text, ship_code
 
-LONG = 64
-#: Bytes of distinct words in one recursive query, and words a task remembers.
-PORTION_BYTES, MEMO_WORDS, MEMO_BYTES = 1_000_000, 500_000, 64
+#: Bytes of a word that is encoded as it stands, of the pieces of longer ones, and of windows that are contracted from the left.
+LONG, PIECE, WIDE = 64, 32, 256
+#: Bytes of words and rows of all steps (estimated) in one recursive query, and words a task remembers.
+PORTION_BYTES, PORTION_ROWS, MEMO_WORDS, MEMO_BYTES, MEMO_PAIRS = 1_000_000, 8_000_000, 500_000, 64, 200_000
+#: Tokens on either side of a seam that are encoded anew at first.
+REACH = 4
 
 ENCODE = """
-WITH RECURSIVE state(w, toks, ranks) AS (
-    SELECT w, list(t ORDER BY p), list(coalesce(m.id, 4294967295) ORDER BY p)[:-2]
-    FROM seed LEFT JOIN merges m ON m.pair = (t::BIGINT << 32) | nt GROUP BY w
+WITH RECURSIVE state(w, p, t, next_p, next_t, r, step) AS (
+    SELECT w, p, t, next_p, next_t, coalesce(m.id, 1073741823), 0
+    FROM seed LEFT JOIN merges m ON m.pair = (t::BIGINT << 32) | next_t
     UNION ALL
     (
-    WITH least AS (
-        SELECT w, toks, ranks, list_min(ranks) AS best FROM state WHERE list_min(ranks) < 4294967295
+    WITH leftmost AS (
+        SELECT w, min((r << 32) | p) AS least FROM state GROUP BY w HAVING min(r) < 1073741823
     ), place AS (
-        SELECT w, toks, ranks, best, list_position(ranks, best) AS i FROM least
-    ), around AS (
-        SELECT *, CASE WHEN i > 1 THEN (toks[i - 1]::BIGINT << 32) | best END AS before,
-               CASE WHEN i + 1 < len(toks) THEN (best << 32) | toks[i + 2] END AS after
-        FROM place
+        SELECT l.w, least >> 32 AS best, s.p AS spot, s.next_p AS eaten
+        FROM leftmost l JOIN state s ON s.w = l.w AND s.p = least & 4294967295
+    ), moved AS (
+        SELECT w, p,
+               CASE WHEN p = eaten THEN best ELSE t END AS t,
+               CASE WHEN next_p = spot THEN eaten ELSE next_p END AS next_p,
+               CASE WHEN next_p = spot THEN best ELSE next_t END AS next_t,
+               r, p = eaten OR next_p = spot AS changed, step
+        FROM state JOIN place USING (w) WHERE p <> spot
     )
-    SELECT w,
-           toks[:i - 1] || [best::INTEGER] || toks[i + 2:],
-           CASE WHEN i > 1 THEN ranks[:i - 2] || [coalesce(b.id, 4294967295)] ELSE [] END
-           || CASE WHEN after IS NULL THEN [] ELSE [coalesce(a.id, 4294967295)] || ranks[i + 2:] END
-    FROM around LEFT JOIN merges b ON b.pair = before LEFT JOIN merges a ON a.pair = after
+    SELECT w, p, t::INTEGER, next_p, next_t::INTEGER, CASE WHEN changed THEN coalesce(m.id, 1073741823) ELSE r END, step + 1
+    FROM moved LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN (t::BIGINT << 32) | next_t ELSE -1 END
     )
+), last AS (
+    SELECT w, max(step) AS step FROM state GROUP BY w
 )
-SELECT w, toks FROM state WHERE coalesce(list_min(ranks), 4294967295) = 4294967295
+SELECT w, p, t FROM state JOIN last USING (w, step)
 """
 
-ENCODE_LONG = """
+ENCODE_WIDE = """
 WITH RECURSIVE state(w, p, t, live) AS (
     SELECT w, p, t, true FROM seed
     UNION ALL
@@ -79,15 +95,12 @@ WITH RECURSIVE state(w, p, t, live) AS (
     SELECT w, p, CASE WHEN hit THEN best ELSE t END, best IS NOT NULL FROM marked WHERE NOT eaten
     )
 )
-SELECT w, list(t ORDER BY p) AS toks FROM state WHERE NOT live GROUP BY w
+SELECT w, p, t FROM state WHERE NOT live
 """
 
 DECODE = """
-SELECT f.w, array_to_string(f.toks, ' ') AS ids, d.decoded
-FROM finals f JOIN (
-    SELECT w, string_agg(vocab.bytes, '' ORDER BY p) AS decoded
-    FROM (SELECT w, unnest(toks) AS t, generate_subscripts(toks, 1) AS p FROM finals) JOIN vocab ON vocab.id = t GROUP BY w
-) d USING (w)
+SELECT w, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids, string_agg(vocab.bytes, '' ORDER BY p) AS decoded
+FROM finals JOIN vocab ON vocab.id = t GROUP BY w
 """
 
 
@@ -110,7 +123,10 @@ class DuckBpe:
         self.split = regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.memo: dict[str, tuple[str, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.tokens = {k: t for t, k in ranks.items()}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        scratch = os.path.join(tempfile.gettempdir(), f"rillmark-duckdb-{os.getpid()}")  # of this worker alone
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": scratch})
         self.db.execute("SET enable_progress_bar = false")
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in ranks]})
         self.db.register("vocab_in", vocab)
@@ -124,38 +140,139 @@ class DuckBpe:
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, tuple[str, bytes]]]:
         """Each distinct word with its ids as text and the bytes decoded from them."""
-        portion: list[tuple[str, bytes]] = []
-        size, long = 0, False
-        for word in sorted(words, key=len):  # words of like length need a like number of steps
-            data = word.encode("utf-8")
-            now = len(data) > LONG
-            if portion and (size + len(data) > PORTION_BYTES or now != long):
-                yield from self._encode(portion, long)
-                portion, size = [], 0
-            portion.append((word, data))
-            size, long = size + len(data), now
-        if portion:
-            yield from self._encode(portion, long)
-
-    def _encode(self, portion: list[tuple[str, bytes]], long: bool) -> Iterator[tuple[str, tuple[str, bytes]]]:
+        data = [word.encode("utf-8") for word in words]
+        short = [i for i, d in enumerate(data) if len(d) <= LONG]
+        for part in self._portions([data[i] for i in short]):
+            names = [words[short[i]] for i in part]
+            yield from zip(names, self._decode(self._query(ENCODE, [data[short[i]] for i in part]), len(part)), strict=True)
+        long = [i for i, d in enumerate(data) if len(d) > LONG]
+        if long:
+            rows = self._rows(self._mended([data[i] for i in long]))
+            yield from zip((words[i] for i in long), self._decode(rows, len(long)), strict=True)
+
+    @staticmethod
+    def _portions(items: list[bytes]) -> Iterator[list[int]]:
+        """Indices of the items in portions of bounded size, items of like length together: they need a like number of steps."""
+        part: list[int] = []
+        size = rows = 0
+        for i in sorted(range(len(items)), key=lambda i: len(items[i])):
+            n = len(items[i])
+            if part and (size + n > PORTION_BYTES or rows + n * n // 2 > PORTION_ROWS):
+                yield part
+                part, size, rows = [], 0, 0
+            part.append(i)
+            size, rows = size + n, rows + n * n // 2
+        if part:
+            yield part
+
+    def _query(self, query: str, items: list[bytes]):
+        """Rows (w, p, t) of the items' tokens, w being the index of the item."""
         np, pa = self.np, self.pa
-        sizes = np.array([len(d) for _, d in portion])
-        data = np.frombuffer(b"".join(d for _, d in portion), dtype=np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        seed = pa.table({
-            "w": np.repeat(np.arange(len(portion), dtype=np.int32), sizes),
-            "p": (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.int32),
-            "t": self.byte_ids[data],
-            "nt": np.where(np.arange(len(data)) == np.repeat(starts + sizes - 1, sizes), -1, np.roll(self.byte_ids[data], -1)),
-        })
+        sizes = np.array([len(d) for d in items])
+        ids = self.byte_ids[np.frombuffer(b"".join(items), dtype=np.uint8)]
+        ends = np.cumsum(sizes)
+        p = (np.arange(len(ids)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
+        following = np.roll(ids, -1)
+        following[ends - 1] = -1
+        seed = pa.table({"w": np.repeat(np.arange(len(items), dtype=np.int32), sizes), "p": p, "t": ids, "next_p": p + 1, "next_t": following})
         self.db.register("seed", seed)
-        finals = self.db.sql(ENCODE_LONG if long else ENCODE).to_arrow_table()
-        self.db.register("finals", finals)
+        found = self.db.sql(query).to_arrow_table()
+        self.db.unregister("seed")
+        return found
+
+    def _rows(self, ids: list[list[int]]):
+        np, pa = self.np, self.pa
+        sizes = np.array([len(x) for x in ids])
+        p = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return pa.table({"w": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "p": p.astype(np.int32), "t": np.concatenate([np.array(x, dtype=np.int32) for x in ids])})
+
+    def _decode(self, rows, n: int) -> list[tuple[str, bytes]]:
+        """Ids as text and decoded bytes of the words 0 to n - 1."""
+        self.db.register("finals", rows)
         found = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("finals")
-        self.db.unregister("seed")
-        w, ids, decoded = (c.to_pylist() for c in found.columns)
-        return zip([portion[i][0] for i in w], zip(ids, [d.encode("latin-1") for d in decoded], strict=True), strict=True)
+        out: list[tuple[str, bytes]] = [("", b"")] * n
+        for w, ids, decoded in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            out[w] = ids, decoded.encode("latin-1")
+        return out
+
+    # --- long words ---
+
+    def _lists(self, query: str, items: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(items)
+        for part in self._portions(items) if query is ENCODE else [[i] for i in range(len(items))]:
+            found = self._query(query, [items[i] for i in part])
+            order = self.np.lexsort((found.column("p").to_numpy(), found.column("w").to_numpy()))
+            w, t = found.column("w").to_numpy()[order], found.column("t").to_numpy()[order]
+            for i, ids in zip(part, self.np.split(t, self.np.nonzero(self.np.diff(w))[0] + 1), strict=True):
+                out[i] = ids.tolist()
+        return out
+
+    def _hold(self, pairs: Iterable[tuple[int, int]]) -> dict[tuple[int, int], bool]:
+        """Whether each two tokens are the encoding of their bytes."""
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs.clear()
+        wanted = set(pairs)
+        fresh = [x for x in wanted if x not in self.pairs]
+        if fresh:
+            found = self._lists(ENCODE, [self.tokens[a] + self.tokens[b] for a, b in fresh])
+            self.pairs.update((x, tuple(ids) == x) for x, ids in zip(fresh, found, strict=True))
+        return {x: self.pairs[x] for x in wanted}
+
+    def _windows(self, items: list[bytes]) -> dict[bytes, list[int]]:
+        """Encodings of byte strings of any length up to that of a word."""
+        distinct = sorted(set(items))
+        small = [d for d in distinct if len(d) <= WIDE]
+        out = dict(zip(small, self._lists(ENCODE, small), strict=True))
+        for d in distinct:
+            if len(d) > WIDE:
+                (ids,) = self._lists(ENCODE_WIDE, [d])
+                if not all(self._hold(pairwise(ids)).values()):
+                    (ids,) = self._lists(ENCODE, [d])
+                out[d] = ids
+        return out
+
+    def _mended(self, words: list[bytes]) -> list[list[int]]:
+        """Encodings of long words: of their pieces, with every seam mended."""
+        pieces = [[d[i : i + PIECE] for i in range(0, len(d), PIECE)] for d in words]
+        known = self._windows([x for own in pieces for x in own])
+        rows, seams = [], []
+        for own in pieces:
+            ids: list[int] = []
+            edges = []
+            for x in own:
+                edges.append(len(ids))
+                ids += known[x]
+            rows.append(ids)
+            seams.append(edges[1:])
+        live, reach = range(len(words)), REACH
+        while live:
+            hold = self._hold((rows[k][s - 1], rows[k][s]) for k in live for s in seams[k])
+            torn = {k: [s for s in seams[k] if not hold[rows[k][s - 1], rows[k][s]]] for k in live}
+            live = [k for k in live if torn[k]]
+            spans = {}
+            for k in live:
+                merged: list[list[int]] = []
+                for s in torn[k]:
+                    a, b = max(0, s - reach), min(len(rows[k]), s + reach)
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = b
+                    else:
+                        merged.append([a, b])
+                spans[k] = merged
+            known = self._windows([b"".join(map(self.tokens.__getitem__, rows[k][a:b])) for k in live for a, b in spans[k]])
+            for k in live:
+                old, ids, edges, at = rows[k], [], [], 0
+                for a, b in spans[k]:
+                    ids += old[at:a]
+                    edges.append(len(ids))
+                    ids += known[b"".join(map(self.tokens.__getitem__, old[a:b]))]
+                    edges.append(len(ids))
+                    at = b
+                ids += old[at:]
+                rows[k], seams[k] = ids, sorted({e for e in edges if 0 < e < len(ids)})
+            reach *= 2
+        return rows
 
     def encode_block(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """For each text the number of ids, the ids as decimal text joined by spaces, and their decoded bytes."""
