@@ -2,8 +2,9 @@
 pre-token frequencies.
 
 The vocabulary has no piece with a word mark behind another character and none with a line
-feed, so the text (behind the dummy prefix) falls apart before each run of word marks and
-around each line feed without changing a single merge.  Every task keeps the piece counts of
+feed, and the model neither normalises nor drops white space, so the text (behind the dummy
+prefix) falls apart before each run of word marks and around each line feed without changing a
+single merge.  A model of another kind is refused with an error.  Every task keeps the piece counts of
 the pre-tokens it has met, looks up the distinct ones of a document, and sums count times
 frequency; ids are never materialised and nothing is shuffled.
 
@@ -29,6 +30,18 @@ PRETOKENS = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+")
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
 
 
+def unlike(spec) -> str | None:
+    """What keeps the texts of a model from being counted by pre-tokens."""
+    rules = spec.normalizer_spec
+    if spec.trainer_spec.model_type != 2:
+        return "not a BPE model"
+    if rules.precompiled_charsmap or rules.normalization_rule_tsv or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces or spec.trainer_spec.treat_whitespace_as_suffix:
+        return "texts are normalised"
+    if any(MARK in p.piece.lstrip(MARK) or "\n" in p.piece for p in spec.pieces if p.type in (1, 4)):  # normal and user-defined ones
+        return "pieces cross the borders of pre-tokens"
+    return None
+
+
 class PieceCounter:
     def __init__(self, model_path: str):
         import sentencepiece
@@ -38,6 +51,8 @@ class PieceCounter:
         spec = sentencepiece_model_pb2.ModelProto()
         with open(model_path, "rb") as file:
             spec.ParseFromString(file.read())
+        if problem := unlike(spec):
+            raise ValueError(f"{model_path}: {problem}")
         spec.normalizer_spec.add_dummy_prefix = False  # the mark of the first word is put in here
         self.model = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         self.memo: dict[str, int] = {}
