@@ -11,10 +11,11 @@ fingerprint is sent to ten groups, one for each pair of bands.  A group sorts it
 differing bits on the way and drops a pair of nodes once the budget is spent.  What a group
 returns is a spanning forest of its links, never its pairs.  A group of more than
 ``HOT_GROUP`` fingerprints is first dealt into finer groups: the remaining bits are cut into
-four pieces, one of which must agree, so no link is lost.
+four pieces, one of which must agree, so no link is lost.  This is done again to groups that are
+still too large; after ``LEVELS`` times no more than 12 bits are left, so no group is.
 
-Components: minimum labels by alternating star contraction on DataFrames, checkpointed in
-the shared folder.
+Components: minimum labels by alternating star contraction on DataFrames; each pass is stored
+in the shared folder and the one before it deleted.
 
 Defined results: null, empty and wordless texts have the fingerprint zero and link like any
 other; repeated rows each give a row with the same result; a null id never becomes a component
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import KEY, blocks, checkpointed, documents, id_and_text, ship_code
+from .common import KEY, blocks, discard, documents, id_and_text, ship_code, stored, stored_at
 
 MAX_BITS = 3
-HOT_GROUP = 4096
+HOT_GROUP, LEVELS = 4096, 4
 #: Bit positions (from the lowest) where the five bands begin, and the end.
 BANDS = (0, 13, 26, 39, 52, 64)
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,21 +107,24 @@ def trie_links(values, budget: int = MAX_BITS):
         return np.zeros((0, 2), dtype=np.int64)
     parent = np.arange(n)
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links: list[tuple[int, int]] = []
+    forest: list = []
 
     def settle(left, right) -> None:
+        """Links of close pairs whose ends are not linked yet: every root is hung on a smaller one, all at a time."""
         close = np.bitwise_count(values[left] ^ values[right]) <= budget
-        for a, b in zip(left[close].tolist(), right[close].tolist(), strict=True):
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                links.append((a, b))
+        left, right = left[close], right[close]
+        while len(left):
+            while True:  # every node points at its root
+                up = parent[parent]
+                if np.array_equal(up, parent):
+                    break
+                parent[:] = up
+            x, y = parent[left], parent[right]
+            apart = x != y
+            left, right, x, y = left[apart], right[apart], x[apart], y[apart]
+            high, at = np.unique(np.maximum(x, y), return_index=True)
+            parent[high] = np.minimum(x, y)[at]
+            forest.append(np.stack([left[at], right[at]], 1))
 
     # Pairs of nodes as ranges [a0, a1) and [b0, b1) with the bits spent so far.
     stack = [(np.array([[0, n, 0, n, 0]], dtype=np.int64), 63)]
@@ -151,7 +155,7 @@ def trie_links(values, budget: int = MAX_BITS):
         ])
         children = children[(children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3]) & (children[:, 4] <= budget)]
         stack.append((children, depth - 1))
-    return np.array(links, dtype=np.int64).reshape(-1, 2)
+    return np.concatenate([np.zeros((0, 2), dtype=np.int64), *forest])
 
 
 def _forest(keys: list[str]):
@@ -194,25 +198,26 @@ def finer_masks(mask: int, pieces: int = 4) -> list[int]:
 
 def links(fps: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     """Edges ``a, b`` whose components are those of all links among the distinct values of ``fp``."""
-    fps = fps.select("fp").distinct()
+    spark = fps.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     masks = band_masks()
-
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def grouped(df: DataFrame) -> DataFrame:
-        df = df.repartition(parts, "mask", "bits")  # few bytes, much work: not to be coalesced
-        return df.groupBy("mask", "bits").applyInArrow(_forest(["mask", "bits"]), "a long, b long")
-
-    def dealt(df: DataFrame, choices) -> DataFrame:
-        return df.withColumn("mask", F.explode(choices)).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
-
-    groups = dealt(fps, F.array(*[F.lit(m).cast("long") for m in masks]))
-    sizes = groups.groupBy("mask", "bits").count().where(F.col("count") > 1)
-    kept = groups.join(sizes, ["mask", "bits"])
-    small = kept.where(F.col("count") <= hot_group).drop("count")
-    finer = F.create_map(*[x for m in masks for x in (F.lit(m).cast("long"), F.array(*[F.lit(v).cast("long") for v in finer_masks(m)]))])
-    hot = dealt(kept.where(F.col("count") > hot_group).withColumn("finer", finer[F.col("mask")]).drop("mask", "bits", "count"), F.col("finer"))
-    return grouped(small.select("fp", "mask", "bits").unionByName(hot.select("fp", "mask", "bits"))).distinct()
+    groups = fps.select("fp").distinct().withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
+    found = None
+    for level in range(LEVELS + 1):
+        groups = groups.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = groups.groupBy("mask", "bits").count().where(F.col("count") > 1)
+        kept = groups.join(sizes, ["mask", "bits"])
+        small = kept.where(F.col("count") <= hot_group) if level < LEVELS else kept
+        small = small.select("fp", "mask", "bits")
+        found = small if found is None else found.unionByName(small)
+        if level == LEVELS or sizes.where(F.col("count") > hot_group).isEmpty():
+            break
+        finer = spark.createDataFrame([(m, x) for m in masks for x in finer_masks(m)], "mask long, finer long")  # ten times four to the level
+        hot = stored(kept.where(F.col("count") > hot_group).select("fp", "mask"))
+        groups = hot.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask")).distinct()
+        masks = sorted({x for m in masks for x in finer_masks(m)})
+    dealt = found.repartition(parts, "mask", "bits")  # few bytes, much work: not to be coalesced
+    return dealt.groupBy("mask", "bits").applyInArrow(_forest(["mask", "bits"]), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
     until nothing changes; every pass needs one minimum per node and one join.
     """
     spark = edges.sparkSession
-    current = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    current, path = stored_at(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -230,19 +235,20 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        current = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
+        old = path
+        current, path = stored_at(small.select("e.u", "e.v").where("u <> v").distinct())
+        discard(spark, old)
         row = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         # Done when every node has one edge, to its root, and the pass changed nothing.
         if row[0] == row[2] and tuple(row) == before:
             break
         before = tuple(row)
-    del spark
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(df: DataFrame, size: int = 3, hot_group: int = HOT_GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` for every input row.  A component id is the least document id in it."""
-    docs = checkpointed(fingerprints(df, size, id_col, text_col))
+    docs = stored(fingerprints(df, size, id_col, text_col))
     owner = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(docs, hot_group))
     roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

@@ -130,6 +130,57 @@ def test_trie_join_finds_every_component():
     assert parent == components(values)
 
 
+def test_dense_groups_are_settled_together():
+    import time
+
+    rng = np.random.default_rng(2)
+    cube = np.unique(rng.integers(0, 1 << 16, 16_384).astype(np.uint64) * np.uint64(0x0001_0001_0001) & np.uint64(0x00FF_00F0_0F0F) ^ (np.uint64(1) << np.uint64(40)))
+    began = time.perf_counter()
+    found = simhash.trie_links(cube)
+    assert time.perf_counter() - began < 20
+    parent = list(range(len(cube)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in found.tolist():
+        assert bin(int(cube[a]) ^ int(cube[b])).count("1") <= 3 and root(a) != root(b)  # a forest
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    every = {int(v): i for i, v in enumerate(cube)}
+    for v, i in every.items():
+        for x in range(64):
+            j = every.get(v ^ (1 << x))
+            assert j is None or root(i) == root(j)
+
+
+def test_groups_are_split_until_they_are_small_enough(spark):
+    rng = random.Random(12)
+    base, free = rng.getrandbits(64), rng.sample(range(64), 7)
+    dense = [base ^ sum(1 << b for k, b in enumerate(free) if i >> k & 1) for i in range(128)]
+    values = sorted({v - (v >> 63 << 64) for v in dense + [rng.getrandbits(64) for _ in range(50)]})
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    for hot_group in (4096, 9):
+        edges = simhash.links(fps, hot_group)
+        assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 3 for a, b in map(tuple, edges.collect()))
+        roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+        least = min(v - (v >> 63 << 64) for v in dense)
+        assert {roots.get(v - (v >> 63 << 64), least) for v in dense} == {least} and len(roots) == 127
+
+
+def test_simhash_query_equals_brute_force(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    prints = [plain_fingerprint(t) for _, t in docs]
+    roots = components(prints)
+    least = {}
+    for (i, _), q in zip(docs, roots, strict=True):
+        least[q] = min(i, least.get(q, i))
+    wanted = sorted(((i, f"{p:016x}", least[q]) for (i, _), p, q in zip(docs, prints, roots, strict=True)), key=repr)
+    assert rows_of(simhash.op4_simhash(spark, sf_dir), "doc_id", "fingerprint", "component_id") == wanted
+
+
 def test_bands_lose_no_pair():
     rng = random.Random(4)
     for _ in range(300):
