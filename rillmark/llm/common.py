@@ -12,6 +12,10 @@ from ..functions.ship import ship_code
 __all__ = ["KEY", "blocks", "checkpoint_dir", "checkpointed", "computed", "discard", "documents", "id_and_text", "packed", "row_key", "same_row", "ship_code", "stored", "stored_at", "unpacked"]
 
 
+#: Rows of a stored file at most: a task that reads one deals out no more, so a hot key behind it can be split that fine.
+FILE_ROWS = 200_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -73,7 +77,7 @@ def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
     """As :func:`stored`, with the path.  What :func:`discard` has not deleted by then goes when the driver ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/rillmark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     fs, target = _target(spark, path)
     fs.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path), path

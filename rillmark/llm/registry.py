@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": suffix_dedup.OP3_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
+    "op8_repetition": repetition.OP8_SQL,
     "op9_line_windows": line_windows.OP9_SQL,
 }

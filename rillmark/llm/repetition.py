@@ -13,7 +13,7 @@ longest repeat is more than ``MAX_LONGEST`` of its words (and ``LONG_WORDS`` wor
 
 Defined results: a null, empty or wordless text has zero counts and fails the base rule;
 repeated rows are judged each by itself; an empty table gives an empty result; other columns
-are ignored.
+are ignored; a very long text is a block of its own and takes some 150 bytes a word.
 """
 
 from __future__ import annotations
@@ -65,30 +65,29 @@ def longest_repeats(codes, ends, window: int = WINDOW):
     candidates = np.nonzero(whole & (counts[classes] > 1))[0]
     if not len(candidates):
         return out
-    # Suffixes of the string of window classes; a position that is no candidate is unlike any other.
-    unique = n + np.arange(2 * n + 2, dtype=np.int64)
-    rank = unique.copy()
-    rank[candidates] = classes[candidates]
-    levels, step = [rank], 1
+    # Suffixes of the string of window classes; a position that is no candidate is unlike any other.  A level holds
+    # the ranks of candidates and -1 for all others, four bytes a word.
+    def level_of(ranks):
+        out = np.full(n + 1, -1, dtype=np.int32)
+        out[candidates] = ranks
+        return out
+
+    fresh = np.unique(classes[candidates], return_inverse=True)[1]
+    levels, step = [level_of(fresh)], 1
     while True:
-        ahead = np.minimum(candidates + step, 2 * n)
-        key = rank[candidates] * (4 * n + 4) + rank[ahead]
-        _, fresh = np.unique(key, return_inverse=True)
-        following = unique.copy()
-        following[candidates] = fresh
-        if fresh.max() + 1 == len(candidates):
-            rank = following
-            break
-        levels.append(following)
-        rank, step = following, 2 * step
-        if step > n:
+        rank, ahead = levels[-1], np.minimum(candidates + step, n)
+        behind = np.where(rank[ahead] >= 0, rank[ahead], n + candidates)
+        _, fresh = np.unique(fresh.astype(np.int64) * (2 * n + 2) + behind, return_inverse=True)
+        if fresh.max() + 1 == len(candidates) or 2 * step > n:
             break
-    order = candidates[np.argsort(rank[candidates], kind="stable")]
+        levels.append(level_of(fresh))
+        step *= 2
+    order = candidates[np.argsort(fresh, kind="stable")]
     left, right = order[:-1], order[1:]
     common = np.zeros(len(left), dtype=np.int64)
     for level in range(len(levels) - 1, -1, -1):
-        a, b = left + common, right + common
-        common += np.where(levels[level][a] == levels[level][b], 1 << level, 0)
+        a, b = levels[level][np.minimum(left + common, n)], levels[level][np.minimum(right + common, n)]
+        common += np.where((a == b) & (a >= 0), 1 << level, 0)
     common = np.where(common > 0, common + window - 1, 0)
     np.maximum.at(out, left, common)
     np.maximum.at(out, right, common)
@@ -155,4 +154,38 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir))
+    return quality_rules(documents(spark, sf_dir)).drop("longest_repeat")
+
+
+#: The same by counting windows: spans of repeats of at least n words are those of the windows of n words found twice,
+#: and the longest repeat exceeds a bound if a window one word longer than the bound is found twice.
+OP8_SQL = rf"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+), sized AS (
+    SELECT *, greatest({LONG_WORDS}, floor({MAX_LONGEST}::DOUBLE * len(w))::BIGINT + 1) AS n_long FROM d
+), windows AS (
+    SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+    FROM sized, unnest([{WINDOW}, {MIN_REPEAT}, n_long]) AS s(n), unnest(range(1, len(w) - n + 2)) AS r(i)
+), twice AS (
+    SELECT DISTINCT doc_id, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, win) AS k FROM windows) WHERE k > 1
+), covered AS (
+    SELECT DISTINCT doc_id, n, i + j AS i FROM twice, unnest(range(0, n)) AS u(j) WHERE n IN ({WINDOW}, {MIN_REPEAT})
+), counts AS (
+    SELECT doc_id, count(*) FILTER (WHERE n = {WINDOW}) AS n_repeat_words, sum(length(w[i])) FILTER (WHERE n = {MIN_REPEAT}) AS covered_chars
+    FROM covered JOIN d USING (doc_id) GROUP BY doc_id
+), long AS (
+    SELECT DISTINCT doc_id FROM twice JOIN sized USING (doc_id) WHERE n = n_long
+), lines AS (
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id
+), base AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+           coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(covered_chars, 0)::BIGINT AS covered_chars, long.doc_id IS NOT NULL AS long
+    FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN long USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (covered_chars > {MAX_COVERED}::DOUBLE * word_chars OR long) AS kept, covered_chars
+FROM base
+"""

@@ -355,3 +355,31 @@ def dedup_bytes(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEG
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by counting all windows, for tables that fit one machine.
+OP3_SQL = f"""
+WITH d AS (
+    SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(b[i:i + {LENGTH} - 1]) AS h FROM d, unnest(range(1, octet_length(b) - {LENGTH} + 2)) AS r(i)
+), starts AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS k FROM windows) WHERE k > 1
+), marked AS (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS begins FROM starts
+), numbered AS (
+    SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked
+), spans AS (
+    SELECT doc_id, min(i) AS a, max(i) + {LENGTH} - 1 AS z FROM numbered GROUP BY doc_id, span
+), gaps AS (
+    SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM spans
+    UNION ALL SELECT doc_id, max(z) + 1, 1099511627776 FROM spans GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(hex(b[a:least(z, octet_length(b))]), '' ORDER BY a) AS h FROM gaps JOIN d USING (doc_id) WHERE a <= least(z, octet_length(b)) GROUP BY doc_id
+), removed AS (
+    SELECT doc_id, sum(z - a + 1) AS n, count(*) AS spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN n IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

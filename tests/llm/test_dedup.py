@@ -84,6 +84,10 @@ def test_suffix_query(spark, sf_dir):
     assert got == repeated_bytes(docs)
 
 
+def test_suffix_query_equals_its_sql(same):
+    same(suffix_dedup.op3_suffix_dedup, suffix_dedup.OP3_SQL)
+
+
 # --- SimHash ---
 
 

@@ -170,6 +170,46 @@ def test_verdict_on_repetition():
     assert [r[6] for r in rows] == [True, True, False]
 
 
+def plain_verdict(text):
+    """The whole verdict by brute force over all windows."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = len(words)
+
+    def repeated(size):
+        seen = {}
+        for i in range(n - size + 1):
+            seen.setdefault(tuple(words[i : i + size]), []).append(i)
+        return [i for places in seen.values() if len(places) > 1 for i in places]
+
+    def under(size):
+        return {i + j for i in repeated(size) for j in range(size)}
+
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = n < 10 or 100 * len(under(5)) > 20 * n
+    covered = sum(len(words[i]) for i in under(8))
+    longest = max((size for size in range(5, n) if repeated(size)), default=0)
+    bad = covered > 0.2 * sum(map(len, words)) or (longest >= 20 and longest > 0.3 * n)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(under(5)), failed, not failed and not bad, longest, covered
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_rules_and_verdict_equal_brute_force(seed):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(6):
+        words = [rng.choice("abcdefghijklmnopqrstuvwxyz"[: rng.choice([3, 8, 26])]) * rng.randint(1, 3) for _ in range(rng.randint(0, 90))]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(words))
+            words[at:at] = words[max(0, at - rng.randint(1, 40)) : at]
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "  # ", "\t"]) for w in words))
+    texts += ["", "x " * 300, "a b c d e f g h i j k l " * 20]
+    assert repetition.judge_block(texts) == [plain_verdict(t) for t in texts]
+
+
+def test_rules_query_equals_its_sql(same):
+    same(repetition.op8_repetition, repetition.OP8_SQL)
+
+
 # --- pseudonyms ---
 
 KEY = b"a key of the tests"
