@@ -4,7 +4,9 @@ Training (on the driver, from a bounded sample): labels mark documents, so token
 labels first: a token of a toxic document is toxic if its word or one of its prefixes occurs
 in toxic documents again and again and hardly ever in others.  The field has two states and
 log-linear features (word, prefixes of three to five letters); its weights are fitted by
-stochastic gradients of the exact conditional likelihood on segments of the sample.
+stochastic gradients of the exact conditional likelihood on the whole texts of the sample, cut
+into segments.  The sample holds at most ``MAX_TRAIN_DOCS`` rows and ``MAX_TRAIN_CHARS``
+characters of each class, the first by a hash of the id; a text is in it whole or not at all.
 
 Scoring (a map over whole texts, no shuffle): forward-backward gives each token's marginal;
 the greatest, the sum and the length of the text go through a logistic link fitted on the
@@ -16,9 +18,11 @@ linear map; maps of fixed stretches are composed side by side and then chained,
 for texts of any length.
 
 Defined results: null, empty and wordless texts get the score of a text without evidence;
-repeated rows are scored each by itself; with no training rows of either class every score is
+repeated rows are scored each by itself, and equal texts get equal scores; very long texts are
+scored whole, in time and memory in proportion to their words; an id labelled twice with
+different labels takes the greater one; with no training rows of either class every score is
 the share of toxic rows (0 if there are none); null labels are left out; other columns are
-ignored.
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,15 +31,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import blocks, documents, id_and_text, ship_code
+from .common import blocks, documents, id_and_text, ship_code, stored
 
-#: Bound of the training sample, for each class.
-MAX_TRAIN_DOCS = 2_500
-#: Segments drawn at random from each sampled text, besides those around its toxic tokens; training sees no others.
-RANDOM_SEGMENTS = 2
-SEGMENT, EPOCHS, STEPS, BATCH, RATE = 48, 3, 120, 128, 0.3  # at least so many passes and steps
+#: Bounds of the training sample, for each class.
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 2_500, 20_000_000
+SEGMENT, EPOCHS, STEPS, BATCH, RATE = 48, 3, 300, 128, 0.3  # at least so many passes and steps
 STRETCH = 64
 SHRINK = 0.2
 WORDS = re.compile(r"[^\W\d_]+")
@@ -97,14 +99,10 @@ def token_labels(texts: list[list[str]], toxic: list[int]) -> set[str]:
     return {f for f, k in bad.items() if k >= max(3, min(5, n_bad // 20)) and (k / n_bad) > 20 * ((good[f] + 0.1) / n_good)}
 
 
-def _segments(sequences, labels, rng):
-    """Fixed-length training segments: those around toxic tokens, and up to ``RANDOM_SEGMENTS`` more of each text."""
+def _segments(sequences, labels):
+    """All of the texts, in training segments of bounded length."""
     for ids, y in zip(sequences, labels, strict=True):
-        n = len(y)
-        if not n:
-            continue
-        starts = {int(i) // SEGMENT * SEGMENT for i in y.nonzero()[0]} | {int(i) // SEGMENT * SEGMENT for i in rng.integers(0, n, RANDOM_SEGMENTS)}
-        for s in sorted(starts):
+        for s in range(0, len(y), SEGMENT):
             yield ids[s : s + SEGMENT], y[s : s + SEGMENT]
 
 
@@ -122,7 +120,7 @@ def fit_field(texts: list[list[str]], toxic: list[int], seed: int = 7) -> dict:
     hits = {w: any(f in marks for f in features(w)) for w in memo}
     sequences = [np.array([memo[w] for w in words], dtype=np.int32).reshape(-1, 4) for words in texts]
     labels = [np.array([flag and hits[w] for w in words], dtype=np.int8) for words, flag in zip(texts, toxic, strict=True)]
-    segments = list(_segments(sequences, labels, rng))
+    segments = list(_segments(sequences, labels))
     weights, squares = np.zeros(len(index) + 1), np.full(len(index) + 1, 1e-6)
     other, other_squares = np.array([-2.0, 0.0, 0.0, 0.0, 0.0, -2.0]), np.full(6, 1e-6)  # bias, transitions 00 01 10 11, initial
     for _ in range(max(EPOCHS, STEPS // -(-len(segments) // BATCH)) if segments else 0):
@@ -231,19 +229,27 @@ def held_out(doc_id: Column, parts: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == rest, F.lit(False))
 
 
-def fit(df: DataFrame, labels: DataFrame, label: str, max_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Model from the labelled rows of ``df``; at most ``max_docs`` rows of each class, the first by hash of the id, go to the driver."""
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y in (0, 1)").dropDuplicates(["_id"])
+def sample(df: DataFrame, labels: DataFrame, label: str, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
+    """``text, y`` of the training sample and the share of ones among all labelled rows."""
+    marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y in (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
-    share = counts.get(1, 0) / max(1, sum(counts.values()))
     chosen = None
     for y in (0, 1):
         part = marks.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
     docs = id_and_text(df, id_col, text_col)
-    sample = docs.join(F.broadcast(chosen), docs.doc_id == F.col("_id")).select("text", "y")  # at most 2 * max_docs rows
+    sizes = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n")).join(F.broadcast(chosen), docs.doc_id == F.col("_id"))
+    sizes = sizes.groupBy("_id", "y").agg(F.sum("n").alias("n"))  # at most 2 * max_docs rows from here on
+    upto = Window.partitionBy("y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = stored(sizes.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= max_chars).select("_id", "y"))
+    return docs.join(F.broadcast(within), docs.doc_id == F.col("_id")).select("text", "y"), counts.get(1, 0) / max(1, sum(counts.values()))
+
+
+def fit(df: DataFrame, labels: DataFrame, label: str, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Model from the labelled rows of ``df``; a bounded sample of them goes to the driver (see :func:`sample`)."""
+    rows, share = sample(df, labels, label, max_docs, max_chars, id_col, text_col)
     texts, y = [], []
-    for row in sample.toLocalIterator():
+    for row in rows.toLocalIterator():
         texts.append(WORDS.findall(row["text"] or ""))
         y.append(row["y"])
     if len(set(y)) < 2:
