@@ -7,11 +7,13 @@ the normal equations; the parts are added up row by row before the driver solves
 system of ``FEATURES`` + 1 unknowns, whatever the input).  A fifth of the training rows is kept
 for calibration: their scores are counted in bins of fixed width, and isotonic regression over
 the bins turns a score into a probability.  All labelled training rows are used.  If a part
-lacks a class, as with few rows, all training rows stand in for it.
+lacks a class, as with few rows, all training rows stand in for it; scores in bins that hold no
+calibration row lie between those of the bins around them.
 
 Defined results: null, empty and wordless texts have statistics of zero and are scored like
 any other; repeated rows are scored each by itself; without training rows of both classes
-every score is the share of good rows (0 if there are none); null labels are left out; an empty
+every score is the share of good rows (0 if there are none); null labels are left out; rows that
+share an id are scored by their own texts, and all train where the id is labelled; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import KEY, blocks, checkpointed, documents, id_and_text, ship_code
+from .common import KEY, blocks, documents, id_and_text, row_key, same_row, ship_code, stored
 from .toxicity import held_out
 
 FEATURES, WIDTH, RIDGE, SEED = 192, 4.0, 0.5, 11
@@ -68,15 +70,18 @@ def statistics(text: str) -> list[float]:
 
 
 def stats_frame(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, key, x``: the id, 64 bits of the text, and its statistics, one row per input row."""
     ship_code(df.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for ids, texts in blocks(batches, 1_000_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], names=["doc_id", "x"])
+            own = [pa.array([i[name] for i in ids], pa.int64()) for name in ("doc_id", "key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], names=["doc_id", "key", "x"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, x array<double>")
+    docs = id_and_text(df, id_col, text_col)
+    return docs.select(F.struct("doc_id", row_key(F.col("text")).alias("key")), "text").mapInArrow(run, "doc_id long, key long, x array<double>")
 
 
 def _matrix(column, width: int):
@@ -169,7 +174,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str) -> dict:
 
 
 def score(stats: DataFrame, model: dict) -> DataFrame:
-    """``doc_id, score``: calibrated, linear between the bins, within 0 and 1."""
+    """``doc_id, key, score``: calibrated, linear between the bins, within 0 and 1."""
     shared = stats.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator) -> Iterator:
@@ -184,19 +189,19 @@ def score(stats: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             if ready and n:
-                raw = kernel(_matrix(batch.column(1), N_STATS)) @ weights
+                raw = kernel(_matrix(batch.column(2), N_STATS)) @ weights
                 place = np.clip((raw + 0.5) * BINS / 2 - 0.5, 0, BINS - 1)
                 value = 0.002 + 0.996 * np.interp(place, at, level) + 0.001 * (2 * place / BINS - 1)
             else:
                 value = np.full(n, float(own["share"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(value, 0, 1))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.clip(value, 0, 1))], names=["doc_id", "key", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.select("doc_id", "key", "x").mapInArrow(run, "doc_id long, key long, score double")
 
 
 def classify(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` for every row of ``df``."""
-    stats = checkpointed(stats_frame(df, id_col, text_col))
+    """``doc_id, key, score`` for every row of ``df``; ``key`` (see ``row_key``) tells rows apart that share an id."""
+    stats = stored(stats_frame(df, id_col, text_col))
     return score(stats, fit(stats, labels, label))
 
 
@@ -205,9 +210,10 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, df: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that are good rather than bad; all columns stay."""
-    scores = classify(df, training_rows(spark, sf_dir)).where(F.col("score") >= least).select(F.col("doc_id").alias(KEY)).distinct()
-    return df.join(scores, F.col("doc_id").eqNullSafe(F.col(KEY)), "left_semi")
+    """The rows of ``df`` that are good rather than bad, each judged by its own text; all columns stay."""
+    scores = classify(df, training_rows(spark, sf_dir)).where(F.col("score") >= least)
+    good = scores.select(F.col("doc_id").alias(KEY), F.col("key").alias(KEY + "_text")).distinct()
+    return df.join(good, same_row(F.col("doc_id"), F.col(KEY), row_key(F.col("text")), F.col(KEY + "_text")), "left_semi")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
