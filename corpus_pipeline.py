@@ -3,7 +3,13 @@ decontamination, byte-level BPE.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
 the last return the columns of ``documents``.  ``run`` writes the rows between stages to the
-shared checkpoint folder, so a lost executor costs at most one stage's tasks.
+shared checkpoint folder, so a lost executor costs at most one stage's tasks, and deletes them
+once the next stage's rows are written.
+
+Defined results: null and empty texts go through every stage; rows that share an id, or have none,
+are judged each by its own text, but for near-dedup, where the rows of an id stay or go together
+(see ``simhash.keep_one``); repeated rows are copies there; an empty table gives an empty result;
+further columns of the input are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillmark.llm import byte_bpe, decontamination, line_windows, quality, simhash
-from rillmark.llm.common import stored
+from rillmark.llm.common import discard, stored_at
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, path = stored_at(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

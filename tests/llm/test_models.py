@@ -40,12 +40,37 @@ def test_marginals_equal_forward_backward():
         assert np.allclose(np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1])), got[a:b], atol=1e-9)
 
 
-def test_number_of_random_segments_is_a_parameter(monkeypatch):
-    ids, y = np.zeros((20_000, 4), dtype=np.int32), np.zeros(20_000, dtype=np.int8)
-    count = lambda: len(list(toxicity._segments([ids], [y], np.random.default_rng(0))))
-    assert 1 <= count() <= toxicity.RANDOM_SEGMENTS
-    monkeypatch.setattr(toxicity, "RANDOM_SEGMENTS", 50)
-    assert 25 < count() <= 50
+def test_training_sees_whole_texts():
+    ids, y = np.arange(20_000 * 4).reshape(-1, 4), np.zeros(20_000, dtype=np.int8)
+    parts = list(toxicity._segments([ids, ids[:10], ids[:0]], [y, y[:10], y[:0]]))
+    assert np.array_equal(np.concatenate([i for i, _ in parts]), np.concatenate([ids, ids[:10]])) and max(len(v) for _, v in parts) == toxicity.SEGMENT
+
+
+def test_sample_is_bounded_in_rows_and_characters_and_holds_whole_texts(spark):
+    docs = spark.createDataFrame([(i, "x" * (100 if i % 2 else 10)) for i in range(40)] + [(50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(50, 0), (None, 1), (3, 0), (99, 1)], "doc_id long, toxic long")
+    take = lambda **bounds: sorted((r["y"], len(r["text"] or "")) for r in toxicity.sample(docs, labels, "toxic", **bounds)[0].collect())
+    assert take() == [(0, 0)] + [(0, 10)] * 20 + [(1, 100)] * 20
+    assert take(max_docs=5).count((1, 100)) in (4, 5)  # one of the hashed ids may be the one without a document
+    few = take(max_chars=350)
+    assert few.count((1, 100)) == 3 and few.count((0, 10)) == 20
+    assert toxicity.sample(docs, labels, "toxic")[1] == 21 / 42
+
+
+def test_toxicity_query_returns_what_its_contract_says(spark, sf_dir):
+    import zlib
+
+    rows = toxicity.op1_toxicity(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+
+
+def test_quality_query_returns_what_its_contract_says(spark, sf_dir):
+    import zlib
+
+    rows = quality.op5_quality(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
 def test_field_finds_held_out_words_and_their_offsets(spark):
