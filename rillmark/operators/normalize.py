@@ -13,7 +13,6 @@ import hashlib
 import json
 import math
 import re
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +30,7 @@ MESSAGE_ID = re.compile(r"[!-~]{1,128}")
 TIMESTAMP = re.compile(r"(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(?:[Zz]|([+-])(\d{2}):?(\d{2}))")
 MAX_ID, MAX_STRING, MAX_REPORTED, MAX_NAME, MAX_PAYLOAD = 256, 1_024, 10, 64, 64 * 1_024
 MAX_BATCH, MAX_REQUEST = 500, 4 * 1_024 * 1_024
+CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")  # the category of control characters, whole
 REDACTED = "[redacted]"
 LATE, FUTURE, RETENTION = dt.timedelta(hours=2), dt.timedelta(minutes=5), dt.timedelta(days=90)
 
@@ -52,6 +52,7 @@ SCHEMA = (
     "project_id string, status string, reason string, event_name string, user_key long, ts timestamp, message_id string, user_id string, anonymous_id string, "
     "schema_version int, properties map<string,string>, received_at timestamp, is_late boolean, sample_threshold int, sample_bucket int, payload string, quarantine_id string, pos long"
 )
+EMPTY_ROW = dict.fromkeys(f.split()[0] for f in SCHEMA.split(", "))
 
 
 # --- rules as columns -----------------------------------------------------------------------
@@ -92,7 +93,7 @@ def read_json(raw: str | None):
 
 
 def utf16_length(text: str) -> int:
-    return len(text) + sum(c > "￿" for c in text)
+    return len(text) if text.isascii() else len(text) + sum(c > "￿" for c in text)
 
 
 def parse_timestamp(text: object) -> dt.datetime | None:
@@ -167,7 +168,7 @@ class Normalizer:
 
     def __call__(self, project: str, raw: str | None, received_at: dt.datetime, pos: int = 0) -> dict:
         """One row of ``SCHEMA``.  A message without project or arrival is ``unreadable``: counted, and stored nowhere."""
-        out: dict = dict.fromkeys(f.split()[0] for f in SCHEMA.split(", "))
+        out = EMPTY_ROW.copy()
         if project is None or received_at is None:
             return out | {"status": "unreadable", "reason": "no project or no time of arrival", "message_id": "", "event_name": "", "pos": pos}
         received_at = received_at.astimezone(dt.timezone.utc) if received_at.tzinfo else received_at.replace(tzinfo=dt.timezone.utc)
@@ -207,7 +208,7 @@ class Normalizer:
         user, anonymous = text("userId") or "", text("anonymousId") or ""
         if not user and not anonymous:
             return NO_IDENTITY
-        if any(utf16_length(x) > MAX_ID or any(unicodedata.category(c) == "Cc" for c in x) for x in (user, anonymous)):
+        if any(utf16_length(x) > MAX_ID or CONTROL.search(x) for x in (user, anonymous) if x):
             return BAD_IDENTITY
         ts = parse_timestamp(text("timestamp"))
         if ts is None:
