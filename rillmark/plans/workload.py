@@ -206,6 +206,63 @@ def _listing(spark: SparkSession, sf: str) -> DataFrame:
     return demo_snapshot().listing(spark, PROJECT)
 
 
+def _buckets(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.identity import bucket
+
+    key = (F.col("event_id") * 7_919 - 50_000) * 1_000_000_007  # of both signs
+    return spark.read.parquet(f"{sf}/events.parquet").groupBy((bucket(key) % 100).alias("bucket")).agg(F.count("*").alias("n"), F.sum(bucket(key)).alias("total"))
+
+
+def _replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """Two events that had no schema are replayed once it is registered; the versions that count, by reason."""
+    from ..operators.normalize import ingest
+    from ..sources.generate import demo_registry, raw_events
+    from ..sources.store import EventStore
+    from ..streaming.loader import work_dir
+
+    registry = demo_registry(sampled=False)
+    store = EventStore(spark, f"{work_dir(spark)}/store")
+    store.load(ingest(raw_events(spark, sf), registry.snapshot()), 0)
+    registry.put_schema(PROJECT, "error", 1, registry.snapshot().find(PROJECT, "view", 1)[1])
+    missing = store.quarantine().where("reason like 'no schema %'").orderBy("received_at", "quarantine_id").limit(2)
+    for row in missing.select("quarantine_id").collect():
+        store.replay(registry.snapshot(), PROJECT, row[0], dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc))
+    return Q.latest(store.quarantine()).groupBy("reason", "status").agg(F.count("*").alias("n"))
+
+
+def _recent(spark: SparkSession, sf: str) -> DataFrame:
+    """All events are delivered again, even ones after five minutes and odd ones after eleven; outcomes of that second delivery."""
+    from ..operators.normalize import ingest
+    from ..sources.generate import demo_snapshot, raw_events
+    from ..sources.store import EventStore
+    from ..streaming.loader import work_dir
+
+    raw, snapshot = raw_events(spark, sf), demo_snapshot(sampled=False)
+    store = EventStore(spark, f"{work_dir(spark)}/store")
+    store.load(ingest(raw, snapshot), 0, recent_minutes=100 * 1_440)
+    later = F.when(F.col("pos") % 2 == 0, F.expr("interval 5 minutes")).otherwise(F.expr("interval 11 minutes"))
+    again = store.mark_seen(ingest(raw.withColumn("received_at", F.col("received_at") + later), snapshot), 10)
+    return again.groupBy("status", F.when(F.col("status") == "duplicate", F.col("reason")).alias("why")).agg(F.count("*").alias("n"))
+
+
+def _evolution(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.registry import Property, Registry, Spec
+
+    first = {"a": Property("string", False, ("x", "y")), "b": Property("number", True)}
+    cases = {
+        "1 first": first, "2 same": first, "3 optional added": first | {"c": Property("boolean")}, "4 required added": first | {"c": Property("boolean"), "d": Property("string", True)},
+        "5 removed": {"a": first["a"]}, "6 retyped": first | {"c": Property("string")}, "7 value added": first | {"a": Property("string", False, ("x", "y", "z")), "c": Property("boolean")},
+        "8 value removed": first | {"a": Property("string", False, ("x",)), "c": Property("boolean")}, "9 invalid": {"9": Property("blob", True, ("x", "x"))},
+    }
+    registry, rows = Registry(), []
+    registry.put_project(PROJECT)
+    for case, properties in cases.items():
+        outcome, reasons = registry.put_schema(PROJECT, "event", 1, Spec(properties))
+        rows.append((case, outcome, len(reasons)))
+    rows.append(("of no project", registry.put_schema("none", "event", 1, Spec(first))[0], 0))
+    return spark.createDataFrame(rows, "case string, outcome string, n_reasons int")
+
+
 _ENTRIES: dict[str, tuple] = {
     "segment_all": (_segment(Segment(JANUARY, project=PROJECT)), _segment_sql(Segment(JANUARY, project=PROJECT))),
     "segment_event": (_segment(Segment(JANUARY, "view", project=PROJECT), HALF), _segment_sql(Segment(JANUARY, "view", project=PROJECT), sampled=HALF)),
@@ -275,6 +332,22 @@ _ENTRIES: dict[str, tuple] = {
         _listing,
         """SELECT event_name, 1 AS version, '{"k": {"type": "integer", "required": false}, "value": {"type": "number", "required": true}, "email": {"type": "string", "required": false}, """
         """"kind": {"type": "string", "required": false, "enum": ["a", "b"]}}' AS spec FROM (SELECT unnest(['click', 'purchase', 'signup', 'view']) AS event_name)"""),
+    "schema_evolution": (
+        _evolution,
+        "SELECT * FROM (VALUES ('1 first', 'created', 0), ('2 same', 'unchanged', 0), ('3 optional added', 'updated', 0), ('4 required added', 'breaking', 1), ('5 removed', 'breaking', 2), "
+        "('6 retyped', 'breaking', 1), ('7 value added', 'updated', 0), ('8 value removed', 'breaking', 2), ('9 invalid', 'invalid', 4), ('of no project', 'not_found', 0)) AS t(\"case\", outcome, n_reasons)"),
+    "user_buckets": (
+        _buckets,
+        "WITH k AS (SELECT ((event_id * 7919 - 50000) * 1000000007)::HUGEINT AS key FROM events), b AS (SELECT ((key + CASE WHEN key < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) % 10000)::INTEGER AS b FROM k) "
+        "SELECT b % 100 AS bucket, count(*) AS n, sum(b)::BIGINT AS total FROM b GROUP BY ALL"),
+    "quarantine_replay": (
+        _replayed,
+        f"WITH {RAW_SQL}, r AS (SELECT rejected AS reason, row_number() OVER (PARTITION BY rejected ORDER BY t) AS k FROM outcome WHERE status = 'quarantined') "
+        "SELECT reason, CASE WHEN reason like 'no schema %' AND k <= 2 THEN 'replayed' ELSE 'open' END AS status, count(*) AS n FROM r GROUP BY ALL"),
+    "recent_ids": (
+        _recent,
+        f"WITH {RAW_SQL}, again AS (SELECT CASE WHEN status = 'accepted' AND pos % 2 = 0 THEN 'duplicate' ELSE status END AS status, "
+        "CASE WHEN status = 'accepted' AND pos % 2 = 0 THEN 'already accepted' WHEN status = 'duplicate' THEN 'repeated within the batch' END AS why FROM outcome) SELECT status, why, count(*) AS n FROM again GROUP BY ALL"),
     "store_facts": (
         _store(lambda store: X.dedup_earliest(store.facts()).select("day", "event_name", "user_key", "ts", "message_id", "received_at", "is_late")),
         f"WITH {CANONICAL_SQL} SELECT ts::DATE AS day, event_name, user_key, ts, message_id, make_timestamp(received_ms * 1000) AS received_at, is_late FROM deduped"),

@@ -9,13 +9,17 @@ from .registry import Property, Registry, Settings, Snapshot, Spec
 PROJECT = "p-1"
 
 
-def demo_snapshot(sampled: bool = True) -> Snapshot:
+def demo_registry(sampled: bool = True) -> Registry:
     registry = Registry()
     registry.put_project(PROJECT, Settings(("email",), {"view": 0.5} if sampled else {}))
     spec = Spec({"k": Property("integer"), "value": Property("number", True), "email": Property("string"), "kind": Property("string", False, ("a", "b"))})
     for event in ("click", "purchase", "signup", "view"):  # error stays unregistered
         registry.put_schema(PROJECT, event, 1, spec)
-    return registry.snapshot()
+    return registry
+
+
+def demo_snapshot(sampled: bool = True) -> Snapshot:
+    return demo_registry(sampled).snapshot()
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:

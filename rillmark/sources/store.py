@@ -259,12 +259,12 @@ class EventStore:
 
     # --- upkeep ---
 
-    def compact(self, name: str, least: int = 2) -> int:
-        """Merges the directories of each partition that has at least ``least``; answers do not change.
+    def compact(self, name: str, least: int = 2, keep: Callable[[str], bool] = lambda part: True) -> int:
+        """Merges the directories of each partition (that ``keep`` chooses by its value) that has at least ``least``; answers do not change.
 
         Rollup rows are merged to one per key; facts and quarantine rows are kept as they are, copies too, since
         which copy counts is decided on reading.  Returns the number of partitions rewritten."""
-        before = {p: b for p, b in self.state()["tables"][name].items() if len(b) >= least}
+        before = {p: b for p, b in self.state()["tables"][name].items() if len(b) >= least and keep(p)}
         if not before:
             return 0
         rows, column = self._read(name, before), TABLES[name][1]

@@ -100,6 +100,8 @@ def test_a_load_reads_only_the_days_it_touches(spark, tmp_path):
     one_day = store.table("facts", lambda day: day == "2024-01-06")
     assert one_day.count() == 5 and all("day=2024-01-06" in f for f in one_day.inputFiles())
     assert len(tables["sessions"]["2024-01-05"]) == 1 and store.sessions().count() == 6 + 5
+    assert store.compact("facts", 1, lambda day: day > "2024-01-05") == 1 and store.facts().count() == 15
+    assert [len(store.state()["tables"]["facts"][d]) for d in ("2024-01-05", "2024-01-06")] == [2, 1]
 
 
 def test_two_writers_both_get_in(spark, sf_dir, tmp_path, monkeypatch):
