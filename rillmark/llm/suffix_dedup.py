@@ -9,8 +9,9 @@ table.  Sorting every suffix of a large table is not possible, and not needed:
    Anchors whose seed occurs once in the table are dropped: nothing at them repeats.
 2. Segments with equal seed and equal content (64 bits of hash each) are counted; those that
    occur twice are covered as they stand, and one of them represents the rest.
-3. Different segments around one seed meet in one task.  There a suffix array is built in two
-   stages: suffixes smaller than their successors are sorted directly, the others are induced
+3. Different segments around one seed meet in one task.  Segments that share no
+   string of nearly the length of a window are left out.  Of the others a suffix array is built
+   in two stages: suffixes smaller than their successors are sorted directly, the others are induced
    by scanning the buckets in order.  The common prefix of neighbouring suffixes tells which
    windows occur in two segments.
 4. Seeds with more than ``HOT_SEGMENTS`` different segments (the edge of a passage that a great
@@ -42,8 +43,8 @@ HOT_SEGMENTS = 2_000
 BLOCK_BYTES, ARRAY_BYTES = 1_000_000, 500_000
 _B = 0x9E3779B97F4A7C15 | 1
 _PLACE = 24
-#: First window start and number of further ones of an anchor occurrence, as one long.
-_RUN = 1 << 16
+#: An anchor occurrence as one long: first window start, number of further ones, and how far behind the first the seed stands.
+_BITS = 12
 
 
 def seed_hashes(data, seed: int = SEED):
@@ -64,8 +65,8 @@ def seed_hashes(data, seed: int = SEED):
 
 
 def anchors(data, starts, ends, length: int = LENGTH, seed: int = SEED):
-    """Arrays (text, hash, first, last): for each anchor occurrence its text, the seed's hash and the
-    first and last window start (places in ``data``) that name it.  Texts are ``[starts, ends)``."""
+    """Arrays (text, hash, first, last, place): for each anchor occurrence its text, the seed's hash, the
+    first and last window start that name it and the seed's own start (places in ``data``).  Texts are ``[starts, ends)``."""
     import numpy as np
 
     n = len(data)
@@ -82,11 +83,11 @@ def anchors(data, starts, ends, length: int = LENGTH, seed: int = SEED):
     text = np.repeat(np.arange(len(starts)), counts)
     at = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
     if not len(at):
-        return text, h[:0], at, at
+        return text, h[:0], at, at, at
     place = (key[at] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     change = np.nonzero((np.diff(place) != 0) | (np.diff(text) != 0))[0]
     first, last = np.concatenate(([0], change + 1)), np.concatenate((change, [len(at) - 1]))
-    return text[first], h[place[first]], at[first], at[last]
+    return text[first], h[place[first]], at[first], at[last], place[first]
 
 
 def pieces(ids: list, texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[list, list[int], list[bytes]]]:
@@ -192,6 +193,26 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list:
     return [hit[a : max(a, b - length + 1)] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def sharing(group: list[tuple], length: int = LENGTH, seed: int = SEED, steps: int = 8) -> list[tuple]:
+    """The segments (..., bytes, place of the seed) around one seed that may have a window in common with another one.
+
+    A window holds ``length - seed`` bytes around the seed.  However they lie on its two sides, it holds one of the
+    ``steps`` + 1 strings of nearly that length that are compared here."""
+    around = length - seed
+    step = -(-around // steps)
+    shared = [False] * len(group)
+    for left in range(0, around + 1, step):
+        right = max(0, around - left - step + 1)
+        seen: dict[bytes, int] = {}
+        for i, row in enumerate(group):
+            data, at = row[-2], row[-1]
+            if at >= left and len(data) >= at + seed + right:
+                other = seen.setdefault(data[at - left : at + seed + right], i)
+                if other != i:
+                    shared[i] = shared[other] = True
+    return [row for row, s in zip(group, shared, strict=True) if s]
+
+
 def spans_of(hits, offset: int) -> list[tuple[int, int]]:
     """Runs of true values as (first, last), moved by ``offset``."""
     import numpy as np
@@ -201,7 +222,7 @@ def spans_of(hits, offset: int) -> list[tuple[int, int]]:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """``doc_id, key, seed, content, run`` of each anchor occurrence; ``run`` holds the window starts that name it."""
+    """``doc_id, key, seed, content, run`` of each anchor occurrence; ``run`` holds the window starts that name it and where in the first of them it stands."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -214,13 +235,13 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 data = b"".join(parts)
                 ends = np.cumsum([len(p) for p in parts])
                 starts = ends - np.array([len(p) for p in parts])
-                text, h, first, last = anchors(np.frombuffer(data, dtype=np.uint8), starts, ends, length)
+                text, h, first, last, place = anchors(np.frombuffer(data, dtype=np.uint8), starts, ends, length)
                 view = memoryview(data)
                 own = [xxh3_64_intdigest(view[a : b + length], n) for a, b, n in zip(first.tolist(), last.tolist(), (last - first).tolist(), strict=True)]
                 at = first + (np.array(offsets)[text] - starts[text])
                 ids, hashes = (pa.array([k[i] for k in keys], pa.int64()).take(pa.array(text)) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, hashes, pa.array(h.view(np.int64)), pa.array(np.array(own, dtype=np.uint64).view(np.int64)), pa.array(at * _RUN + (last - first))],
+                    [ids, hashes, pa.array(h.view(np.int64)), pa.array(np.array(own, dtype=np.uint64).view(np.int64)), pa.array((at << 2 * _BITS) + ((last - first) << _BITS) + (place - first))],
                     names=["doc_id", "key", "seed", "content", "run"],
                 )
 
@@ -229,10 +250,11 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 def removed_windows(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """``doc_id, key, first, last``: ranges of window starts (bytes) to remove; ``df`` has ``doc_id``, ``key`` and binary ``text``."""
-    if length >= _RUN:
-        raise ValueError(f"length must be below {_RUN}")
+    if length >= 1 << _BITS:
+        raise ValueError(f"length must be below {1 << _BITS}")
     spark = df.sparkSession
-    bounds = [F.expr(f"run div {_RUN}").alias("first"), F.expr(f"run div {_RUN} + run % {_RUN}").alias("last")]
+    first, low = F.shiftright("run", 2 * _BITS), (1 << _BITS) - 1
+    bounds = [first.alias("first"), (first + F.shiftright("run", _BITS).bitwiseAND(low)).alias("last")]
     found, found_path = stored_at(anchor_rows(df, length))
     # Stored, so that both sides of the join come straight from an exchange and hot seeds can be split.
     twice, twice_path = stored_at(found.groupBy("seed").count().where(F.col("count") > 1).select("seed"))
@@ -242,14 +264,14 @@ def removed_windows(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT
     kinds = stored(again.groupBy("seed", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "run")).alias("one")))
     same = again.join(kinds.where("copies > 1").select("seed", "content"), ["seed", "content"]).select("doc_id", "key", *bounds)
     several = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    ones = kinds.join(several, "seed").select("seed", "one.*", (F.col("kinds") > hot_segments).alias("hot")).select("doc_id", "key", "seed", "hot", *bounds)
-    wanted = ones.groupBy("doc_id", "key").agg(F.collect_list(F.struct("seed", "first", "last", "hot")).alias("segments")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    ones = kinds.join(several, "seed").select("seed", "one.*", (F.col("kinds") > hot_segments).alias("hot")).select("doc_id", "key", "seed", "hot", *bounds, F.col("run").bitwiseAND(low).cast("int").alias("place"))
+    wanted = ones.groupBy("doc_id", "key").agg(F.collect_list(F.struct("seed", "first", "last", "place", "hot")).alias("segments")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     place = "doc_id long, key long, first long"
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["doc_id", "key", "first", "seed", "hot", "bytes"]
+        names = ["doc_id", "key", "first", "seed", "place", "hot", "bytes"]
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, key, text, own = (c[i].as_py() for c in batch.columns)
@@ -261,13 +283,14 @@ def removed_windows(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT
                             pa.array([key] * len(part), pa.int64()),
                             pa.array([s["first"] for s in part], pa.int64()),
                             pa.array([s["seed"] for s in part], pa.int64()),
+                            pa.array([s["place"] for s in part], pa.int32()),
                             pa.array([s["hot"] for s in part], pa.bool_()),
                             pa.array([text[s["first"] : s["last"] + length] for s in part], pa.binary()),
                         ],
                         names=names,
                     )
 
-    segments = df.join(wanted, same_row(df.doc_id, F.col("_id"), df.key, F.col("_key"))).select("doc_id", "key", "text", "segments").mapInArrow(cut, f"{place}, seed long, hot boolean, bytes binary")
+    segments = df.join(wanted, same_row(df.doc_id, F.col("_id"), df.key, F.col("_key"))).select("doc_id", "key", "text", "segments").mapInArrow(cut, f"{place}, seed long, place int, hot boolean, bytes binary")
 
     def sort_block(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -278,17 +301,19 @@ def removed_windows(df: DataFrame, length: int = LENGTH, hot_segments: int = HOT
             return pa.RecordBatch.from_arrays([pa.array([s[k] for s in spans], pa.int64()) for k in range(4)], names=["doc_id", "key", "first", "last"])
 
         rows: list = []
-        size = 0
-        last = None
+        group: list = []
+        size, last = 0, None
         for batch in batches:
-            for doc, key, first, seed, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, key, first, seed, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if seed != last:
+                    left = sharing(group, length)
+                    rows, size = rows + left, size + sum(len(r[3]) for r in left)
+                    group, last = [], seed
                     if size > ARRAY_BYTES:
                         yield block(rows)
                         rows, size = [], 0
-                    last = seed
-                rows.append((doc, key, first, data))
-                size += len(data)
+                group.append((doc, key, first, data, at))
+        rows += sharing(group, length)
         if rows:
             yield block(rows)
 
