@@ -21,6 +21,11 @@ def key_of(user_id: str | None, anonymous_id: str | None) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
+def key_bytes(key: Column) -> Column:
+    """The key as eight bytes, the highest first: what partitions a topic by user."""
+    return F.unhex(F.lpad(F.hex(key), 16, "0"))
+
+
 def bucket(key: Column) -> Column:
     """``key`` modulo 10,000, the key read as unsigned (2**64 leaves 1616)."""
     return F.pmod(F.pmod(key, F.lit(BUCKETS)) + F.when(key < 0, F.lit(1616)).otherwise(F.lit(0)), F.lit(BUCKETS)).cast("int")

@@ -54,6 +54,9 @@ class StoreConflict(RuntimeError):
 
 class EventStore:
     def __init__(self, spark: SparkSession, root: str):
+        zone = spark._jvm.java.time.ZoneId.of(spark.conf.get("spark.sql.session.timeZone")).getRules()
+        if not zone.isFixedOffset() or zone.getOffset(spark._jvm.java.time.Instant.EPOCH).getTotalSeconds():
+            raise ValueError("days are UTC days: set spark.sql.session.timeZone to UTC")
         self.spark, self.root = spark, root.rstrip("/")
         self.log = Numbered(f"{self.root}/manifests", spark)
 
@@ -154,7 +157,15 @@ class EventStore:
         """One batch of normalised rows (see operators.normalize); False, and nothing done, if the writer's batch is in already."""
         if batch <= self.applied(writer):
             return False
-        name = f"{writer}-{batch}-{uuid.uuid4().hex[:8]}"
+        own = not rows.is_cached  # they are read twice
+        rows = rows.persist() if own else rows
+        try:
+            return self._load(rows, f"{writer}-{batch}-{uuid.uuid4().hex[:8]}", {writer: batch}, recent_minutes)
+        finally:
+            if own:
+                rows.unpersist()
+
+    def _load(self, rows: DataFrame, name: str, applied: dict[str, int], recent_minutes: int | None) -> bool:
         columns = [f.split()[0] for f in FACT_SCHEMA.split(", ")]
         accepted = rows.where("status = 'accepted'").select(*columns).withColumn("day", F.to_date("ts"))
         # Rebalanced by day: a day's rows stand together, and a large day is split by size, not by a fixed number.
@@ -166,7 +177,7 @@ class EventStore:
         added["rollup"] = self._write("rollup", month_masks(fresh), name) if facts else {}
         if recent_minutes and facts:
             added["recent"] = self._remember(fresh, name)
-        return self._add(added, {writer: batch}, recent_minutes)
+        return self._add(added, applied, recent_minutes)
 
     def _remember(self, facts: DataFrame, name: str) -> dict[str, list[str]]:
         return self._write("recent", facts.select("project_id", "message_id", "received_at", F.date_format("received_at", "yyyy-MM-dd-HH").alias("hour")), name)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.identity import key_bytes
 from ..operators.normalize import ingest
 from ..sources.registry import Registry, Snapshot
 from ..sources.store import RECENT_MINUTES, EventStore
@@ -57,7 +58,7 @@ def batch_writer(store: EventStore, catalog: Registry | Snapshot, retries: int =
 
 def kafka_sink(rows: DataFrame, servers: str, topic: str) -> None:
     """Raw events (``project_id, raw, user_key``) to a topic, one user's in one partition (needs Spark's Kafka package)."""
-    out = rows.select(F.unhex(F.lpad(F.hex("user_key"), 16, "0")).alias("key"), F.col("raw").alias("value"))  # eight bytes, the highest first
+    out = rows.select(key_bytes(F.col("user_key")).alias("key"), F.col("raw").alias("value"))
     options = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.compression.type": "lz4"}
     out.write.format("kafka").options(**options).save()
 

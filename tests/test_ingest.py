@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from rillmark.functions.identity import bucket, bucket_of, key_of, valid_rate
+from rillmark.functions.identity import bucket, bucket_of, key_bytes, key_of, valid_rate
 from rillmark.functions.numbers import canonical
 from rillmark.operators import normalize as N
 from rillmark.operators.quarantine import QUARANTINE_SCHEMA, decode_cursor, encode_cursor, find, page, replayed
@@ -103,6 +103,8 @@ def test_bucket_reads_the_key_as_unsigned(spark):
     keys = [0, 1, -1, 2**63 - 1, -(2**63), key_of("ada", None), key_of(None, "ada")]
     rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", bucket(F.col("k")).alias("b")).collect()
     assert all(r["b"] == bucket_of(r["k"]) for r in rows) and bucket_of(-1) == 1615
+    found = spark.createDataFrame([(k,) for k in keys], "k long").select("k", key_bytes(F.col("k")).alias("x")).collect()
+    assert all(bytes(r["x"]) == r["k"].to_bytes(8, "big", signed=True) for r in found)
     assert key_of("ada", None) == key_of("ada", "x") != key_of(None, "ada")
 
 

@@ -183,3 +183,19 @@ def test_files_written_by_the_sink_are_read_back(spark, sf_dir, tmp_path):
     store = EventStore(spark, str(tmp_path / "s"))
     start(file_source(spark, str(tmp_path / "in"), 100), store, demo_snapshot(), str(tmp_path / "c")).awaitTermination()
     assert store.facts().count() == ingest(raw, demo_snapshot()).where("status = 'accepted'").count()
+
+
+def test_sessions_outside_utc_are_refused(spark, tmp_path):
+    import pytest
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone, ok in (("Etc/UTC", True), ("Z", True), ("Europe/Berlin", False), ("+02:00", False)):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            if ok:
+                EventStore(spark, str(tmp_path))
+            else:
+                with pytest.raises(ValueError, match="UTC"):
+                    EventStore(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
