@@ -248,10 +248,8 @@ def sample(df: DataFrame, labels: DataFrame, label: str, max_docs: int = MAX_TRA
 def fit(df: DataFrame, labels: DataFrame, label: str, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Model from the labelled rows of ``df``; a bounded sample of them goes to the driver (see :func:`sample`)."""
     rows, share = sample(df, labels, label, max_docs, max_chars, id_col, text_col)
-    texts, y = [], []
-    for row in rows.toLocalIterator():
-        texts.append(WORDS.findall(row["text"] or ""))
-        y.append(row["y"])
+    table = rows.toArrow()  # in one job, however many partitions the documents have
+    texts, y = [WORDS.findall(t or "") for t in table.column("text").to_pylist()], table.column("y").to_pylist()
     if len(set(y)) < 2:
         return {"share": share}
     order = sorted(range(len(y)), key=lambda i: (y[i], texts[i]))  # the same model whatever the order of arrival
