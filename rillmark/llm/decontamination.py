@@ -64,10 +64,16 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return benchmark.select(F.col(f"`{item_id}`").alias("item_id"), exact_words(text).alias("item_words")).where("size(item_words) > 0").dropDuplicates(["item_id", "item_words"])
 
 
+def tokens_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, key, pos, word`` of every word."""
+    text = F.col(f"`{text_col}`")
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(text).alias("key"), text.alias("text"))  # beside the generator the key would be made for every word
+    return rows.select("doc_id", "key", F.posexplode(raw_words(F.col("text"))).alias("pos", "word")).withColumn("word", exact_lower(F.col("word")))
+
+
 def positional_index(df: DataFrame, items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """``word, doc_id, key, pos`` of the corpus' words, stored, and the path; only words that items have, where these are few."""
-    text = F.col(f"`{text_col}`")
-    tokens = df.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(text).alias("key"), F.posexplode(raw_words(text)).alias("pos", "word")).withColumn("word", exact_lower(F.col("word")))
+    tokens = tokens_of(df, id_col, text_col)
     terms = items.select(F.explode("item_words").alias("word")).distinct()
     if _few(terms, BROADCAST_TERMS):
         tokens = tokens.join(F.broadcast(terms), "word", "left_semi")

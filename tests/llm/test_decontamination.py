@@ -99,6 +99,11 @@ def test_proximity_tolerates_moved_words(spark):
     assert near(0) == [1] and near(1) == [1, 2] and near(12) == [1, 2, 3]
 
 
+def test_the_key_of_a_row_is_made_once_not_for_every_word(edge):
+    plan = D.tokens_of(edge, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64")
+
+
 def test_query_equals_its_sql(same):
     same(D.op7_decontamination, D.OP7_SQL)
 
