@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, line_windows, pseudonyms, quality, repetition, simhash, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, decontamination, divergence, line_windows, pseudonyms, quality, repetition, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_repetition": repetition.op8_repetition,
     "op9_line_windows": line_windows.op9_line_windows,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_divergence": divergence.op11_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": decontamination.OP7_SQL,
     "op8_repetition": repetition.OP8_SQL,
     "op9_line_windows": line_windows.OP9_SQL,
+    "op11_divergence": divergence.OP11_SQL,
 }
