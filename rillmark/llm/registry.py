@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, divergence, line_windows, pseudonyms, quality, repetition, simhash, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, decontamination, divergence, line_windows, pieces, pseudonyms, quality, repetition, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_windows": line_windows.op9_line_windows,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_divergence": divergence.op11_divergence,
+    "op13_pieces": pieces.op13_pieces,
 }
 
 ORACLES: dict[str, str] = {
