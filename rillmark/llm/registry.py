@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, divergence, line_windows, pieces, pseudonyms, quality, repetition, simhash, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, decontamination, divergence, lexical, line_windows, pieces, pseudonyms, quality, repetition, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_windows": line_windows.op9_line_windows,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_divergence": divergence.op11_divergence,
+    "op12_lexical": lexical.op12_lexical,
     "op13_pieces": pieces.op13_pieces,
 }
 
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op8_repetition": repetition.OP8_SQL,
     "op9_line_windows": line_windows.OP9_SQL,
     "op11_divergence": divergence.OP11_SQL,
+    "op12_lexical": lexical.OP12_SQL,
 }
