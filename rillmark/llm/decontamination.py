@@ -17,23 +17,28 @@ A posting list is never gathered in one place: postings stay rows up to the docu
 belong to.  Only the texts of documents with an alignment are shuffled.  The items' words, the
 rarest words and the ids of those documents are broadcast only after a count shows that they are
 few (``BROADCAST_TERMS``, ``BROADCAST_IDS``); beyond that the same plan runs as shuffled joins,
-and all postings are stored.  Only DataFrame functions are used.  Everywhere words are compared
+and all postings are stored.  Items are cut into segments of at most ``SEGMENT`` windows, in which
+no window of the item is missing and none that equals an earlier one is looked for again: so an
+alignment compares a bounded number of words, and an item (or a text) of one repeated word has as
+many alignments as the text has words.  Only DataFrame functions are used.  Everywhere words are compared
 in exact ASCII lower case.
 
 Defined results: a null, empty or wordless text has no words and no hits; a wordless item has
 no window; repeated rows, rows that share an id and rows without one are each compared by
-their own text (rows are told apart by id and 64 bits of the text); repeated item ids count once; an empty benchmark hits
+their own text (rows are told apart by id and 64 bits of the text); repeated item ids count once; items
+without an id hit like others, count as one item and are left out of the joined ids; an empty benchmark hits
 nothing; other columns are ignored or passed on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import computed, discard, documents, packed, row_key, same_row, stored, stored_at, unpacked
 
 SIZE = 10
 LISTS = 2
+SEGMENT = 64
 #: Rows of at most some 40 bytes each that may be broadcast.
 BROADCAST_TERMS, BROADCAST_IDS = 100_000, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,9 +64,20 @@ def _few(rows: DataFrame, limit: int) -> bool:
     return rows.limit(limit + 1).count() <= limit
 
 
-def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+def _items(benchmark: DataFrame, size: int, item_id: str, item_text: str) -> DataFrame:
+    """``item, item_id, item_words``: the segments of the items, each with a number of its own; stored, as they are read again and again."""
     text = F.col(f"`{item_text}`")
-    return benchmark.select(F.col(f"`{item_id}`").alias("item_id"), exact_words(text).alias("item_words")).where("size(item_words) > 0").dropDuplicates(["item_id", "item_words"])
+    whole = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), exact_words(text).alias("words")).where("size(words) > 0").dropDuplicates(["item_id", "words"])
+    whole = stored(whole.withColumn("item", F.monotonically_increasing_id()))
+    windows = whole.select("item", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))).alias("start"))
+    firsts = windows.groupBy("item", F.slice("words", F.col("start") + 1, size).alias("window")).agg(F.min("start").alias("start"))
+    own = Window.partitionBy("item").orderBy("start")  # of one item
+    begins = F.coalesce((F.col("start") - F.lag("start").over(own) > 1).cast("int"), F.lit(1))
+    runs = firsts.select("item", "start", begins.alias("begins")).withColumn("run", F.sum("begins").over(own))
+    part = F.floor((F.col("start") - F.min("start").over(Window.partitionBy("item", "run"))) / SEGMENT)
+    bounds = runs.withColumn("part", part).groupBy("item", "run", "part").agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    cut = bounds.join(whole, "item").select("item_id", F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + size).alias("item_words"))
+    return stored(cut.withColumn("item", F.monotonically_increasing_id()))
 
 
 def tokens_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -81,24 +97,24 @@ def positional_index(df: DataFrame, items: DataFrame, id_col: str, text_col: str
 
 
 def alignments(index: DataFrame, items: DataFrame, size: int, lists: int = LISTS) -> DataFrame:
-    """``doc_id, key, item_id, delta``: the item's word i may stand at document word ``delta + i``; the
+    """``doc_id, key, item, delta``: the segment's word i may stand at document word ``delta + i``; the
     ``lists`` rarest words of some window do."""
     counts = index.groupBy("word").count()
     n = F.size("item_words")
-    windows = items.select("item_id", "item_words", F.explode(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).alias("start"))
-    words = windows.select("item_id", "item_words", "start", F.posexplode(F.slice("item_words", F.col("start") + 1, size)).alias("offset", "word"))
+    windows = items.select("item", "item_words", F.explode(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).alias("start"))
+    words = windows.select("item", "start", F.posexplode(F.slice("item_words", F.col("start") + 1, size)).alias("offset", "word"))
     each = F.struct(F.coalesce("count", F.lit(0)).alias("count"), (F.col("start") + F.col("offset")).alias("place"), "word")
-    rarest = words.join(counts, "word", "left").groupBy("item_id", "item_words", "start").agg(F.sort_array(F.collect_list(each)).alias("rarest"))  # of a window
+    rarest = words.join(counts, "word", "left").groupBy("item", "start").agg(F.sort_array(F.collect_list(each)).alias("rarest"))  # of a window
     # Stored: they are counted and joined; no more than a few times the items' words.
-    chosen = stored(rarest.where("rarest[0].count > 0").select("item_id", F.slice("rarest", 1, lists).alias("rarest")))
-    anchors = chosen.select("item_id", F.explode("rarest").alias("r")).select("item_id", "r.place", "r.word").distinct()
-    wanted = chosen.groupBy("item_id").agg(F.collect_set("rarest.place").alias("wanted"))
+    chosen = stored(rarest.where("rarest[0].count > 0").select("item", F.slice("rarest", 1, lists).alias("rarest")))
+    anchors = chosen.select("item", F.explode("rarest").alias("r")).select("item", "r.place", "r.word").distinct()
+    wanted = chosen.groupBy("item").agg(F.collect_set("rarest.place").alias("wanted"))
     if _few(anchors, BROADCAST_TERMS):
         anchors, wanted = F.broadcast(anchors), F.broadcast(wanted)
-    moved = index.join(anchors, "word").select("doc_id", "key", "item_id", (F.col("pos") - F.col("place")).alias("delta"), "place")
-    met = moved.groupBy("doc_id", "key", "item_id", "delta").agg(F.collect_set("place").alias("places"))  # places of one item
+    moved = index.join(anchors, "word").select("doc_id", "key", "item", (F.col("pos") - F.col("place")).alias("delta"), "place")
+    met = moved.groupBy("doc_id", "key", "item", "delta").agg(F.collect_set("place").alias("places"))  # places of one segment
     whole = F.exists("wanted", lambda w: F.size(F.array_except(w, F.col("places"))) == 0)
-    return met.join(wanted, "item_id").where(whole).select("doc_id", "key", "item_id", "delta")
+    return met.join(wanted, "item").where(whole).select("doc_id", "key", "item", "delta")
 
 
 def matched(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -107,11 +123,12 @@ def matched(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0
 
     With ``slop`` above 0 these are proximity matches: every word of the window within ``slop``
     words of its place, as counted from the window's rarest word."""
-    items = _items(benchmark, item_id, item_text)
+    items = _items(benchmark, size, item_id, item_text)
     index, path = positional_index(df, items, id_col, text_col)
     found = stored(alignments(index, items, size, 1 if slop else LISTS))
     discard(df.sparkSession, path)
-    by_doc = found.join(items, "item_id").groupBy("doc_id", "key").agg(F.collect_list(F.struct("item_id", "delta", "item_words")).alias("candidates"))
+    places = found.groupBy("doc_id", "key", "item").agg(F.collect_list("delta").alias("deltas"))  # a segment's words are sent once
+    by_doc = places.join(items, "item").groupBy("doc_id", "key").agg(F.collect_list(F.struct("item_id", "deltas", "item_words")).alias("candidates"))
     by_doc = by_doc.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     rows = packed(df, id_col, text_col).withColumn("key", row_key(F.col("text")))
     # Only rows that have an alignment go through the shuffle.
@@ -134,12 +151,16 @@ def matched(df: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = 0
     def occurrences(c: Column) -> Column:
         m = F.size(c["item_words"])
         length = F.least(m, F.lit(size))
-        # Words that do not stand at their places; a window occurs between two of them that are far enough apart.
-        gaps = F.filter(F.sequence(F.lit(0), m - 1), lambda i: ~stands(c["delta"] + i, F.get(c["item_words"], i)))
-        bounds = F.concat(F.array(F.lit(-1)), gaps, F.array(m))
-        runs = F.filter(F.zip_with(bounds, F.slice(bounds, 2, F.size(bounds)), lambda a, b: F.struct((a + 1).alias("first"), b.alias("end"))), lambda r: r["end"] - r["first"] >= length)
-        starts = F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["end"] - length)))
-        return F.transform(starts, lambda i: F.struct(c["item_id"].alias("item_id"), (c["delta"] + i).alias("start"), length.alias("length")))
+
+        def at(delta: Column) -> Column:
+            # Words that do not stand at their places; a window occurs between two of them that are far enough apart.
+            gaps = F.filter(F.sequence(F.lit(0), m - 1), lambda i: ~stands(delta + i, F.get(c["item_words"], i)))
+            bounds = F.concat(F.array(F.lit(-1)), gaps, F.array(m))
+            runs = F.filter(F.zip_with(bounds, F.slice(bounds, 2, F.size(bounds)), lambda a, b: F.struct((a + 1).alias("first"), b.alias("end"))), lambda r: r["end"] - r["first"] >= length)
+            starts = F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["end"] - length)))
+            return F.transform(starts, lambda i: F.struct(c["item_id"].alias("item_id"), (delta + i).alias("start"), length.alias("length")))
+
+        return F.flatten(F.transform(c["deltas"], at))
 
     every = F.array_distinct(F.flatten(F.transform("candidates", occurrences)))
     texts = computed(texts, matches=F.when(F.col("candidates").isNotNull(), every)).select("row", "doc_id", F.size("words").alias("n_words"), "matches")

@@ -12,7 +12,8 @@ calibration row lie between those of the bins around them.
 
 Defined results: null, empty and wordless texts have statistics of zero and are scored like
 any other; repeated rows are scored each by itself; without training rows of both classes
-every score is the share of good rows (0 if there are none); null labels are left out; rows that
+every score is the share of good rows (0 if there are none); null labels are left out; an id labelled
+twice with different labels takes the greater one; rows that
 share an id are scored by their own texts, and all train where the id is labelled; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -129,7 +130,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str) -> dict:
     """The model from rows of ``stats`` (``doc_id, x``) that have a label."""
     import numpy as np
 
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("y")).where("_id is not null and y in (0, 1)").dropDuplicates(["_id"])
+    marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("y")).where("_id is not null and y in (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
     rows = stats.join(marks, stats.doc_id == F.col("_id")).select("x", "y", (F.pmod(F.xxhash64("_id"), F.lit(5)) == 0).alias("calibrate"))
     x = [F.get("x", F.lit(i)) for i in range(N_STATS)]
     kept = F.when(F.col("calibrate"), F.col("y"))

@@ -161,7 +161,7 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: and the longest repeat exceeds a bound if a window one word longer than the bound is found twice.
 OP8_SQL = rf"""
 WITH d AS (
-    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sized AS (
     SELECT *, greatest({LONG_WORDS}, floor({MAX_LONGEST}::DOUBLE * len(w))::BIGINT + 1) AS n_long FROM d
 ), windows AS (
@@ -178,7 +178,7 @@ WITH d AS (
     SELECT DISTINCT doc_id FROM twice JOIN sized USING (doc_id) WHERE n = n_long
 ), lines AS (
     SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), base AS (
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,

@@ -6,7 +6,8 @@ in toxic documents again and again and hardly ever in others.  The field has two
 log-linear features (word, prefixes of three to five letters); its weights are fitted by
 stochastic gradients of the exact conditional likelihood on the whole texts of the sample, cut
 into segments.  The sample holds at most ``MAX_TRAIN_DOCS`` rows and ``MAX_TRAIN_CHARS``
-characters of each class, the first by a hash of the id; a text is in it whole or not at all.
+characters of each class, the first by a hash of the id; a text is in it whole or not at all, and
+one that does not fit any more is passed over (a class of such texts only keeps its shortest one).
 
 Scoring (a map over whole texts, no shuffle): forward-backward gives each token's marginal;
 the greatest, the sum and the length of the text go through a logistic link fitted on the
@@ -31,9 +32,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import blocks, documents, id_and_text, ship_code, stored
+from .common import blocks, documents, id_and_text, ship_code
 
 #: Bounds of the training sample, for each class.
 MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 2_500, 20_000_000
@@ -229,6 +230,23 @@ def held_out(doc_id: Column, parts: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == rest, F.lit(False))
 
 
+def _fitting(rows: list[tuple[int, int, int, int]], max_chars: int) -> list[int]:
+    """Ids from (class, hash, id, characters): of each class in the order of the hash those that still fit into ``max_chars``;
+    a text that does not fit is passed over and shuts out no other.  A class in which none fits keeps its shortest text."""
+    out = []
+    for y in (0, 1):
+        own, left = sorted(r[1:] for r in rows if r[0] == y), max_chars
+        taken = []
+        for _, key, n in own:
+            if n <= left:
+                taken.append(key)
+                left -= n
+        if own and not taken:
+            taken = [min(own, key=lambda r: r[2])[1]]
+        out += taken
+    return out
+
+
 def sample(df: DataFrame, labels: DataFrame, label: str, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
     """``text, y`` of the training sample and the share of ones among all labelled rows."""
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y in (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
@@ -239,9 +257,8 @@ def sample(df: DataFrame, labels: DataFrame, label: str, max_docs: int = MAX_TRA
         chosen = part if chosen is None else chosen.unionByName(part)
     docs = id_and_text(df, id_col, text_col)
     sizes = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n")).join(F.broadcast(chosen), docs.doc_id == F.col("_id"))
-    sizes = sizes.groupBy("_id", "y").agg(F.sum("n").alias("n"))  # at most 2 * max_docs rows from here on
-    upto = Window.partitionBy("y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = stored(sizes.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= max_chars).select("_id", "y"))
+    fitting = _fitting([tuple(r) for r in sizes.groupBy("y", F.xxhash64("_id"), "_id").agg(F.sum("n")).collect()], max_chars)  # at most 2 * max_docs rows
+    within = df.sparkSession.createDataFrame([(key,) for key in fitting], "_id long").join(chosen, "_id")
     return docs.join(F.broadcast(within), docs.doc_id == F.col("_id")).select("text", "y"), counts.get(1, 0) / max(1, sum(counts.values()))
 
 

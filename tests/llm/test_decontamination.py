@@ -56,6 +56,29 @@ def test_rows_that_share_an_id_are_compared_by_their_own_text(spark, benchmark):
     assert rows_of(D.contamination(spark.createDataFrame(rows, "doc_id long, text string"), frame), "doc_id", "n_words", "n_hit", "items") == plain(rows, items)
 
 
+def test_items_without_an_id_hit(spark, benchmark):
+    items, _ = benchmark
+    items = [(None, items[0][1]), (None, "one two three"), (7, items[1][1]), (7, "x y z"), (None, None)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(1, "so " + items[0][1]), (2, "one two three x y z"), (3, items[2][1]), (None, "nothing")]
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), frame).collect()}
+    assert got == {1: (len(words(items[0][1])), [None]), 2: (6, ["7", None]), 3: (10, ["7"]), None: (0, [])}
+
+
+@pytest.mark.parametrize("segment", [1, 3, 64])
+def test_segments_lose_no_window(spark, edge, edge_rows, benchmark, monkeypatch, segment):
+    monkeypatch.setattr(D, "SEGMENT", segment)
+    items, frame = benchmark
+    assert rows_of(D.contamination(edge, frame), "doc_id", "n_words", "n_hit", "items") == plain(edge_rows, items)
+
+
+def test_one_word_repeated_in_text_and_item(spark):
+    """As many alignments as words, not as many as pairs of places."""
+    docs = spark.createDataFrame([(1, "la " * 20_000), (2, "la " * 9 + "lu la"), (3, "lu " + "la " * 30)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "la " * 20_000), (2, "la " * 300 + "lu " + "la " * 300), (3, "la lu " * 5_000)], "item_id long, text string")
+    assert rows_of(D.contamination(docs, items), "doc_id", "n_words", "n_hit", "items") == [(1, 20_000, 20_000, ["1", "2"]), (2, 11, 11, ["2"]), (3, 31, 31, ["1", "2"])]
+
+
 def test_greek_words_match_whatever_stands_around_them(spark):
     items = [(0, "ΟΔΟΣ Α"), (1, "ΟΔΟΣ.Β"), (2, "οδος γ"), (3, "ΣΣ")]
     docs = [(1, "x ΟΔΟΣ.Α y"), (2, "x ΟΔΟΣ Β"), (3, "οδοσ γ"), (4, "ΣΣ.Σ"), (5, "οδος γ"), (6, "ΟΔΟΣ Α")]

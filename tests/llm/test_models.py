@@ -57,6 +57,29 @@ def test_sample_is_bounded_in_rows_and_characters_and_holds_whole_texts(spark):
     assert toxicity.sample(docs, labels, "toxic")[1] == 21 / 42
 
 
+def test_a_text_that_does_not_fit_shuts_out_no_other(spark):
+    """Also at the head of the order of the hash, and a class of nothing else keeps its shortest text."""
+    rows = [(i, "a" * 50, 1) for i in range(20)] + [(i, "b" * 50, 0) for i in range(20, 40)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    first = {y: min((r[0] for r in rows if r[2] == y), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("long"))).first()[0]) for y in (0, 1)}
+    docs = spark.createDataFrame([(i, t * (100 if i in first.values() else 1)) for i, t, _ in rows], "doc_id long, text string")
+    taken, _ = toxicity.sample(docs, labels, "toxic", max_chars=1_000)
+    assert sorted((r["y"], len(r["text"])) for r in taken.collect()) == [(0, 50)] * 19 + [(1, 50)] * 19
+    taken, _ = toxicity.sample(docs, labels, "toxic", max_chars=10)
+    assert sorted((r["y"], len(r["text"])) for r in taken.collect()) == [(0, 50), (1, 50)]
+    assert toxicity.sample(docs, labels.limit(0), "toxic")[0].count() == 0
+
+
+def test_an_id_labelled_twice_takes_the_greater_label_in_any_order(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} " * (i + 1)) for i in range(40)], "doc_id long, text string")
+    marks = [(i, i % 2) for i in range(40)] + [(i, 1 - i % 2) for i in range(0, 40, 3)]
+    scores = []
+    for order in (marks, marks[::-1], sorted((i, max(y for k, y in marks if k == i)) for i in range(40))):
+        labels = spark.createDataFrame(order, "doc_id long, quality int").coalesce(1)
+        scores.append(sorted(tuple(r) for r in quality.classify(docs, labels).collect()))
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_toxicity_query_returns_what_its_contract_says(spark, sf_dir):
     import zlib
 
@@ -231,6 +254,19 @@ def test_rules_and_verdict_equal_brute_force(seed):
     assert repetition.judge_block(texts) == [plain_verdict(t) for t in texts]
 
 
+def test_rules_sql_reads_all_white_space(spark):
+    import duckdb
+    import pyarrow as pa
+
+    texts = ["one\x0btwo\x0cthree\rfour five " * 6, "\x0b\x0c\r\n\x0b\n\r", "a\x0b\nb\na\x0b\nb\r\n" * 9, "x\ty z\x1fw " * 8, None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())}))
+    found = con.sql(repetition.OP8_SQL)
+    got = repetition.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).select(*found.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
+
+
 def test_rules_query_equals_its_sql(same):
     same(repetition.op8_repetition, repetition.OP8_SQL)
 
