@@ -27,6 +27,8 @@ FUNNEL4 = Funnel(("view", "signup", "click", "purchase"), Days(D(2024, 1, 3), D(
 TIGHT = Funnel(("signup", "click", "purchase", "error"), JANUARY, 6 * 3_600, project=PROJECT)
 RETENTION = Retention("signup", "purchase", Days(D(2024, 1, 2), D(2024, 1, 12)), 14, project=PROJECT)
 HALF = Sampled(5_000)
+UNSCALED = Sampled()
+VIEWS = Retention("view", "purchase", Days(D(2024, 1, 2), D(2024, 1, 12)), 14, project=PROJECT)
 
 
 # --- DuckDB SQL -----------------------------------------------------------------------------
@@ -134,11 +136,11 @@ def _median_upper(spark: SparkSession, sf: str) -> DataFrame:
     return upper_median(value_counts(rows, ["event_type"], "ms"), ["event_type"]).select("event_type", "n", F.col("median").cast("long").alias("median_ms"))
 
 
-def _funnel(q: Funnel, sampled: Sampled = Sampled(), fold: bool = False):
+def _funnel(q: Funnel, sampled: Sampled | None = Sampled(), fold: bool = False):
     return lambda spark, sf: funnel(facts(spark, sf), q, sampled, fold)
 
 
-def _segment(q: Segment, sampled: Sampled = Sampled()):
+def _segment(q: Segment, sampled: Sampled | None = Sampled()):
     return lambda spark, sf: G.segment(facts(spark, sf), q, sampled)
 
 
@@ -278,10 +280,15 @@ _ENTRIES: dict[str, tuple] = {
     "funnel_tight": (_funnel(TIGHT), _funnel_sql(TIGHT)),
     "funnel_sampled": (_funnel(FUNNEL4, HALF), _funnel_sql(FUNNEL4, HALF)),
     "funnel_fold": (_funnel(FUNNEL4, fold=True), _funnel_sql(FUNNEL4)),
-    "retention_events": (lambda s, d: R.retention_from_events(facts(s, d), RETENTION), _retention_sql(RETENTION)),
-    "retention_rollup": (lambda s, d: R.retention_from_rollup(M.month_masks(facts(s, d)), RETENTION), _retention_sql(RETENTION)),
-    "retention_join": (lambda s, d: R.retention_by_join(facts(s, d), RETENTION), _retention_sql(RETENTION)),
+    "retention_events": (lambda s, d: R.retention_from_events(facts(s, d), RETENTION, UNSCALED), _retention_sql(RETENTION)),
+    "retention_rollup": (lambda s, d: R.retention_from_rollup(M.month_masks(facts(s, d)), RETENTION, UNSCALED), _retention_sql(RETENTION)),
+    "retention_join": (lambda s, d: R.retention_by_join(facts(s, d), RETENTION, UNSCALED), _retention_sql(RETENTION)),
     "retention_scaled": (lambda s, d: R.retention_from_rollup(M.month_masks(facts(s, d)), RETENTION, HALF), _retention_sql(RETENTION, HALF)),
+    "funnel_stored_threshold": (_funnel(FUNNEL4, None), _funnel_sql(FUNNEL4, HALF)),
+    "funnel_unsampled_steps": (_funnel(FUNNEL3, None), _funnel_sql(FUNNEL3)),
+    "retention_stored_threshold": (lambda s, d: R.retention_from_rollup(M.month_masks(facts(s, d)), VIEWS), _retention_sql(VIEWS, HALF)),
+    "retention_events_stored_threshold": (lambda s, d: R.retention_from_events(facts(s, d), VIEWS), _retention_sql(VIEWS, HALF)),
+    "segment_stored_threshold": (_segment(Segment(JANUARY, project=PROJECT), None), _segment_sql(Segment(JANUARY, project=PROJECT), sampled=HALF)),
     "sessions_table": (lambda s, d: Z.sessions(facts(s, d)), _SESSIONS_SQL + " SELECT * FROM sessions"),
     "sessions_session_window": (lambda s, d: Z.sessions_by_window(facts(s, d)), _SESSIONS_SQL + " SELECT * FROM sessions"),
     "sessions_daily": (
