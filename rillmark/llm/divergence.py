@@ -35,7 +35,7 @@ from .common import discard, documents, ship_code, stored, stored_at
 
 MIN_DOCUMENTS, TOP, SMOOTHING, ONE = 30, 50, 5, 1_000_000_000
 #: Entries that a task counts before it gives them out; cells of a matrix worked on at once.
-HELD, CELLS = 200_000, 1 << 20
+HELD, CELLS = 500_000, 1 << 20
 #: What stands between terms becomes a blank, A-Z lower case; bytes of other letters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 PARTS = "lang string, term string, source string, document long, df long, count long"
