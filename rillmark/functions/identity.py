@@ -7,14 +7,8 @@ from pyspark.sql import Column, functions as F
 BUCKETS = 10_000
 
 
-def user_key(user_id: Column, anonymous_id: Column) -> Column:
-    """64-bit key of the identity; the signed-in id wins, and the two kinds never share a key by prefix."""
-    signed_in = F.coalesce(user_id, F.lit("")) != ""
-    return F.xxhash64(F.when(signed_in, F.concat(F.lit("u"), user_id)).otherwise(F.concat(F.lit("a"), F.coalesce(anonymous_id, F.lit("")))))
-
-
 def key_of(user_id: str | None, anonymous_id: str | None) -> int:
-    """The same identity rule in Python, as XXH3 (signed), for rows that are normalised in a map."""
+    """64-bit key of the identity, as XXH3 (signed); the signed-in id wins, and the two kinds never share a key by prefix."""
     from xxhash import xxh3_64_intdigest
 
     key = xxh3_64_intdigest(b"u" + user_id.encode() if user_id else b"a" + (anonymous_id or "").encode())

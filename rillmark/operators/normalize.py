@@ -264,11 +264,14 @@ def rows_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], SCHEMA)
 
 
-def normalize(df: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """Rows of ``SCHEMA`` from ``project_id, raw, received_at, pos``; in-batch duplicates are not marked yet."""
+def normalize(df: DataFrame, snapshot: Snapshot, key: str | None = None) -> DataFrame:
+    """Rows of ``SCHEMA`` from ``project_id, raw, received_at, pos``; in-batch duplicates are not marked yet.
+
+    The text column ``key``, if named, comes out beside them under that name."""
     ship_code(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(snapshot)  # bounded by the catalog's limits
 
+    schema = SCHEMA + (", key string" if key else "")
     target = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches: Iterator) -> Iterator:
@@ -280,9 +283,11 @@ def normalize(df: DataFrame, snapshot: Snapshot) -> DataFrame:
             columns = [[row[name] for row in rows] for name in target.names]
             at = target.names.index("properties")
             columns[at] = [None if p is None else list(p.items()) for p in columns[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, target, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays + list(batch.columns[4:]), names=target.names + ["key"] * bool(key))
 
-    return df.select("project_id", "raw", F.col("received_at").cast("timestamp").alias("received_at"), F.col("pos").cast("long").alias("pos")).mapInArrow(run, SCHEMA)
+    inputs = ["project_id", "raw", F.col("received_at").cast("timestamp").alias("received_at"), F.col("pos").cast("long").alias("pos")]
+    return df.select(*inputs, *([F.col(key).cast("string").alias("key")] if key else [])).mapInArrow(run, schema)
 
 
 def mark_duplicates(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.stats import upper_median, value_counts
@@ -12,19 +15,19 @@ GAP_MS = 30 * 60 * 1000
 SESSION_SCHEMA = "project_id string, day date, user_key long, user_id string, session_start timestamp, session_end timestamp, event_count long"
 
 
-def _ready(facts: DataFrame) -> DataFrame:
+def _ready(facts: DataFrame, single: Sequence[dt.date] | bool = False) -> DataFrame:
     """On-time facts, one of each; lateness is judged on the copy that is kept."""
-    slim = facts.select("project_id", "event_name", "user_key", "ts", "message_id", "user_id", "anonymous_id", "received_at", "is_late")
-    rows = dedup_earliest(slim).where(~F.col("is_late"))
+    slim = facts.select("project_id", "event_name", "user_key", "ts", "message_id", "user_id", "anonymous_id", "received_at", "is_late", *(["day"] if "day" in facts.columns else []))
+    rows = dedup_earliest(slim, single).where(~F.col("is_late"))
     shown = F.when(F.col("user_id") != "", F.col("user_id")).otherwise(F.col("anonymous_id"))
     return rows.select("project_id", F.to_date("ts").alias("day"), "user_key", shown.alias("user_id"), "ts")
 
 
-def sessions(facts: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
-    """One row per session: a gap above ``gap_ms`` or midnight starts a new one."""
+def sessions(facts: DataFrame, gap_ms: int = GAP_MS, single: Sequence[dt.date] | bool = False) -> DataFrame:
+    """One row per session: a gap above ``gap_ms`` or midnight starts a new one.  ``single``: see ``dedup_earliest``."""
     order = Window.partitionBy("project_id", "day", "user_key").orderBy("ts")
     gap = millis() - F.unix_millis(F.lag("ts").over(order))
-    rows = _ready(facts).withColumn("starts", F.coalesce((gap > gap_ms).cast("int"), F.lit(1)))
+    rows = _ready(facts, single).withColumn("starts", F.coalesce((gap > gap_ms).cast("int"), F.lit(1)))
     rows = rows.withColumn("session", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.groupBy("project_id", "day", "user_key", "session").agg(
         F.min("user_id").alias("user_id"), F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("*").alias("event_count")

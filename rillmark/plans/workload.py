@@ -181,6 +181,12 @@ def _stream(sampled: bool):
     return query
 
 
+def _two_streams(spark: SparkSession, sf: str) -> DataFrame:
+    from ..streaming.loader import stream_twice
+
+    return stream_twice(spark, sf)
+
+
 def _store(read):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         from ..streaming.loader import stored_facts
@@ -364,6 +370,10 @@ _ENTRIES: dict[str, tuple] = {
     "normalize_outcomes": (_normalize(True), None),
     "normalize_unsampled": (_normalize(False), f"WITH {RAW_SQL} SELECT status, CASE WHEN status = 'duplicate' THEN 'repeated within the batch' ELSE rejected END AS reason, count(*) AS n FROM outcome GROUP BY ALL"),
     "stream_load": (_stream(True), None),
+    "stream_two_sources": (
+        _two_streams,
+        f"WITH {RAW_SQL.replace('PARTITION BY message_id,', 'PARTITION BY message_id, pos % 2,')} "
+        "SELECT event_name, count(DISTINCT (user_id, t, message_id)) AS n, count(DISTINCT user_id) AS users FROM outcome WHERE status = 'accepted' GROUP BY ALL"),
     "stream_unsampled": (
         _stream(False),
         f"WITH {RAW_SQL} SELECT event_name, count(DISTINCT (user_id, t, message_id)) AS n, count(DISTINCT user_id) AS users FROM outcome WHERE status = 'accepted' GROUP BY ALL"),

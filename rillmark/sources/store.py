@@ -7,11 +7,16 @@ what a reader or a load lists does not grow with the batches once loaded.
 
 - A stream's batch is remembered by its writer's name; compaction, replays and expiry are
   manifests as well, but under names of their own, so they never take the id of a batch.
-- Facts and sessions are partitioned by day, quarantine by day of arrival, the rollup by month.
-- Sessions of the days a load touches are recomputed from those days alone and replace them.
+- Facts are partitioned by day, quarantine by day of arrival, the rollup by month, sessions by day
+  and project.
+- A load only marks the project days it brings facts of.  ``sessionize`` computes the sessions of all
+  marked project days from those days alone, once however many loads marked them, and replaces
+  them in one commit with the marks it has read; marks that come meanwhile stay for the next pass.
 - Rollup rows are partial and merge on reading.
+- Compaction of facts keeps one row per identity, in a directory whose name begins with ``unique-``;
+  a day that consists of one such directory needs no search for copies.
 - Two writers at once: the slower one finds its number taken, reads the new manifest and tries
-  again (sessions are then recomputed).
+  again.
 """
 
 from __future__ import annotations
@@ -24,10 +29,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.facts import FACT_SCHEMA
-from ..operators.quarantine import QUARANTINE_SCHEMA, find, replayed
+from ..operators.facts import FACT_SCHEMA, dedup_earliest
+from ..operators.quarantine import QUARANTINE_SCHEMA, find, latest, replayed
 from ..operators.rollup import ROLLUP_SCHEMA, merged, month_masks
 from ..operators.sessions import SESSION_SCHEMA, sessions
+from ..plans.requests import Days
 from .files import Numbered
 
 FACT_DAYS, QUARANTINE_DAYS, ROLLUP_MONTHS = 90, 30, 25
@@ -38,20 +44,33 @@ TABLES = {
     "facts": (FACT_SCHEMA + ", day date", "day"),
     "quarantine": (QUARANTINE_SCHEMA + ", day date", "day"),
     "rollup": (ROLLUP_SCHEMA, "month"),
-    "sessions": (SESSION_SCHEMA, "day"),
+    "sessions": (SESSION_SCHEMA + ", part string", "part"),
+    "dirty": ("project_id string, day date, marked_at timestamp, marked date", "marked"),
+    "replays": ("project_id string, quarantine_id string, outcome string, reason string, replayed_at timestamp, day date", "day"),
     "recent": ("project_id string, message_id string, received_at timestamp, hour string", "hour"),
 }
 #: Changes of the manifest's layout by number, each made once (see bootstrap).
 STEPS: dict[int, Callable[[dict], dict]] = {
     1: lambda state: state | {"tables": {name: {} for name in ("facts", "quarantine", "rollup", "sessions")} | state["tables"]},
     2: lambda state: state | {"tables": {"recent": {}} | state["tables"]},
+    3: lambda state: state | {"tables": state["tables"] | {"sessions": {}}, "resweep": sorted(state["tables"].get("facts", {}))},  # sessions by day and project
 }
+UNIQUE = "unique-"
 
 
 class StoreConflict(RuntimeError):
     """Other writers were faster each time."""
 
 
+class StoreGap(RuntimeError):
+    """A stream goes on behind batches that the store has not got."""
+
+
+def part_of(project_id, day):
+    """Partition of a project's sessions of a day; begins with the day."""
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), F.lower(F.hex(F.xxhash64(project_id))))
+
+
 class EventStore:
     def __init__(self, spark: SparkSession, root: str):
         zone = spark._jvm.java.time.ZoneId.of(spark.conf.get("spark.sql.session.timeZone")).getRules()
@@ -143,8 +162,19 @@ class EventStore:
     def quarantine(self) -> DataFrame:
         return self.table("quarantine").drop("day")
 
-    def sessions(self) -> DataFrame:
-        return self.table("sessions")
+    def sessions(self, days: Days | None = None) -> DataFrame:
+        """Sessions as of the last :meth:`sessionize`; with ``days``, other days are not even listed."""
+        return self.table("sessions", _among(days)).drop("part")
+
+    def facts_of(self, days: Days | None = None) -> tuple[DataFrame, list[dt.date]]:
+        """Facts of the days, and those days on which no identity stands twice."""
+        keep = _among(days)
+        parts = {day: b for day, b in self.state()["tables"]["facts"].items() if keep(day)}
+        return self._read("facts", parts), [dt.date.fromisoformat(day) for day, b in sorted(parts.items()) if _is_unique(b)]
+
+    def replays(self) -> DataFrame:
+        """What became of every event that :meth:`replay_open` judged."""
+        return self.table("replays").drop("day")
 
     def views(self, prefix: str = "") -> None:
         """Temporary views of the committed tables for SQL; made again, they show what was committed since."""
@@ -166,8 +196,7 @@ class EventStore:
                 rows.unpersist()
 
     def _load(self, rows: DataFrame, name: str, applied: dict[str, int], recent_minutes: int | None) -> bool:
-        columns = [f.split()[0] for f in FACT_SCHEMA.split(", ")]
-        accepted = rows.where("status = 'accepted'").select(*columns).withColumn("day", F.to_date("ts"))
+        accepted = rows.where("status = 'accepted'").select(*_names(FACT_SCHEMA)).withColumn("day", F.to_date("ts"))
         # Rebalanced by day: a day's rows stand together, and a large day is split by size, not by a fixed number.
         facts = self._write("facts", accepted.hint("rebalance", "day").sortWithinPartitions("day", "project_id", "event_name", "user_key", "ts"), name)
         rejected = rows.where("status = 'quarantined'").select(
@@ -177,38 +206,79 @@ class EventStore:
         added["rollup"] = self._write("rollup", month_masks(fresh), name) if facts else {}
         if recent_minutes and facts:
             added["recent"] = self._remember(fresh, name)
+        added["dirty"] = self._mark(fresh, name) if facts else {}
         return self._add(added, applied, recent_minutes)
 
+    def _mark(self, facts: DataFrame, name: str) -> dict[str, list[str]]:
+        now = F.current_timestamp()
+        return self._write("dirty", facts.select("project_id", "day").distinct().select("project_id", "day", now.alias("marked_at"), F.to_date(now).alias("marked")).coalesce(1), name)
+
     def _remember(self, facts: DataFrame, name: str) -> dict[str, list[str]]:
         return self._write("recent", facts.select("project_id", "message_id", "received_at", F.date_format("received_at", "yyyy-MM-dd-HH").alias("hour")), name)
 
-    def _add(self, added: dict[str, dict[str, list[str]]], applied: dict[str, int], recent_minutes: int | None = RECENT_MINUTES, unchanged: tuple[str, str, list[str]] | None = None) -> bool:
-        """Commits new directories, with the sessions of the days that got facts.
+    def _add(self, added: dict[str, dict[str, list[str]]], applied: dict[str, int], recent_minutes: int | None = RECENT_MINUTES, unchanged: dict[str, list[str]] | None = None) -> bool:
+        """Commits new directories.
 
-        False, and nothing done, if one of the ``applied`` batches is in already, or the partition ``unchanged``
-        (table, partition, directories) is not."""
-        for _ in range(ATTEMPTS):
-            state = self.state()
+        False, and nothing done, if one of the ``applied`` batches is in already, or one of the quarantine's partitions
+        ``unchanged`` (partition: directories) is not."""
+
+        def change(state: dict) -> dict | None:
             tables = state["tables"]
             if any(b <= state["applied"].get(w, -1) for w, b in applied.items()):
-                return False
-            if unchanged and tables[unchanged[0]].get(unchanged[1]) != unchanged[2]:
-                return False
+                return None
+            if any(tables["quarantine"].get(part) != batches for part, batches in (unchanged or {}).items()):
+                return None
             for name, parts in added.items():
                 for part, batches in parts.items():
                     tables[name][part] = tables[name].get(part, []) + batches
-            touched = {day: tables["facts"][day] for day in added.get("facts", {})}  # of the last 90 days
-            if touched:
-                made = self._write("sessions", sessions(self._read("facts", touched)), f"sessions-{uuid.uuid4().hex[:8]}")
-                tables["sessions"] |= {day: made.get(day, []) for day in touched}
             if tables["recent"] and recent_minutes:
                 newest = dt.datetime.strptime(max(tables["recent"]), "%Y-%m-%d-%H")
                 oldest = (newest - dt.timedelta(minutes=recent_minutes)).strftime("%Y-%m-%d-%H")
                 tables["recent"] = {hour: b for hour, b in tables["recent"].items() if hour >= oldest}
             state["applied"] |= applied
-            if self.log.put(state["seq"] + 1, json.dumps({k: v for k, v in state.items() if k != "seq"})):
-                return True
-        raise StoreConflict
+            return state
+
+        return self._commit(change)
+
+    # --- sessions ---
+
+    def sessionize(self) -> int:
+        """Sessions of all project days that loads have marked, computed anew and put in place of the old ones in one commit
+        with the marks; the number of project days.  Of two passes at once, one finds its marks gone and does nothing."""
+        state = self.state()
+        marks, resweep = state["tables"]["dirty"], state.get("resweep", [])
+        if not marks and not resweep:
+            return 0
+        whole = [day for day in resweep if day in state["tables"]["facts"]]
+        dirty = self._read("dirty", marks).select("project_id", "day")
+        if whole:
+            old = self._read("facts", {day: state["tables"]["facts"][day] for day in whole})
+            dirty = dirty.unionByName(old.select("project_id", "day"))
+        dirty = dirty.distinct().withColumn("part", part_of(F.col("project_id"), F.col("day"))).persist()
+        try:
+            parts = {r["part"]: r["day"].isoformat() for r in dirty.select("part", "day").collect()}  # as many as the manifest names anyway
+            days = {day: state["tables"]["facts"][day] for day in set(parts.values()) if day in state["tables"]["facts"]}
+            facts = self._read("facts", days).join(dirty.select("project_id", "day"), ["project_id", "day"], "left_semi")
+            found = sessions(facts, single=[dt.date.fromisoformat(day) for day, b in days.items() if _is_unique(b)])
+            made = self._write("sessions", found.withColumn("part", part_of(F.col("project_id"), F.col("day"))).hint("rebalance", "part"), f"sessions-{uuid.uuid4().hex[:8]}")
+        finally:
+            dirty.unpersist()
+
+        def swap(state: dict) -> dict | None:
+            tables = state["tables"]
+            if any(not set(b) <= set(tables["dirty"].get(p, [])) for p, b in marks.items()) or state.get("resweep", []) != resweep:
+                return None  # another pass has read them, from facts at least as new
+            for p, b in marks.items():
+                if not (left := [x for x in tables["dirty"].pop(p) if x not in b]):
+                    continue
+                tables["dirty"][p] = left
+            for part, day in parts.items():
+                tables["sessions"].pop(part, None)
+                if part in made and day in tables["facts"]:  # else expired meanwhile
+                    tables["sessions"][part] = made[part]
+            return {k: v for k, v in state.items() if k != "resweep"}
+
+        return len(parts) if self._commit(swap) else 0
 
     # --- recent message ids ---
 
@@ -258,30 +328,66 @@ class EventStore:
             closed = self.spark.createDataFrame([(*replayed(row, now), day)], TABLES["quarantine"][0])
             added = {"quarantine": self._write("quarantine", closed, name)}
             if status == "accepted":
-                columns = [f.split()[0] for f in FACT_SCHEMA.split(", ")]
-                added["facts"] = self._write("facts", rows_frame(self.spark, [judged]).select(*columns).withColumn("day", F.to_date("ts")), name)
+                added["facts"] = self._write("facts", rows_frame(self.spark, [judged]).select(*_names(FACT_SCHEMA)).withColumn("day", F.to_date("ts")), name)
                 fresh = self._read("facts", added["facts"])
                 added["rollup"] = self._write("rollup", month_masks(fresh), name)
                 added["recent"] = self._remember(fresh.withColumn("received_at", F.lit(now)), name)
+                added["dirty"] = self._mark(fresh, name)
             # A second replay at the same time has changed the partition first, or finds it changed.
-            if self._add(added, {}, unchanged=("quarantine", day.isoformat(), parts[day.isoformat()])):
+            if self._add(added, {}, unchanged={day.isoformat(): parts[day.isoformat()]}):
                 return status, reason
         raise StoreConflict
 
+    def replay_open(self, snapshot, project_id: str, now: dt.datetime, reason: str | None = None, recent_minutes: int | None = RECENT_MINUTES) -> DataFrame:
+        """Judges all open events of a project (of one reason, if given) again, each as of its own arrival, in one job and one commit.
+
+        ``quarantine_id, outcome, reason``, one row an event: ``still invalid`` changes nothing; ``accepted``, ``sampled_out`` and
+        ``duplicate`` (accepted lately, or twice among these) close the event, the first one with its fact."""
+        from ..operators.normalize import mark_duplicates, normalize
+
+        at = now if now.tzinfo else now.replace(tzinfo=dt.timezone.utc)
+        for _ in range(ATTEMPTS):
+            parts, name = self.state()["tables"]["quarantine"], f"replay-{uuid.uuid4().hex[:8]}"
+            rows = latest(self._read("quarantine", parts).where(F.col("project_id") == project_id)).where("status = 'open'")
+            rows = rows if reason is None else rows.where(F.col("reason") == reason)
+            raw = rows.select("project_id", F.col("payload").alias("raw"), "received_at", F.unix_micros("received_at").alias("pos"), "quarantine_id")
+            judged = mark_duplicates(normalize(raw, snapshot, key="quarantine_id"))
+            # An id counts as seen if it was accepted lately by the clock of the replay, not of the arrival.
+            seen = self.mark_seen(judged.withColumn("arrived", F.col("received_at")).withColumn("received_at", F.lit(at)), recent_minutes)
+            judged = seen.withColumn("received_at", F.col("arrived")).drop("arrived").persist()
+            try:
+                outcome = F.when(F.col("status") == "quarantined", "still invalid").otherwise(F.col("status"))
+                found = judged.select("project_id", F.col("key").alias("quarantine_id"), outcome.alias("outcome"), "reason", F.lit(at).alias("replayed_at"), F.to_date(F.lit(at)).alias("day"))
+                added = {"replays": self._write("replays", found, name)}
+                closing = judged.where("status <> 'quarantined'").select(F.col("key").alias("quarantine_id"))
+                closed = rows.join(closing, "quarantine_id", "left_semi").withColumn("status", F.lit("replayed")).withColumn("updated_at", F.lit(at))
+                added["quarantine"] = self._write("quarantine", closed, name)
+                added["facts"] = self._write("facts", judged.where("status = 'accepted'").select(*_names(FACT_SCHEMA)).withColumn("day", F.to_date("ts")).hint("rebalance", "day"), name)
+            finally:
+                judged.unpersist()
+            if added["facts"]:
+                fresh = self._read("facts", added["facts"])
+                added |= {"rollup": self._write("rollup", month_masks(fresh), name), "dirty": self._mark(fresh, name)}
+                if recent_minutes:
+                    added["recent"] = self._remember(fresh.withColumn("received_at", F.lit(at)), name)
+            if self._add(added, {}, recent_minutes, unchanged={day: parts[day] for day in added["quarantine"]}):
+                return self._read("replays", added["replays"]).select("quarantine_id", "outcome", "reason")
+        raise StoreConflict
+
     # --- upkeep ---
 
     def compact(self, name: str, least: int = 2, keep: Callable[[str], bool] = lambda part: True) -> int:
         """Merges the directories of each partition (that ``keep`` chooses by its value) that has at least ``least``; answers do not change.
 
-        Rollup rows are merged to one per key; facts and quarantine rows are kept as they are, copies too, since
-        which copy counts is decided on reading.  Returns the number of partitions rewritten."""
-        before = {p: b for p, b in self.state()["tables"][name].items() if len(b) >= least and keep(p)}
+        Rollup rows are merged to one per key, facts to one per identity (the copy that arrived first), and the directory says
+        so by its name; other rows are kept as they are.  Returns the number of partitions rewritten."""
+        before = {p: b for p, b in self.state()["tables"][name].items() if len(b) >= least and keep(p) and not (name == "facts" and _is_unique(b))}
         if not before:
             return 0
         rows, column = self._read(name, before), TABLES[name][1]
-        rows = merged(rows) if name == "rollup" else rows.hint("rebalance", column)
+        rows = merged(rows) if name == "rollup" else (dedup_earliest(rows) if name == "facts" else rows).hint("rebalance", column)
         order = {"facts": ["project_id", "event_name", "user_key", "ts"], "rollup": ["project_id", "event_name", "user_key"]}.get(name, ["project_id"])
-        new = self._write(name, rows.sortWithinPartitions(column, *order), f"compact-{uuid.uuid4().hex[:8]}")
+        new = self._write(name, rows.sortWithinPartitions(column, *order), f"{UNIQUE if name == 'facts' else 'compact-'}{uuid.uuid4().hex[:8]}")
 
         def swap(state: dict) -> dict | None:
             parts = state["tables"][name]
@@ -298,7 +404,7 @@ class EventStore:
         day = lambda days: (now.date() - dt.timedelta(days=days)).isoformat()
         months = now.year * 12 + now.month - 1 - ROLLUP_MONTHS
         least = {
-            "facts": day(FACT_DAYS), "sessions": day(FACT_DAYS), "quarantine": day(QUARANTINE_DAYS), "rollup": f"{months // 12:04d}-{months % 12 + 1:02d}-01",
+            "facts": day(FACT_DAYS), "sessions": day(FACT_DAYS), "quarantine": day(QUARANTINE_DAYS), "replays": day(QUARANTINE_DAYS), "rollup": f"{months // 12:04d}-{months % 12 + 1:02d}-01",
             "recent": (now - dt.timedelta(minutes=RECENT_MINUTES)).strftime("%Y-%m-%d-%H"),
         }
 
@@ -329,6 +435,19 @@ class EventStore:
         return gone
 
 
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _is_unique(batches: list[str]) -> bool:
+    return len(batches) == 1 and batches[0].startswith(UNIQUE)
+
+
+def _among(days: Days | None) -> Callable[[str], bool]:
+    """Whether a partition whose value begins with a day lies in the range."""
+    return lambda part: days is None or days.start.isoformat() <= part[:10] <= days.end.isoformat()
+
+
 def expired(table: str, df: DataFrame, now: dt.datetime) -> DataFrame:
     """The rows of a table that are still kept at ``now``."""
     day = F.lit(now.date())
