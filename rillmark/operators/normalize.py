@@ -293,9 +293,10 @@ def normalize(df: DataFrame, snapshot: Snapshot, key: str | None = None) -> Data
 def mark_duplicates(rows: DataFrame) -> DataFrame:
     """Accepted events after the first of their message id become ``duplicate``; others are untouched.
 
-    One window over all rows, so that what makes them runs once; rows that cannot be duplicates are dealt by position."""
+    One window over all rows, so that what makes them runs once; rows that cannot be duplicates are dealt by position and arrival."""
     accepted = F.col("status") == "accepted"
-    first = Window.partitionBy("project_id", accepted, F.when(accepted, F.col("message_id")).otherwise(F.col("pos").cast("string"))).orderBy("pos")
+    other = F.xxhash64("pos", "received_at", "quarantine_id").cast("string")
+    first = Window.partitionBy("project_id", accepted, F.when(accepted, F.col("message_id")).otherwise(other)).orderBy("pos")
     again = accepted & (F.row_number().over(first) > 1)
     marked = rows.withColumn("_again", again)
     marked = marked.withColumn("reason", F.when(F.col("_again"), "repeated within the batch").otherwise(F.col("reason")))

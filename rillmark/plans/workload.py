@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -181,6 +182,52 @@ def _stream(sampled: bool):
     return query
 
 
+def _answer(ask):
+    """A question to a store that was loaded in batches and compacted, with copies that arrived after that on some days."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        from ..sources.answers import Answers
+        from ..streaming.loader import stored_facts
+
+        return ask(Answers(stored_facts(spark, facts(spark, sf), late_copies=True)))
+
+    return query
+
+
+def _by_user(ask):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        import uuid
+
+        from ..sources.answers import facts_by_user
+        from ..streaming.loader import stored_facts
+
+        return ask(facts_by_user(stored_facts(spark, facts(spark, sf)), f"by_user_{uuid.uuid4().hex}", buckets=8))
+
+    return query
+
+
+def _replayed_set(spark: SparkSession, sf: str) -> DataFrame:
+    """All events that had no schema are replayed in one job once it is registered; what became of each, and the versions that count."""
+    from ..operators.normalize import ingest
+    from ..sources.generate import demo_registry, raw_events
+    from ..sources.store import EventStore
+    from ..streaming.loader import work_dir
+
+    registry = demo_registry(sampled=False)
+    store = EventStore(spark, f"{work_dir(spark)}/store")
+    store.load(ingest(raw_events(spark, sf), registry.snapshot()), 0, recent_minutes=None)
+    registry.put_schema(PROJECT, "error", 1, registry.snapshot().find(PROJECT, "view", 1)[1])
+    outcomes = store.replay_open(registry.snapshot(), PROJECT, dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc), "no schema is registered for event 'error'", recent_minutes=None)
+    versions = Q.latest(store.quarantine()).join(outcomes.select("quarantine_id", "outcome"), "quarantine_id", "left")
+    return versions.groupBy("status", F.coalesce("outcome", F.lit("")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def _remembering(spark: SparkSession, sf: str) -> DataFrame:
+    from ..streaming.loader import stream_remembering
+
+    return stream_remembering(spark, sf)
+
+
 def _two_streams(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming.loader import stream_twice
 
@@ -361,6 +408,20 @@ _ENTRIES: dict[str, tuple] = {
         _recent,
         f"WITH {RAW_SQL}, again AS (SELECT CASE WHEN status = 'accepted' AND pos % 2 = 0 THEN 'duplicate' ELSE status END AS status, "
         "CASE WHEN status = 'accepted' AND pos % 2 = 0 THEN 'already accepted' WHEN status = 'duplicate' THEN 'repeated within the batch' END AS why FROM outcome) SELECT status, why, count(*) AS n FROM again GROUP BY ALL"),
+    "answer_funnel": (_answer(lambda a: a.funnel(FUNNEL4)), _funnel_sql(FUNNEL4, HALF)),
+    "answer_retention_rollup": (_answer(lambda a: a.retention(VIEWS)), _retention_sql(VIEWS, HALF)),
+    "answer_retention_events": (_answer(lambda a: a.retention(replace(VIEWS, source="events"))), _retention_sql(VIEWS, HALF)),
+    "answer_segment": (_answer(lambda a: a.segment(Segment(JANUARY, project=PROJECT))), _segment_sql(Segment(JANUARY, project=PROJECT), sampled=HALF)),
+    "answer_late_events": (_answer(lambda a: a.late_events(Segment(JANUARY, project=PROJECT))), _segment_sql(Segment(JANUARY, project=PROJECT), late=True)),
+    "answer_sessions": (_answer(lambda a: a.sessions(Sessions(JANUARY, project=PROJECT))), _SESSIONS_DAILY_SQL),
+    "by_user_funnel": (_by_user(lambda table: funnel(table, FUNNEL4)), _funnel_sql(FUNNEL4, HALF)),
+    "by_user_retention": (_by_user(lambda table: R.retention_from_events(table, VIEWS)), _retention_sql(VIEWS, HALF)),
+    "quarantine_replay_set": (
+        _replayed_set,
+        f"""WITH {RAW_SQL}, r AS (SELECT *, CASE WHEN rejected NOT LIKE 'no schema %' THEN '' WHEN pos % 47 = 0 OR pos % 53 = 0 THEN 'still invalid'
+            WHEN row_number() OVER (PARTITION BY message_id, rejected LIKE 'no schema %' AND NOT (pos % 47 = 0 OR pos % 53 = 0) ORDER BY t + CASE WHEN pos % 20 = 0 THEN 10800000 ELSE 1000 END) > 1 THEN 'duplicate'
+            ELSE 'accepted' END AS outcome FROM outcome WHERE status = 'quarantined')
+        SELECT CASE WHEN outcome IN ('accepted', 'duplicate') THEN 'replayed' ELSE 'open' END AS status, outcome, count(*) AS n FROM r GROUP BY ALL"""),
     "store_facts": (
         _store(lambda store: X.dedup_earliest(store.facts()).select("day", "event_name", "user_key", "ts", "message_id", "received_at", "is_late")),
         f"WITH {CANONICAL_SQL} SELECT ts::DATE AS day, event_name, user_key, ts, message_id, make_timestamp(received_ms * 1000) AS received_at, is_late FROM deduped"),
@@ -374,6 +435,11 @@ _ENTRIES: dict[str, tuple] = {
         _two_streams,
         f"WITH {RAW_SQL.replace('PARTITION BY message_id,', 'PARTITION BY message_id, pos % 2,')} "
         "SELECT event_name, count(DISTINCT (user_id, t, message_id)) AS n, count(DISTINCT user_id) AS users FROM outcome WHERE status = 'accepted' GROUP BY ALL"),
+    "stream_remembering": (
+        _remembering,
+        f"""WITH {RAW_SQL}, arrived AS (SELECT *, t + CASE WHEN pos % 20 = 0 THEN 10800000 ELSE 1000 END AS ms FROM judged WHERE rejected IS NULL),
+            told AS (SELECT *, ms - lag(ms) OVER (PARTITION BY message_id ORDER BY ms, pos) AS since FROM arrived)
+        SELECT event_name, count(DISTINCT (user_id, t, message_id)) AS n, count(DISTINCT user_id) AS users FROM told WHERE since IS NULL OR since > 600000 GROUP BY ALL"""),
     "stream_unsampled": (
         _stream(False),
         f"WITH {RAW_SQL} SELECT event_name, count(DISTINCT (user_id, t, message_id)) AS n, count(DISTINCT user_id) AS users FROM outcome WHERE status = 'accepted' GROUP BY ALL"),

@@ -58,6 +58,20 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.text(f"{checkpoint.rstrip('/')}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
 
 
+def expected(store: EventStore, batch_id: int, writer: str) -> bool:
+    """Whether the batch is the writer's next one; False if the store has it, an error if it has not got those before."""
+    last = store.applied(writer)
+    if batch_id > last + 1:
+        raise StoreGap(f"batch {batch_id} of {writer} follows batch {last} of this store: the batches between went elsewhere; begin with a new checkpoint")
+    return batch_id > last
+
+
+def load_batch(store: EventStore, rows: DataFrame, batch_id: int, writer: str) -> None:
+    """One batch of rows that are judged already."""
+    if expected(store, batch_id, writer):
+        store.load(rows, batch_id, writer, recent_minutes=None)
+
+
 def batch_writer(
     store: EventStore, catalog: Registry | Snapshot, writer: str | Callable[[], str], retries: int = 5, recent_minutes: int | None = RECENT_MINUTES, metrics: LoadMetrics | None = None,
 ) -> Callable[[DataFrame, int], None]:
@@ -70,11 +84,8 @@ def batch_writer(
     def write(batch: DataFrame, batch_id: int) -> None:
         if not names:
             names.append(writer() if callable(writer) else writer)
-        last = store.applied(names[0])
-        if batch_id <= last:
+        if not expected(store, batch_id, names[0]):
             return
-        if batch_id > last + 1:
-            raise StoreGap(f"batch {batch_id} of {names[0]} follows batch {last} of this store: the batches between went elsewhere; begin with a new checkpoint")
         snapshot = catalog.refresh() if isinstance(catalog, Registry) else catalog
         judged = store.mark_seen(ingest(batch, snapshot), recent_minutes)
         seen = Observation()
@@ -231,8 +242,21 @@ def stream_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded(store)
 
 
-def stored_facts(spark: SparkSession, facts: DataFrame, parts: int = 3) -> EventStore:
-    """A store that got ``facts`` in batches, one of them twice, and was compacted in between."""
+def stream_remembering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's events with copies told by the stream's state: ``event_name, n, users`` of the store."""
+    from ..sources.generate import demo_snapshot
+    from .recent import start_remembering
+
+    root = work_dir(spark)
+    store = EventStore(spark, f"{root}/store")
+    start_remembering(event_stream(spark, sf_dir), store, demo_snapshot(False), f"{root}/checkpoint").awaitTermination()
+    return loaded(store)
+
+
+def stored_facts(spark: SparkSession, facts: DataFrame, parts: int = 3, late_copies: bool = False) -> EventStore:
+    """A store that got ``facts`` in batches, one of them twice, and was compacted in between.
+
+    With ``late_copies`` those of every third day arrive once more, an hour later, after the compaction."""
     from ..operators.normalize import SCHEMA
 
     store = EventStore(spark, f"{work_dir(spark)}/store")
@@ -244,6 +268,8 @@ def stored_facts(spark: SparkSession, facts: DataFrame, parts: int = 3) -> Event
             store.load(rows.where(part == batch), batch)
         if not batch:
             store.compact("rollup", 1)
-    store.compact("facts")
+    store.compact("facts", 1)
+    if late_copies:
+        store.load(rows.where(F.dayofmonth("ts") % 3 == 0).withColumn("received_at", F.expr("received_at + interval 1 hour")), parts)
     store.sessionize()
     return store
