@@ -1,9 +1,9 @@
 """Validation and normalisation of raw events.
 
 A raw event becomes accepted, sampled_out or quarantined (with the first reason that applies,
-as text); ``duplicate`` is decided among the accepted ones of a batch.  JSON is read once per
-event in an Arrow map, because repeated keys, number text and up to ten reasons per event have
-no built-in expression; the rules that columns can express are given as columns as well.
+as text); ``duplicate`` is decided among the accepted ones of a batch.  Events that meet all rules
+are judged by column expressions (``accept``).  The rest, as a rule few, goes through an Arrow map that
+says why: repeated keys and up to ten reasons in the order of the text have no built-in expression.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from ..sources.registry import Property, Settings, Snapshot, Spec
 MESSAGE_ID = re.compile(r"[!-~]{1,128}")
 TIMESTAMP = re.compile(r"(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(?:[Zz]|([+-])(\d{2}):?(\d{2}))")
 MAX_ID, MAX_STRING, MAX_REPORTED, MAX_NAME, MAX_PAYLOAD = 256, 1_024, 10, 64, 64 * 1_024
-MAX_BATCH, MAX_REQUEST = 500, 4 * 1_024 * 1_024
+MAX_BATCH, MAX_REQUEST, MAX_DEPTH = 500, 4 * 1_024 * 1_024, 64
+ESCAPED_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
 CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")  # the category of control characters, whole
 REDACTED = "[redacted]"
 LATE, FUTURE, RETENTION = dt.timedelta(hours=2), dt.timedelta(minutes=5), dt.timedelta(days=90)
@@ -89,7 +90,24 @@ def _refuse(token: str):
 
 
 def read_json(raw: str | None):
-    return json.loads(raw or "", object_pairs_hook=Pairs, parse_constant=_refuse)
+    """The value of a JSON text; an error if it does not read, or is nested deeper than ``MAX_DEPTH``."""
+    value = json.loads(raw or "", object_pairs_hook=Pairs, parse_constant=_refuse)
+    if raw.count("[") + raw.count("{") > MAX_DEPTH:
+        level = [value]
+        for _ in range(MAX_DEPTH):
+            level = [v for x in level if isinstance(x, list) for v in ((p[1] for p in x) if isinstance(x, Pairs) else x)]
+        if any(isinstance(x, list) for x in level):
+            raise ValueError("nested too deep")
+    return _mended(value) if ESCAPED_SURROGATE.search(raw) else value
+
+
+def _mended(value):
+    """Halves of surrogate pairs, which no text can hold, become replacement characters."""
+    if isinstance(value, str):
+        return value.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    if isinstance(value, Pairs):
+        return Pairs((_mended(k), _mended(v)) for k, v in value)
+    return [_mended(v) for v in value] if isinstance(value, list) else value
 
 
 def utf16_length(text: str) -> int:
@@ -267,7 +285,19 @@ def rows_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
 def normalize(df: DataFrame, snapshot: Snapshot, key: str | None = None) -> DataFrame:
     """Rows of ``SCHEMA`` from ``project_id, raw, received_at, pos``; in-batch duplicates are not marked yet.
 
+    Events that meet all rules are judged by columns (see ``accept``), the others one by one for their reason.
     The text column ``key``, if named, comes out beside them under that name."""
+    from .accept import accepted_rows, judged
+
+    inputs = ["project_id", "raw", F.col("received_at").cast("timestamp").alias("received_at"), F.col("pos").cast("long").alias("pos")]
+    events = judged(df.select(*inputs, *([F.col(key).cast("string").alias("key")] if key else [])), snapshot)
+    names = [f.split()[0] for f in SCHEMA.split(", ")] + ["key"] * bool(key)
+    rest = events.where("not fits").select("project_id", "raw", "received_at", "pos", *["key"] * bool(key))
+    return accepted_rows(events, names).unionByName(one_by_one(rest, snapshot, bool(key)))
+
+
+def one_by_one(df: DataFrame, snapshot: Snapshot, key: bool = False) -> DataFrame:
+    """The same by the rules on one event, for any events."""
     ship_code(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(snapshot)  # bounded by the catalog's limits
 
@@ -286,8 +316,7 @@ def normalize(df: DataFrame, snapshot: Snapshot, key: str | None = None) -> Data
             arrays = [pa.array(c, f.type) for c, f in zip(columns, target, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays + list(batch.columns[4:]), names=target.names + ["key"] * bool(key))
 
-    inputs = ["project_id", "raw", F.col("received_at").cast("timestamp").alias("received_at"), F.col("pos").cast("long").alias("pos")]
-    return df.select(*inputs, *([F.col(key).cast("string").alias("key")] if key else [])).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def mark_duplicates(rows: DataFrame) -> DataFrame:
