@@ -25,6 +25,7 @@ from ..functions.numbers import canonical
 from ..functions.ship import ship_code
 from ..plans.requests import EVENT_NAME, RequestError
 from ..sources.registry import Property, Settings, Snapshot, Spec
+from .reasons import BAD_IDENTITY, BAD_VERSION, IN_FUTURE, MUST_BE, NO_EVENT, NO_IDENTITY, NO_MESSAGE_ID, NO_TIMESTAMP, NOT_OBJECT, NOT_PROPERTIES, TOO_LARGE, TOO_OLD
 
 MESSAGE_ID = re.compile(r"[!-~]{1,128}")
 TIMESTAMP = re.compile(r"(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(?:[Zz]|([+-])(\d{2}):?(\d{2}))")
@@ -35,20 +36,6 @@ CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")  # the category of control characte
 REDACTED = "[redacted]"
 LATE, FUTURE, RETENTION = dt.timedelta(hours=2), dt.timedelta(minutes=5), dt.timedelta(days=90)
 
-# Reasons that clients see and match.
-NOT_OBJECT = "an event must be a JSON object"
-NO_MESSAGE_ID = "messageId is required: printable ASCII without spaces, at most 128 characters, generated once per event and reused on retry"
-NO_EVENT = "event is required: a name starting with a letter, using letters, digits and _ . : -, at most 128 characters"
-NO_IDENTITY = "userId or anonymousId is required"
-BAD_IDENTITY = "userId and anonymousId are limited to 256 characters without control characters"
-NO_TIMESTAMP = "timestamp is required: ISO 8601 with a UTC offset or Z, for example 2026-09-23T10:15:00.000Z"
-BAD_VERSION = "version, when present, must be an integer between 1 and 65535"
-IN_FUTURE = "timestamp is more than 5 minutes ahead of the collector clock"
-TOO_OLD = "timestamp is older than the 90 day retention period"
-NOT_PROPERTIES = "properties must be a JSON object"
-MUST_BE = {"string": "a string", "number": "a finite number", "integer": "an integer", "boolean": "a boolean"}
-TOO_LARGE = " (payload not kept: larger than 64 KiB)"
-
 SCHEMA = (
     "project_id string, status string, reason string, event_name string, user_key long, ts timestamp, message_id string, user_id string, anonymous_id string, "
     "schema_version int, properties map<string,string>, received_at timestamp, is_late boolean, sample_threshold int, sample_bucket int, payload string, quarantine_id string, pos long"

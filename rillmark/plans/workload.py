@@ -158,9 +158,10 @@ def _shared(sql: str) -> str:
 
 
 def _seed(spark: SparkSession, sf: str) -> DataFrame:
+    """The load that the customers would make."""
     from ..sources.generate import seed_shape
 
-    return seed_shape(spark, 2_000)
+    return seed_shape(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id")))
 
 
 def _normalize(sampled: bool):
@@ -256,9 +257,14 @@ def _found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.generate import demo_snapshot
+    """The catalog with a schema for every event that occurs, listed."""
+    from ..sources.generate import demo_registry
 
-    return demo_snapshot().listing(spark, PROJECT)
+    registry = demo_registry()
+    spec = registry.snapshot().find(PROJECT, "view", 1)[1]
+    for row in spark.read.parquet(f"{sf}/events.parquet").select("event_type").distinct().collect():  # as many as a catalog holds
+        registry.put_schema(PROJECT, row[0], 1, spec)
+    return registry.snapshot().listing(spark, PROJECT)
 
 
 def _buckets(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,22 +306,27 @@ def _recent(spark: SparkSession, sf: str) -> DataFrame:
     return again.groupBy("status", F.when(F.col("status") == "duplicate", F.col("reason")).alias("why")).agg(F.count("*").alias("n"))
 
 
+VALUES = 40
+
+
 def _evolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Schemas follow the events: every day proposes the values seen so far as a property's list of values, and then, day by day
+    again, so few of them as were seen then.  What the registry made of each proposal."""
     from ..sources.registry import Property, Registry, Spec
 
-    first = {"a": Property("string", False, ("x", "y")), "b": Property("number", True)}
-    cases = {
-        "1 first": first, "2 same": first, "3 optional added": first | {"c": Property("boolean")}, "4 required added": first | {"c": Property("boolean"), "d": Property("string", True)},
-        "5 removed": {"a": first["a"]}, "6 retyped": first | {"c": Property("string")}, "7 value added": first | {"a": Property("string", False, ("x", "y", "z")), "c": Property("boolean")},
-        "8 value removed": first | {"a": Property("string", False, ("x",)), "c": Property("boolean")}, "9 invalid": {"9": Property("blob", True, ("x", "x"))},
-    }
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_type", F.dayofmonth("ts").alias("day"), (F.col("event_id") % VALUES).cast("string").alias("value"))
+    firsts = events.groupBy("event_type", "value").agg(F.min("day").alias("day"))
+    known = firsts.groupBy("event_type").agg(F.collect_list(F.struct("day", "value")).alias("values"))
+    days = events.groupBy("event_type").agg(F.sort_array(F.collect_set("day")).alias("days"))
     registry, rows = Registry(), []
     registry.put_project(PROJECT)
-    for case, properties in cases.items():
-        outcome, reasons = registry.put_schema(PROJECT, "event", 1, Spec(properties))
-        rows.append((case, outcome, len(reasons)))
-    rows.append(("of no project", registry.put_schema("none", "event", 1, Spec(first))[0], 0))
-    return spark.createDataFrame(rows, "case string, outcome string, n_reasons int")
+    for name, values, own in sorted(map(tuple, known.join(days, "event_type").collect())):  # at most VALUES values and 31 days of an event
+        for phase in ("grow", "shrink"):
+            for day in own:
+                seen = tuple(sorted(v["value"] for v in values if v["day"] <= day))
+                outcome, reasons = registry.put_schema(PROJECT, name, 1, Spec({"kind": Property("string", False, seen), "value": Property("number", True)}))
+                rows.append((name, phase, day, outcome, len(reasons)))
+    return spark.createDataFrame(rows, "event_name string, phase string, day int, outcome string, n_reasons int")
 
 
 _ENTRIES: dict[str, tuple] = {
@@ -390,12 +401,15 @@ _ENTRIES: dict[str, tuple] = {
         f"WITH {_QUARANTINE_CTE} SELECT quarantine_id, message_id, status FROM newest WHERE quarantine_id = (SELECT min(quarantine_id) FROM newest)"),
     "schema_listing": (
         _listing,
-        """SELECT event_name, 1 AS version, '{"k": {"type": "integer", "required": false}, "value": {"type": "number", "required": true}, "email": {"type": "string", "required": false}, """
-        """"kind": {"type": "string", "required": false, "enum": ["a", "b"]}}' AS spec FROM (SELECT unnest(['click', 'purchase', 'signup', 'view']) AS event_name)"""),
+        """SELECT DISTINCT event_type AS event_name, 1 AS version, '{"k": {"type": "integer", "required": false}, "value": {"type": "number", "required": true}, "email": {"type": "string", "required": false}, """
+        """"kind": {"type": "string", "required": false, "enum": ["a", "b"]}}' AS spec FROM events"""),
     "schema_evolution": (
         _evolution,
-        "SELECT * FROM (VALUES ('1 first', 'created', 0), ('2 same', 'unchanged', 0), ('3 optional added', 'updated', 0), ('4 required added', 'breaking', 1), ('5 removed', 'breaking', 2), "
-        "('6 retyped', 'breaking', 1), ('7 value added', 'updated', 0), ('8 value removed', 'breaking', 2), ('9 invalid', 'invalid', 4), ('of no project', 'not_found', 0)) AS t(\"case\", outcome, n_reasons)"),
+        f"""WITH e AS (SELECT event_type, day(ts)::INTEGER AS day, event_id % {VALUES} AS value FROM events), f AS (SELECT event_type, value, min(day) AS first FROM e GROUP BY ALL),
+        d AS (SELECT DISTINCT event_type, day FROM e), sizes AS (SELECT d.event_type, d.day, count(*) AS size FROM d JOIN f ON f.event_type = d.event_type AND f.first <= d.day GROUP BY ALL),
+        steps AS (SELECT *, lag(size) OVER w AS before, max(size) OVER (PARTITION BY event_type) AS whole FROM sizes WINDOW w AS (PARTITION BY event_type ORDER BY day))
+        SELECT event_type AS event_name, 'grow' AS phase, day, CASE WHEN before IS NULL THEN 'created' WHEN size = before THEN 'unchanged' ELSE 'updated' END AS outcome, 0 AS n_reasons FROM steps
+        UNION ALL SELECT event_type, 'shrink', day, CASE WHEN size = whole THEN 'unchanged' ELSE 'breaking' END, (whole - size)::INTEGER FROM steps"""),
     "user_buckets": (
         _buckets,
         "WITH k AS (SELECT ((event_id * 7919 - 50000) * 1000000007)::HUGEINT AS key FROM events), b AS (SELECT ((key + CASE WHEN key < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) % 10000)::INTEGER AS b FROM k) "
@@ -427,7 +441,7 @@ _ENTRIES: dict[str, tuple] = {
         f"WITH {CANONICAL_SQL} SELECT ts::DATE AS day, event_name, user_key, ts, message_id, make_timestamp(received_ms * 1000) AS received_at, is_late FROM deduped"),
     "store_rollup": (_store(lambda store: store.rollup()), _MASKS_SQL),
     "store_sessions": (_store(lambda store: store.sessions()), _SESSIONS_SQL + " SELECT * FROM sessions"),
-    "seed_shape": (_seed, seed_sql(2_000)),
+    "seed_shape": (_seed, seed_sql("(SELECT c_custkey AS id FROM customer)")),
     "normalize_outcomes": (_normalize(True), None),
     "normalize_unsampled": (_normalize(False), f"WITH {RAW_SQL} SELECT status, CASE WHEN status = 'duplicate' THEN 'repeated within the batch' ELSE rejected END AS reason, count(*) AS n FROM outcome GROUP BY ALL"),
     "stream_load": (_stream(True), None),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.reasons import MUST_BE, NO_EVENT, NO_IDENTITY, NO_MESSAGE_ID, NO_TIMESTAMP, NOT_OBJECT
 from .registry import Property, Registry, Settings, Snapshot, Spec
 
 PROJECT = "p-1"
@@ -60,11 +61,11 @@ def _draw_sql(key: str, salt: int, n: int) -> str:
 ACTIVATE, AFTER, BUY, TIMES, START, LATER = range(1, 7)
 
 
-def seed_rows(spark: SparkSession, users: int, days: int = 30) -> DataFrame:
-    """``id, event_name, ts`` of a generated load: every user signs up, 45 of 100 activate, 30 of 100 of those buy
+def seed_rows(users: DataFrame, days: int = 30) -> DataFrame:
+    """``id, event_name, ts`` of a generated load, from the ``id`` of its users: every user signs up, 45 of 100 activate, 30 of 100 of those buy
     one to three times, and views and feature uses come four to one."""
     own = F.col("id")
-    base = spark.range(users).select("id", draw(own, START, days * 86_400_000).alias("t"))
+    base = users.select("id", draw(own, START, days * 86_400_000).alias("t"))
     rows = lambda df, name: df.select("id", F.lit(name).alias("event_name"), F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("t")).alias("ts"))
     active = base.where(draw(own, ACTIVATE, 100) < 45).withColumn("t", F.col("t") + draw(own, AFTER, 3 * 86_400_000))
     times = F.sequence(F.lit(0).cast("long"), draw(own, TIMES, 3))
@@ -74,13 +75,13 @@ def seed_rows(spark: SparkSession, users: int, days: int = 30) -> DataFrame:
     return rows(base, "signup").unionByName(rows(active, "activate")).unionByName(rows(buyers, "purchase")).unionByName(views)
 
 
-def seed_shape(spark: SparkSession, users: int, days: int = 30) -> DataFrame:
+def seed_shape(users: DataFrame, days: int = 30) -> DataFrame:
     """``event_name, n, users, first, last`` of the generated load."""
-    return seed_rows(spark, users, days).groupBy("event_name").agg(F.count("*").alias("n"), F.count_distinct("id").alias("users"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return seed_rows(users, days).groupBy("event_name").agg(F.count("*").alias("n"), F.count_distinct("id").alias("users"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
-def seed_sql(users: int, days: int = 30) -> str:
-    return f"""WITH base AS (SELECT range AS id, {_draw_sql("range", START, days * 86_400_000)} AS t FROM range({users})),
+def seed_sql(users: str, days: int = 30) -> str:
+    return f"""WITH base AS (SELECT id, {_draw_sql("id", START, days * 86_400_000)} AS t FROM {users}),
     active AS (SELECT id, t + {_draw_sql("id", AFTER, 3 * 86_400_000)} AS t FROM base WHERE {_draw_sql("id", ACTIVATE, 100)} < 45),
     buyers AS (SELECT id, t + {_draw_sql("(id * 4 + n)", LATER, 10 * 86_400_000)} AS t FROM active, range(0, 3) AS r(n) WHERE {_draw_sql("id", BUY, 100)} < 30 AND n <= {_draw_sql("id", TIMES, 3)}),
     everything AS (SELECT id, t, 'signup' AS event_name FROM base UNION ALL SELECT id, t, 'activate' FROM active UNION ALL SELECT id, t, 'purchase' FROM buyers
@@ -88,18 +89,22 @@ def seed_sql(users: int, days: int = 30) -> str:
     SELECT event_name, count(*) AS n, count(DISTINCT id) AS users, make_timestamp((1704067200000 + min(t)) * 1000) AS first, make_timestamp((1704067200000 + max(t)) * 1000) AS last FROM everything GROUP BY ALL"""
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 #: Outcomes of :func:`raw_events` without sampling, for DuckDB, as the head of a WITH clause.
-RAW_SQL = """
+RAW_SQL = f"""
 judged AS (
     SELECT event_id AS pos, user_id, epoch_us(ts) // 1000 AS t, event_type AS event_name, 'e-' || (event_id - CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END) AS message_id, CASE
-        WHEN event_id % 59 = 0 THEN 'an event must be a JSON object'
-        WHEN event_id % 29 = 0 THEN 'messageId is required: printable ASCII without spaces, at most 128 characters, generated once per event and reused on retry'
-        WHEN event_id % 37 = 0 THEN 'event is required: a name starting with a letter, using letters, digits and _ . : -, at most 128 characters'
-        WHEN event_id % 41 = 0 THEN 'userId or anonymousId is required'
-        WHEN event_id % 43 = 0 THEN 'timestamp is required: ISO 8601 with a UTC offset or Z, for example 2026-09-23T10:15:00.000Z'
+        WHEN event_id % 59 = 0 THEN {_quoted(NOT_OBJECT)}
+        WHEN event_id % 29 = 0 THEN {_quoted(NO_MESSAGE_ID)}
+        WHEN event_id % 37 = 0 THEN {_quoted(NO_EVENT)}
+        WHEN event_id % 41 = 0 THEN {_quoted(NO_IDENTITY)}
+        WHEN event_id % 43 = 0 THEN {_quoted(NO_TIMESTAMP)}
         WHEN event_type = 'error' THEN 'no schema is registered for event ''error'''
         WHEN event_id % 47 = 0 OR event_id % 53 = 0 THEN concat_ws('; ',
-            CASE WHEN event_id % 47 = 0 THEN 'property ''value'' must be a finite number' END,
+            CASE WHEN event_id % 47 = 0 THEN 'property ''value'' must be {MUST_BE["number"]}' END,
             CASE WHEN event_id % 53 = 0 THEN 'property ''extra'' is not declared in ' || event_type || '@1' END)
         END AS rejected
     FROM events
