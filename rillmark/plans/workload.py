@@ -19,6 +19,7 @@ from ..operators import sessions as Z
 from ..operators.funnel import funnel
 from ..sources.canonical import CANONICAL_SQL, PROJECT, SHARED_SQL, facts, shared_facts
 from ..sources.generate import RAW_SQL, seed_sql
+from ..sources.odd_events import ODD_SQL, outcomes_by_rule
 from .requests import Days, Funnel, PropertyFilter, Retention, Sampled, Segment, Sessions
 
 D = dt.date
@@ -244,6 +245,20 @@ def _store(read):
     return query
 
 
+def _expired(store) -> DataFrame:
+    """What is left on the 15th of April: ninety days of facts and sessions, and the whole rollup."""
+    store.expire(dt.datetime(2024, 4, 15))
+    tables = {"facts": store.facts(), "rollup": store.rollup().withColumn("day", F.col("month")), "sessions": store.sessions().select("day", "user_key").distinct()}
+    counted = [table.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.min("day").alias("first")) for name, table in tables.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+def _viewed(store) -> DataFrame:
+    """The committed tables through their SQL views."""
+    store.views("rillmark_")
+    return store.spark.sql("SELECT day, count(*) AS events, (SELECT count(*) FROM rillmark_rollup) AS masks FROM rillmark_facts GROUP BY day")
+
+
 def _next_page(spark: SparkSession, sf: str) -> DataFrame:
     rows = _quarantine(spark, sf).withColumn("quarantine_id", F.concat(F.lit("00000000-0000-0000-0000-"), "quarantine_id"))
     _, cursor = Q.page(rows, PROJECT, 20)
@@ -442,6 +457,16 @@ _ENTRIES: dict[str, tuple] = {
     "store_rollup": (_store(lambda store: store.rollup()), _MASKS_SQL),
     "store_sessions": (_store(lambda store: store.sessions()), _SESSIONS_SQL + " SELECT * FROM sessions"),
     "seed_shape": (_seed, seed_sql("(SELECT c_custkey AS id FROM customer)")),
+    "normalize_rules": (outcomes_by_rule, ODD_SQL),
+    "store_expired": (
+        _store(_expired),
+        f"WITH {CANONICAL_SQL} SELECT 'facts' AS name, count(*) AS n, min(ts::DATE) AS first FROM deduped WHERE ts::DATE >= DATE '2024-01-16' "
+        f"UNION ALL SELECT 'rollup', count(DISTINCT (event_name, date_trunc('month', ts), user_key)), min(date_trunc('month', ts))::DATE FROM facts WHERE NOT is_late "
+        f"UNION ALL SELECT 'sessions', count(DISTINCT (ts::DATE, user_key)), min(ts::DATE) FROM deduped WHERE NOT is_late AND ts::DATE >= DATE '2024-01-16'"),
+    "store_views": (
+        _store(_viewed),
+        f"WITH {CANONICAL_SQL}, d AS (SELECT ts::DATE AS day, count(*) AS events FROM deduped GROUP BY ALL), m AS (SELECT count(DISTINCT (event_name, date_trunc('month', ts), user_key)) AS masks FROM facts WHERE NOT is_late) "
+        "SELECT day, events, masks FROM d CROSS JOIN m"),
     "normalize_outcomes": (_normalize(True), None),
     "normalize_unsampled": (_normalize(False), f"WITH {RAW_SQL} SELECT status, CASE WHEN status = 'duplicate' THEN 'repeated within the batch' ELSE rejected END AS reason, count(*) AS n FROM outcome GROUP BY ALL"),
     "stream_load": (_stream(True), None),
