@@ -100,6 +100,8 @@ def alignments(index: DataFrame, items: DataFrame, size: int, lists: int = LISTS
     """``doc_id, key, item, delta``: the segment's word i may stand at document word ``delta + i``; the
     ``lists`` rarest words of some window do."""
     counts = index.groupBy("word").count()
+    if _few(items.select(F.explode("item_words").alias("word")).distinct(), BROADCAST_TERMS):
+        counts = F.broadcast(counts)  # a row for each word of the items; else a common word's places in them meet in one task
     n = F.size("item_words")
     windows = items.select("item", "item_words", F.explode(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))).alias("start"))
     words = windows.select("item", "start", F.posexplode(F.slice("item_words", F.col("start") + 1, size)).alias("offset", "word"))
