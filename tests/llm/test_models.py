@@ -70,6 +70,67 @@ def test_a_text_that_does_not_fit_shuts_out_no_other(spark):
     assert toxicity.sample(docs, labels.limit(0), "toxic")[0].count() == 0
 
 
+def test_scores_of_toxicity_equal_a_plain_recomputation(spark, sf_dir):
+    """Every document's score from its words, by forward-backward in logarithms, token by token, and the link."""
+    import math
+
+    docs, marks = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, marks, "toxic")
+    t, found = np.array(model["transition"]), {r["doc_id"]: (r["score"], r["n_tokens"]) for r in toxicity.score(docs, model).collect()}
+    for key, text in docs.select("doc_id", "text").collect():
+        words = toxicity.WORDS.findall(text or "")
+        emission = [model["bias"] + sum(model["emission"].get(f, 0.0) for f in toxicity.features(w)) for w in words]
+        n, p = len(words), []
+        if n:
+            e = np.stack([np.zeros(n), np.clip(emission, -30, 30)], 1)
+            alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
+            alpha[0] = e[0] + [0, model["initial"]]
+            for i in range(1, n):
+                alpha[i] = np.logaddexp(alpha[i - 1, 0] + t[0], alpha[i - 1, 1] + t[1]) + e[i]
+            for i in range(n - 2, -1, -1):
+                beta[i] = np.logaddexp(t[:, 0] + (e + beta)[i + 1, 0], t[:, 1] + (e + beta)[i + 1, 1])
+            both = alpha + beta
+            p = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
+        top = min(max(max(p), 1e-4), 1 - 1e-4) if n else None
+        x = (math.log(top / (1 - top)), math.log(1 + sum(p)), math.log(1 + n)) if n else (-8.0, 0.0, 0.0)
+        own = model["link"]
+        z = own["beta"][0] + sum(b * (v - m) / s for b, v, m, s in zip(own["beta"][1:], x, own["mean"], own["spread"], strict=True))
+        assert found[key][1] == n and abs(found[key][0] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-6
+
+
+def test_scores_of_quality_equal_a_plain_recomputation(spark, sf_dir):
+    """The whole model in one matrix on the driver: features, ridge weights, isotonic steps by their max-min form, scores."""
+    docs, marks = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = {r["doc_id"]: r["score"] for r in quality.classify(docs, marks).collect()}
+    fold = dict(map(tuple, docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()))
+    x = {r["doc_id"]: np.array(quality.statistics(r["text"] or "")) for r in docs.collect()}
+    y = {}
+    for r in marks.collect():
+        if r["quality"] in (0, 1) and r["doc_id"] in x:
+            y[r["doc_id"]] = max(float(r["quality"]), y.get(r["doc_id"], 0.0))
+    train = sorted(y)
+    table = np.array([x[i] for i in train])
+    mean, spread = table.mean(axis=0), np.maximum(table.std(axis=0), 1e-6)
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(0, 1 / quality.WIDTH, (quality.N_STATS, quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    phi = lambda rows: np.column_stack([np.ones(len(rows)), np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((np.array(rows) - mean) / spread, -6, 6) @ w + b)])
+    parts = [[i for i in train if fold[i] == flag] for flag in (False, True)]
+    fitting, calibrating = ([i for i in part] if len({y[i] for i in part}) == 2 else train for part in parts)
+    design = phi([x[i] for i in fitting])
+    weights = np.linalg.solve(design.T @ design + quality.RIDGE * np.eye(design.shape[1]), design.T @ np.array([y[i] for i in fitting]))
+    place_of = lambda rows: np.clip((phi(rows) @ weights + 0.5) * quality.BINS / 2 - 0.5, 0, quality.BINS - 1)
+    bins = {}
+    for i, raw in zip(calibrating, phi([x[i] for i in calibrating]) @ weights, strict=True):
+        bins.setdefault(int(min(max(np.floor((raw + 0.5) * quality.BINS / 2), 0), quality.BINS - 1)), []).append(y[i])
+    at = sorted(bins)
+    average = lambda a, z: np.mean([v for k in at[a : z + 1] for v in bins[k]])
+    level = [max(min(average(a, z) for z in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
+    keys = sorted(x)
+    place = place_of([x[i] for i in keys])
+    wanted = np.clip(0.002 + 0.996 * np.interp(place, at, level) + 0.001 * (2 * place / quality.BINS - 1), 0, 1)
+    assert np.allclose([found[i] for i in keys], wanted, atol=1e-6)
+
+
 def test_an_id_labelled_twice_takes_the_greater_label_in_any_order(spark):
     docs = spark.createDataFrame([(i, f"word{i % 7} " * (i + 1)) for i in range(40)], "doc_id long, text string")
     marks = [(i, i % 2) for i in range(40)] + [(i, 1 - i % 2) for i in range(0, 40, 3)]
