@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..operators.facts import dedup_earliest
 from ..operators.funnel import funnel
@@ -72,4 +72,4 @@ def facts_by_user(store: EventStore, name: str, days: Days | None = None, bucket
     rows = dedup_earliest(facts, single).drop("day").repartition(buckets, "user_key").sortWithinPartitions("user_key", "ts")
     written = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "user_key").sortBy("user_key", "ts")
     written.option("path", f"{store.root}/by_user/{name}").saveAsTable(name)
-    return store.spark.table(name).where(F.lit(True))
+    return store.spark.table(name)
