@@ -181,3 +181,25 @@ def test_answers_come_in_order(spark, halved):
     assert days == sorted(days) and len(days) == 2
     steps = [r["step"] for r in funnel(halved, Funnel(("a", "b", "signup", "buy"), Days(D0, D0), 60, project="p")).collect()]
     assert steps == [1, 2, 3, 4]
+
+
+# --- layout ---
+
+
+def test_files_are_sorted_by_their_keys(stored):
+    store, _, _ = stored
+    store.compact("facts", 1)
+    for day, batches in store.state()["tables"]["facts"].items():
+        for file in store.spark.read.parquet(f"{store.root}/facts/batch={batches[0]}/day={day}").inputFiles():
+            keys = [tuple(r) for r in store.spark.read.parquet(file).select("project_id", "event_name", "user_key", "ts").collect()]
+            assert keys == sorted(keys)
+
+
+def test_the_layout_of_sessions_changes_once_and_all_days_are_made_again(stored):
+    store, table, _ = stored
+    store.sessionize()
+    before = sorted(map(tuple, store.sessions().collect()), key=repr)
+    store._commit(lambda state: state | {"steps": [1, 2]})  # a store of the older layout
+    assert store.bootstrap() == [3] and store.sessions().count() == 0
+    assert store.sessionize() == 6 and sorted(map(tuple, store.sessions().collect()), key=repr) == before
+    assert store.bootstrap() == [] and store.sessionize() == 0
