@@ -285,7 +285,7 @@ def _listing(spark: SparkSession, sf: str) -> DataFrame:
 def _buckets(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.identity import bucket
 
-    key = (F.col("event_id") * 7_919 - 50_000) * 1_000_000_007  # of both signs
+    key = (F.col("event_id").cast("decimal(19,0)") * 7_919 - 50_000) * 1_000_000_007  # of both signs, and exact: 64 bits hold those of 1.1 million events
     return spark.read.parquet(f"{sf}/events.parquet").groupBy((bucket(key) % 100).alias("bucket")).agg(F.count("*").alias("n"), F.sum(bucket(key)).alias("total"))
 
 
