@@ -15,6 +15,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from json.encoder import encode_basestring_ascii as quoted
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -76,9 +77,12 @@ def _refuse(token: str):
     raise ValueError(token)
 
 
+DECODER = json.JSONDecoder(object_pairs_hook=Pairs, parse_constant=_refuse)
+
+
 def read_json(raw: str | None):
     """The value of a JSON text; an error if it does not read, or is nested deeper than ``MAX_DEPTH``."""
-    value = json.loads(raw or "", object_pairs_hook=Pairs, parse_constant=_refuse)
+    value = DECODER.decode(raw or "")
     if raw.count("[") + raw.count("{") > MAX_DEPTH:
         level = [value]
         for _ in range(MAX_DEPTH):
@@ -247,11 +251,11 @@ def _dump(value: object, redact: set[str], depth: int = 0) -> str:
         for k, v in value:
             hidden = depth == 1 and k in redact
             inner = redact if depth == 0 and k == "properties" else set()
-            parts.append(f"{json.dumps(k)}:{json.dumps(REDACTED) if hidden else _dump(v, inner, depth + 1)}")
+            parts.append(f"{quoted(k)}:{quoted(REDACTED) if hidden else _dump(v, inner, depth + 1)}")
         return "{" + ",".join(parts) + "}"
     if isinstance(value, list):
         return "[" + ",".join(_dump(v, set(), depth + 2) for v in value) + "]"
-    return json.dumps(value)
+    return quoted(value) if isinstance(value, str) else json.dumps(value)
 
 
 def quarantine_payload(event: object, raw: str | None, redact: set[str]) -> str | None:
@@ -274,13 +278,12 @@ def normalize(df: DataFrame, snapshot: Snapshot, key: str | None = None) -> Data
 
     Events that meet all rules are judged by columns (see ``accept``), the others one by one for their reason.
     The text column ``key``, if named, comes out beside them under that name."""
-    from .accept import accepted_rows, judged
+    from .accept import finished, judged
 
+    ship_code(df.sparkSession)  # before any function that needs it is made
     inputs = ["project_id", "raw", F.col("received_at").cast("timestamp").alias("received_at"), F.col("pos").cast("long").alias("pos")]
     events = judged(df.select(*inputs, *([F.col(key).cast("string").alias("key")] if key else [])), snapshot)
-    names = [f.split()[0] for f in SCHEMA.split(", ")] + ["key"] * bool(key)
-    rest = events.where("not fits").select("project_id", "raw", "received_at", "pos", *["key"] * bool(key))
-    return accepted_rows(events, names).unionByName(one_by_one(rest, snapshot, bool(key)))
+    return finished(events, snapshot, [f.split()[0] for f in SCHEMA.split(", ")] + ["key"] * bool(key))
 
 
 def one_by_one(df: DataFrame, snapshot: Snapshot, key: bool = False) -> DataFrame:

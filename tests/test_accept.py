@@ -97,3 +97,18 @@ def test_an_empty_catalog_and_no_events(spark, snapshot):
     df = spark.createDataFrame([("p", '{"messageId":"m","event":"buy","userId":"u","timestamp":"2026-09-23T11:59:00Z"}', NOW, 1)], RAW)
     assert N.normalize(df, Snapshot()).first()["reason"] == "no schema is registered for event 'buy'"
     assert N.normalize(df.limit(0), snapshot).count() == 0 and N.normalize(df.withColumn("key", F.lit("k")), snapshot, "key").first()["key"] == "k"
+
+
+def test_events_are_read_and_judged_once(spark, snapshot, tmp_path):
+    path = str(tmp_path / "raw")
+    spark.createDataFrame([("p", "{}", NOW, 1)], RAW).write.parquet(path)
+    plan = N.ingest(spark.read.parquet(path), snapshot)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and plan.count("parseJson") == 1
+
+
+def test_long_events_are_left_to_the_python_rules(spark, snapshot):
+    event = {"messageId": "m", "event": "buy", "userId": "u", "timestamp": "2026-09-23T11:59:00.000Z", "properties": {"amount": 1}}
+    raws = [json.dumps(event) + " " * 70_000, json.dumps(event | {"more": "x" * 70_000}), json.dumps(event | {"properties": {"amount": 1, "big": "b" * 70_000}})]
+    df = spark.createDataFrame([("p", raw, NOW, i) for i, raw in enumerate(raws)], RAW)
+    assert rows_of(N.normalize(df, snapshot)) == rows_of(N.one_by_one(df, snapshot))
+    assert judged(df, snapshot).where("fits").count() == 0
