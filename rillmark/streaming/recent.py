@@ -1,8 +1,9 @@
 """Recent message ids as state of the stream: a copy that arrives within some minutes is marked.
 
-For every (project, message id) the stream keeps when it was last accepted.  Copies are judged by the
-arrival clock of the events; the state itself is dropped by the wall clock once it is as old, so
-it holds the ids of some minutes and no more.  It is written with the stream's checkpoint, so it survives a restart, and
+For every (project, message id) the stream keeps when it was last accepted.  Ids share a state by their hash (``SHARES`` of them
+for a project), so a batch reads and writes as many states at most, not one for each id.  Copies are judged by the
+arrival clock of the events; an id is dropped by the wall clock once it is as old, so
+the state holds the ids of some minutes and no more.  It is written with the stream's checkpoint, so it survives a restart, and
 an id is remembered only together with the batch that was loaded.  This layer spares the store most copies; counts
 rest on the facts' own deduplication.
 """
@@ -20,33 +21,35 @@ from ..sources.registry import Snapshot
 from ..sources.store import RECENT_MINUTES, EventStore
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: States of a project; part of the state's layout, so another number needs a new checkpoint.
+SHARES = 4_096
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
 def recent_ids(minutes: float) -> StatefulProcessor:
-    """The state of one id.  The class is made here because Spark starts a process of its own for it on the driver, which
-    has not got this package: a class of a function travels whole."""
+    """The state of the ids of one share.  The class is made here because Spark starts a process of its own for it on the driver,
+    which has not got this package: a class of a function travels whole."""
     names, limit = list(NAMES), int(minutes * 60_000)
 
     class RecentIds(StatefulProcessor):
         def init(self, handle) -> None:
-            self.seen = handle.getValueState("seen", "at long", ttlDurationMs=limit)
+            self.seen = handle.getValueState("seen", "ids array<string>, arrived array<long>, kept array<long>", ttlDurationMs=limit)
 
         def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-            rows = sorted(rows, key=lambda r: (r["arrived_ms"] or 0, r["pos"] or 0))
-            if rows[0]["status"] != "accepted":
-                yield from (Row(**{n: r[n] for n in names}) for r in rows)
-                return
-            last = before = self.seen.get()[0] if self.seen.exists() else None
-            for r in rows:
+            now, known, changed = timerValues.getCurrentProcessingTimeInMs(), {}, False
+            if self.seen.exists():
+                known = {i: (at, kept) for i, at, kept in zip(*self.seen.get(), strict=True) if kept + limit > now}
+            for r in sorted(rows, key=lambda r: (r["arrived_ms"] or 0, r["pos"] or 0)):
                 values = {n: r[n] for n in names}
-                if last is not None and r["arrived_ms"] <= last + limit:
-                    values |= {"status": "duplicate", "reason": "already accepted"}
-                else:
-                    last = r["arrived_ms"]
+                if r["status"] == "accepted":
+                    last = known.get(r["message_id"])
+                    if last is not None and r["arrived_ms"] <= last[0] + limit:
+                        values |= {"status": "duplicate", "reason": "already accepted"}
+                    else:
+                        known[r["message_id"]], changed = (r["arrived_ms"], now), True
                 yield Row(**values)
-            if last != before:
-                self.seen.update((last,))
+            if changed:
+                self.seen.update(([*known], [at for at, _ in known.values()], [kept for _, kept in known.values()]))
 
         def close(self) -> None:
             pass
@@ -56,10 +59,10 @@ def recent_ids(minutes: float) -> StatefulProcessor:
 
 def mark_recent(rows: DataFrame, minutes: float = RECENT_MINUTES) -> DataFrame:
     """Normalised rows of a stream; accepted ones whose id was accepted up to ``minutes`` before become ``duplicate``."""
-    # Rows that cannot be duplicates are dealt by position and leave no state; no id has a space.
-    key = F.when(F.col("status") == "accepted", F.col("message_id")).otherwise(F.concat(F.lit(" "), F.coalesce(F.col("pos"), F.lit(0)).cast("string")))
-    keyed = rows.withColumn("project_key", F.coalesce("project_id", F.lit(""))).withColumn("id_key", key).withColumn("arrived_ms", F.unix_millis("received_at"))
-    return keyed.groupBy("project_key", "id_key").transformWithState(
+    # Rows that cannot be duplicates are dealt by position and leave no state.
+    dealt = F.when(F.col("status") == "accepted", F.xxhash64("message_id")).otherwise(F.xxhash64("pos"))
+    keyed = rows.withColumn("project_key", F.coalesce("project_id", F.lit(""))).withColumn("share", F.pmod(dealt, F.lit(SHARES)).cast("int")).withColumn("arrived_ms", F.unix_millis("received_at"))
+    return keyed.groupBy("project_key", "share").transformWithState(
         statefulProcessor=recent_ids(minutes), outputStructType=StructType.fromDDL(SCHEMA), outputMode="append", timeMode="ProcessingTime")
 
 

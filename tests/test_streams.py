@@ -164,3 +164,18 @@ def test_a_thousand_events_are_replayed_in_one_commit(spark, tmp_path):
     assert store.facts().count() == 900 and store.replays().count() == 1_000
     again = {r["outcome"]: r["count"] for r in store.replay_open(registry.snapshot(), "p-1", now).groupBy("outcome").count().collect()}
     assert again == {"still invalid": 51} and store.facts().count() == 900 and store.sessionize() == 1
+
+
+def test_ids_share_states_and_are_told_apart(spark, tmp_path):
+    from rillmark.streaming import recent
+
+    at = lambda i, minute: line(f"m{i}", f"2024-01-05T10:{minute:02d}:00Z", user=f"u{i}", pos=i + 10_000 * minute)
+    store, before, recent.SHARES = EventStore(spark, str(tmp_path / "s")), recent.SHARES, 2
+    try:
+        for minute, ids in ((0, range(40)), (10, range(20, 50)), (12, range(30))):
+            put(tmp_path / "in", f"{minute}.json", [at(i, minute) for i in ids])
+            assert start_remembering(file_source(spark, str(tmp_path / "in"), 100), store, demo_snapshot(False), str(tmp_path / "c")).awaitTermination(120)
+    finally:
+        recent.SHARES = before
+    found = sorted((int(r["message_id"][1:]), r["received_at"].minute) for r in store.facts().collect())
+    assert found == sorted([(i, 0) for i in range(40)] + [(i, 10) for i in range(40, 50)] + [(i, 12) for i in range(30)])
