@@ -71,18 +71,19 @@ def matches(f: PropertyFilter) -> Column:
     return F.coalesce(number > bound if f.operator == "gt" else number < bound, F.lit(False))
 
 
-def dedup_earliest(df: DataFrame, single: Sequence[dt.date] | bool = False) -> DataFrame:
+def dedup_earliest(df: DataFrame, single: Sequence[dt.date] | bool = False, order: Sequence[str] = ()) -> DataFrame:
     """One row per identity: the copy that arrived first.
 
     Filters on columns in which copies agree (all but arrival and lateness) belong in front of
     this, as they shrink the shuffle; filters on lateness belong behind it.  ``single`` says that
     there are no copies, or names days (of the partition column ``day``) without any: their rows
-    are taken as they stand.
+    are taken as they stand.  ``order`` names columns in which copies agree: rows come out sorted by
+    them within their partition, and if they were exchanged by some of them, they stay where they are.
     """
     if single is True:
         return df
     if single:
         alone = F.col("day").isin(*single)
-        return df.where(alone).unionByName(dedup_earliest(df.where(~alone)))
-    first = Window.partitionBy(*IDENTITY).orderBy("received_at")
+        return df.where(alone).unionByName(dedup_earliest(df.where(~alone), order=order))
+    first = Window.partitionBy(*order, *(c for c in IDENTITY if c not in order)).orderBy("received_at")
     return df.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")

@@ -12,26 +12,35 @@ from ..plans.requests import Sessions
 from .facts import dedup_earliest, in_order, millis, of_project
 
 GAP_MS = 30 * 60 * 1000
+#: Sessions lie within these.  Sorting begins with the column that tells most rows apart.
+OWN = ["user_key", "day", "project_id"]
 SESSION_SCHEMA = "project_id string, day date, user_key long, user_id string, session_start timestamp, session_end timestamp, event_count long"
 
 
-def _ready(facts: DataFrame, single: Sequence[dt.date] | bool = False) -> DataFrame:
-    """On-time facts, one of each; lateness is judged on the copy that is kept."""
-    slim = facts.select("project_id", "event_name", "user_key", "ts", "message_id", "user_id", "anonymous_id", "received_at", "is_late", *(["day"] if "day" in facts.columns else []))
-    rows = dedup_earliest(slim, single).where(~F.col("is_late"))
+def _ready(facts: DataFrame, single: bool = False) -> DataFrame:
+    """On-time facts, one of each; lateness is judged on the copy that is kept.
+
+    Copies agree in user and day, so they are searched where the sessions are made: rows are exchanged and sorted once.
+    The exchange leaves out the project: where that is a constant, the windows would not recognise it."""
     shown = F.when(F.col("user_id") != "", F.col("user_id")).otherwise(F.col("anonymous_id"))
-    return rows.select("project_id", F.to_date("ts").alias("day"), "user_key", shown.alias("user_id"), "ts")
+    slim = facts.select("project_id", F.to_date("ts").alias("day"), "event_name", "user_key", "ts", "message_id", shown.alias("user_id"), "received_at", "is_late")
+    rows = slim if single else dedup_earliest(slim.repartition("user_key", "day"), order=[*OWN, "ts"])
+    return rows.where(~F.col("is_late")).select("project_id", "day", "user_key", "user_id", "ts")
 
 
 def sessions(facts: DataFrame, gap_ms: int = GAP_MS, single: Sequence[dt.date] | bool = False) -> DataFrame:
     """One row per session: a gap above ``gap_ms`` or midnight starts a new one.  ``single``: see ``dedup_earliest``."""
-    order = Window.partitionBy("project_id", "day", "user_key").orderBy("ts")
+    if not isinstance(single, bool):  # no session goes beyond its day
+        alone = F.col("day").isin(*single)
+        return sessions(facts.where(alone), gap_ms, True).unionByName(sessions(facts.where(~alone), gap_ms)) if single else sessions(facts, gap_ms)
+    order = Window.partitionBy(*OWN).orderBy("ts")
     gap = millis() - F.unix_millis(F.lag("ts").over(order))
     rows = _ready(facts, single).withColumn("starts", F.coalesce((gap > gap_ms).cast("int"), F.lit(1)))
     rows = rows.withColumn("session", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.groupBy("project_id", "day", "user_key", "session").agg(
+    found = rows.groupBy(*OWN, "session").agg(
         F.min("user_id").alias("user_id"), F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("*").alias("event_count")
-    ).drop("session")
+    )
+    return found.select("project_id", "day", "user_key", "user_id", "session_start", "session_end", "event_count")
 
 
 def sessions_by_window(facts: DataFrame) -> DataFrame:

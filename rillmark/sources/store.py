@@ -27,9 +27,9 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.facts import FACT_SCHEMA, dedup_earliest
+from ..operators.facts import FACT_SCHEMA, IDENTITY, dedup_earliest
 from ..operators.quarantine import QUARANTINE_SCHEMA, find, latest, replayed
 from ..operators.rollup import ROLLUP_SCHEMA, merged, month_masks
 from ..operators.sessions import SESSION_SCHEMA, sessions
@@ -56,6 +56,8 @@ STEPS: dict[int, Callable[[dict], dict]] = {
     3: lambda state: state | {"tables": state["tables"] | {"sessions": {}}, "resweep": sorted(state["tables"].get("facts", {}))},  # sessions by day and project
 }
 UNIQUE = "unique-"
+#: Bytes of a day's files that one task compacts; a larger day is dealt to several.
+SLOT_BYTES = 16 * 1024 * 1024
 
 
 class StoreConflict(RuntimeError):
@@ -183,11 +185,14 @@ class EventStore:
 
     # --- writing ---
 
-    def load(self, rows: DataFrame, batch: int, writer: str = "stream", recent_minutes: int | None = RECENT_MINUTES) -> bool:
-        """One batch of normalised rows (see operators.normalize); False, and nothing done, if the writer's batch is in already."""
+    def load(self, rows: DataFrame, batch: int, writer: str = "stream", recent_minutes: int | None = RECENT_MINUTES, persist: bool = True) -> bool:
+        """One batch of normalised rows (see operators.normalize); False, and nothing done, if the writer's batch is in already.
+
+        The rows are read twice and so persisted meanwhile; ``persist=False`` is for rows that are the same on every reading
+        and cost less to read again than to keep."""
         if batch <= self.applied(writer):
             return False
-        own = not rows.is_cached  # they are read twice
+        own = persist and not rows.is_cached
         rows = rows.persist() if own else rows
         try:
             return self._load(rows, f"{writer}-{batch}-{uuid.uuid4().hex[:8]}", {writer: batch}, recent_minutes)
@@ -205,7 +210,7 @@ class EventStore:
         fresh = self._read("facts", facts)
         added["rollup"] = self._write("rollup", month_masks(fresh), name) if facts else {}
         if recent_minutes and facts:
-            added["recent"] = self._remember(fresh, name)
+            added["recent"] = self._remember(fresh, name, recent_minutes)
         added["dirty"] = self._mark(fresh, name) if facts else {}
         return self._add(added, applied, recent_minutes)
 
@@ -213,8 +218,12 @@ class EventStore:
         now = F.current_timestamp()
         return self._write("dirty", facts.select("project_id", "day").distinct().select("project_id", "day", now.alias("marked_at"), F.to_date(now).alias("marked")).coalesce(1), name)
 
-    def _remember(self, facts: DataFrame, name: str) -> dict[str, list[str]]:
-        return self._write("recent", facts.select("project_id", "message_id", "received_at", F.date_format("received_at", "yyyy-MM-dd-HH").alias("hour")), name)
+    def _remember(self, facts: DataFrame, name: str, minutes: int) -> dict[str, list[str]]:
+        """Ids of the hours that ``_add`` may keep; those of older hours, which it would drop at once, are not written."""
+        newest = F.date_trunc("hour", F.max("received_at"))
+        oldest = facts.agg(F.date_trunc("hour", newest - F.expr(f"interval {int(minutes)} minutes")).alias("oldest")).scalar()
+        rows = facts.where(F.col("received_at") >= oldest)
+        return self._write("recent", rows.select("project_id", "message_id", "received_at", F.date_format("received_at", "yyyy-MM-dd-HH").alias("hour")), name)
 
     def _add(self, added: dict[str, dict[str, list[str]]], applied: dict[str, int], recent_minutes: int | None = RECENT_MINUTES, unchanged: dict[str, list[str]] | None = None) -> bool:
         """Commits new directories.
@@ -331,7 +340,7 @@ class EventStore:
                 added["facts"] = self._write("facts", rows_frame(self.spark, [judged]).select(*_names(FACT_SCHEMA)).withColumn("day", F.to_date("ts")), name)
                 fresh = self._read("facts", added["facts"])
                 added["rollup"] = self._write("rollup", month_masks(fresh), name)
-                added["recent"] = self._remember(fresh.withColumn("received_at", F.lit(now)), name)
+                added["recent"] = self._remember(fresh.withColumn("received_at", F.lit(now)), name, RECENT_MINUTES)
                 added["dirty"] = self._mark(fresh, name)
             # A second replay at the same time has changed the partition first, or finds it changed.
             if self._add(added, {}, unchanged={day.isoformat(): parts[day.isoformat()]}):
@@ -369,7 +378,7 @@ class EventStore:
                 fresh = self._read("facts", added["facts"])
                 added |= {"rollup": self._write("rollup", month_masks(fresh), name), "dirty": self._mark(fresh, name)}
                 if recent_minutes:
-                    added["recent"] = self._remember(fresh.withColumn("received_at", F.lit(at)), name)
+                    added["recent"] = self._remember(fresh.withColumn("received_at", F.lit(at)), name, recent_minutes)
             if self._add(added, {}, recent_minutes, unchanged={day: parts[day] for day in added["quarantine"]}):
                 return self._read("replays", added["replays"]).select("quarantine_id", "outcome", "reason")
         raise StoreConflict
@@ -385,8 +394,12 @@ class EventStore:
         if not before:
             return 0
         rows, column = self._read(name, before), TABLES[name][1]
-        rows = merged(rows) if name == "rollup" else (dedup_earliest(rows) if name == "facts" else rows).hint("rebalance", column)
         order = {"facts": ["project_id", "event_name", "user_key", "ts"], "rollup": ["project_id", "event_name", "user_key"]}.get(name, ["project_id"])
+        if name == "facts":  # copies are searched where the files are made: rows are exchanged and sorted once
+            dealt = rows.withColumn("_slot", self._slot(before)).repartition(column, "_slot")
+            rows = dedup_earliest(dealt, order=[column, *order, "message_id", "_slot"]).drop("_slot")
+        else:
+            rows = merged(rows) if name == "rollup" else rows.hint("rebalance", column)
         new = self._write(name, rows.sortWithinPartitions(column, *order), f"{UNIQUE if name == 'facts' else 'compact-'}{uuid.uuid4().hex[:8]}")
 
         def swap(state: dict) -> dict | None:
@@ -399,6 +412,15 @@ class EventStore:
 
         return len(before) if self._commit(swap) else 0
 
+    def _slot(self, days: dict[str, list[str]]) -> Column:
+        """Which of its day's tasks a fact goes to; copies go to the same one."""
+        slots = []
+        for day, batches in days.items():
+            files = [self._fs(f"{self.root}/facts/batch={b}/day={day}") for b in batches]
+            size = sum(fs.getContentSummary(path).getLength() for fs, path in files)
+            slots += [F.lit(dt.date.fromisoformat(day)), F.lit(max(1, -(-size // SLOT_BYTES)))]
+        return F.pmod(F.xxhash64(*IDENTITY), F.create_map(*slots)[F.col("day")])
+
     def expire(self, now: dt.datetime) -> None:
         """Drops partitions older than their table keeps; the rollup outlives the facts."""
         day = lambda days: (now.date() - dt.timedelta(days=days)).isoformat()

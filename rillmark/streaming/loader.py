@@ -265,11 +265,11 @@ def stored_facts(spark: SparkSession, facts: DataFrame, parts: int = 3, late_cop
     part = F.pmod(F.xxhash64("message_id", "received_at"), F.lit(parts))
     for batch in range(parts):
         for _ in range(1 + batch % 2):
-            store.load(rows.where(part == batch), batch)
+            store.load(rows.where(part == batch), batch, persist=False)
         if not batch:
             store.compact("rollup", 1)
     store.compact("facts", 1)
     if late_copies:
-        store.load(rows.where(F.dayofmonth("ts") % 3 == 0).withColumn("received_at", F.expr("received_at + interval 1 hour")), parts)
+        store.load(rows.where(F.dayofmonth("ts") % 3 == 0).withColumn("received_at", F.expr("received_at + interval 1 hour")), parts, persist=False)
     store.sessionize()
     return store

@@ -195,6 +195,34 @@ def test_files_are_sorted_by_their_keys(stored):
             assert keys == sorted(keys)
 
 
+def test_a_large_day_is_compacted_by_several_tasks_in_one_exchange(spark, tmp_path, monkeypatch):
+    from rillmark.operators.normalize import SCHEMA
+    from rillmark.sources import store as module
+
+    rng = random.Random(5)
+    data = [fact(u, rng.choice(["signup", "buy"]), at(0 if n else 1, rng.randint(0, 23), rng.randint(0, 59)), n, late=rng.random() < 0.2) for u in range(200) for n in range(10)]
+    more = {"status": F.lit("accepted"), "reason": F.lit(None).cast("string"), "payload": F.lit(None).cast("string"), "quarantine_id": F.lit(None).cast("string"), "pos": F.lit(0).cast("long")}
+    table = spark.createDataFrame(data, FACT_SCHEMA)
+    batch = table.withColumns(more).select(*[f.split()[0] for f in SCHEMA.split(", ")])
+    store, plans = EventStore(spark, str(tmp_path / "s")), []
+    for n in range(3):  # copies, the earliest of which come in the middle
+        store.load(batch.withColumn("received_at", F.col("received_at") + F.expr(f"interval {(n - 1) ** 2} hours")).withColumn("is_late", F.col("is_late") | F.lit(n != 1)), n)
+    write = store._write
+    monkeypatch.setattr(module, "SLOT_BYTES", 8_000)
+    monkeypatch.setattr(store, "_write", lambda name, df, batch: (plans.append(plan(df, "simple")), write(name, df, batch))[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it joins tasks as small as these
+    try:
+        assert store.compact("facts") == 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert plans[0].count("Exchange") == 1 and plans[0].count("Sort ") <= 2
+    columns = [c for c in table.columns if c != "properties"]
+    assert sorted(rows(store.facts().select(*columns))) == sorted(rows(table.select(*columns)))
+    (name,) = store.state()["tables"]["facts"][D0.isoformat()]
+    files = [spark.read.parquet(str(f)).count() for f in (tmp_path / "s" / "facts" / f"batch={name}" / f"day={D0}").glob("*.parquet")]
+    assert len(files) > 1 and sum(files) == 1_800
+
+
 def test_the_layout_of_sessions_changes_once_and_all_days_are_made_again(stored):
     store, table, _ = stored
     store.sessionize()

@@ -1,6 +1,8 @@
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rillmark.functions.stats import upper_median, value_counts
 from rillmark.operators.facts import FACT_SCHEMA
@@ -78,6 +80,30 @@ def test_gap_of_exactly_half_an_hour_stays_and_midnight_cuts(spark):
     assert {r["user_id"]: r["count"] for r in got} == {"u1": 1, "u2": 2, "u3": 2}
 
 
+def test_copies_are_searched_where_the_sessions_are_made(spark):
+    rng = random.Random(8)
+    first = [fact(rng.randint(0, 9), rng.choice("xy"), at(0, 0) + dt.timedelta(days=rng.randint(0, 2), minutes=20 * rng.randint(0, 60)), late=rng.random() < 0.3) for _ in range(400)]
+    first = list({row[:5]: row for row in first}.values())
+    copies = [(*row[:9], row[9] + dt.timedelta(hours=rng.randint(4, 9)), not row[10], *row[11:]) for row in first if rng.random() < 0.6]
+    copied = [row for row in first + copies if row[3].date() != at(0, 0).date()] + [row for row in first if row[3].date() == at(0, 0).date()]
+    rng.shuffle(copied)
+    wanted, own = [], {}
+    for row in first:
+        if not row[10]:
+            own.setdefault((row[3].date(), row[2]), []).append(row[3])
+    for (day, user), times in own.items():
+        times, starts = sorted(times), []
+        for i, t in enumerate(times):
+            starts += [i] if not i or t - times[i - 1] > dt.timedelta(minutes=30) else []
+        wanted += [("p", day, user, f"u{user}", times[i], times[j - 1], j - i) for i, j in zip(starts, [*starts[1:], len(times)], strict=True)]
+    table = spark.createDataFrame(copied, FACT_SCHEMA)
+    for found in (sessions(table), sessions(table.withColumn("day", F.to_date("ts")), single=[at(0, 0).date()]), sessions_by_window(table)):
+        assert sorted(map(tuple, found.select("project_id", "day", "user_key", "user_id", "session_start", "session_end", "event_count").collect())) == sorted(wanted)
+    jvm = spark._jvm.org.apache.spark.sql.execution.ExplainMode
+    for rows in (table, table.withColumn("project_id", F.lit("p"))):
+        assert sessions(rows)._jdf.queryExecution().explainString(jvm.fromString("simple")).count("Exchange") == 1
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 77])
 def test_upper_median_is_the_element_at_half(spark, n):
     values = [(i * 7919) % 1_000_003 * 1000 for i in range(n)]

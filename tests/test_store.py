@@ -140,6 +140,28 @@ def test_ids_accepted_lately_are_duplicates(spark, tmp_path):
     assert list(store.state()["tables"]["recent"]) == ["2024-01-05-11", "2024-01-05-12"]  # ids of 11:55 still count at 12:01
 
 
+def test_ids_of_hours_that_no_list_keeps_are_not_written(spark, tmp_path):
+    store, at = EventStore(spark, str(tmp_path / "s")), dt.datetime(2024, 1, 5, 10, 55)
+    batch = delivery(spark, ["old"], at).unionByName(delivery(spark, ["a"], at + dt.timedelta(hours=2))).unionByName(delivery(spark, ["b"], at + dt.timedelta(minutes=130)))
+    store.load(batch, 0)
+    written = sorted(p.name for p in (tmp_path / "s" / "recent").glob("batch=*/hour=*"))
+    assert written == ["hour=2024-01-05-12", "hour=2024-01-05-13"] and [f"hour={h}" for h in sorted(store.state()["tables"]["recent"])] == written
+    assert store.facts().count() == 3
+
+
+def test_rows_that_are_cheap_to_read_are_not_persisted(spark, sf_dir, tmp_path, monkeypatch):
+    from rillmark.sources.canonical import facts
+    from rillmark.streaming.loader import stored_facts
+
+    kept, rows = [], delivery(spark, ["a", "b d"], dt.datetime(2024, 1, 5, 10, 55))
+    persist = type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda df, *level: (kept.append(df.columns), persist(df, *level))[1])
+    stored_facts(spark, facts(spark, sf_dir))
+    assert not [columns for columns in kept if "properties" in columns]
+    store = EventStore(spark, str(tmp_path / "s"))
+    assert store.load(rows, 0, persist=False) and (store.facts().count(), store.quarantine().count()) == (1, 1)
+
+
 def test_replay_has_one_outcome_for_each_case(spark, tmp_path):
     from rillmark.operators.quarantine import find
     from rillmark.sources.registry import Property, Registry, Spec
